@@ -147,6 +147,34 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unionByName(zeros).groupBy("member", "mode", "t").agg(F.sum("n").cast("double").alias("value"))
 
 
+# -- Z: hourly counts on twelve longitudes, zero where nothing happened --------------------
+
+ZONAL_SQL = """
+z0 as (select cast(user_id // 150 as int) as member, event_type as mode, cast(user_id % 12 as int) as lon_i, cast((day(ts)-1)*24 + hour(ts) as int) as t, count(*) as n
+       from events group by 1, 2, 3, 4),
+zh as (select s.member, s.mode, x.lon_i, cast(u.t as int) as t, cast(coalesce(z0.n, 0) as double) as value
+       from (select distinct member, mode from z0) s cross join (select cast(unnest(range(0, 12)) as int) as lon_i) x cross join (select unnest(range(0, 720)) as t) u
+       left join z0 on z0.member = s.member and z0.mode = s.mode and z0.lon_i = x.lon_i and z0.t = u.t)"""
+
+
+def zonal_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    keys = ["member", "mode", "lon_i", "t"]
+    counts = ev.groupBy(
+        _div("user_id", 150).alias("member"),
+        F.col("event_type").alias("mode"),
+        (F.col("user_id") % N_LON).cast("int").alias("lon_i"),
+        ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).cast("int").alias("t"),
+    ).agg(F.count("*").alias("n"))
+    zeros = (
+        counts.select("member", "mode")
+        .distinct()
+        .select("member", "mode", F.explode(F.sequence(F.lit(0), F.lit(N_LON - 1))).alias("lon_i"))
+        .select("member", "mode", "lon_i", F.explode(F.sequence(F.lit(0), F.lit(SERIES_HOURS - 1))).alias("t"), F.lit(0).cast("long").alias("n"))
+    )
+    return counts.unionByName(zeros).groupBy(*keys).agg(F.sum("n").cast("double").alias("value"))
+
+
 # -- M: basin mask; L: closed-form loadings; W: bilinear weights ---------------------------
 
 MASK_SQL = """

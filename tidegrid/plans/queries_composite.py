@@ -141,14 +141,14 @@ def bootstrap_composites(spark, sf):
 @query(
     "bootstrap_by_join",
     "JN9 AGG13",
-    _BOOT.replace("f.month_idx = d3.month_idx", "f.month_idx = d3.month_idx and f.lat_i < 3")
+    _BOOT
     + f""" select panel, member, lat_i, lon_i, {rnd("lower")} as lower, {rnd("upper")} as upper from bq""",
 )
 def bootstrap_by_join(spark, sf):
     field, picked = _corner_inputs(spark, sf)
     sizes = picked.groupBy("panel").agg(F.count("*").cast("int").alias("n"))
     draws = P.draw_table(sizes, DRAWS, S.n_months(field))
-    out = P.bootstrap_by_join(S.box(field, lat=(-45, -25)), draws, A.CELL)
+    out = P.bootstrap_by_join(field, draws, A.CELL)
     return out.select("panel", *A.CELL, rounded("lower").alias("lower"), rounded("upper").alias("upper"))
 
 
