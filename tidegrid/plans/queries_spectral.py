@@ -251,9 +251,9 @@ def high_pass(spark, sf):
     return B.high_pass(X.hourly(spark, sf), SERIES, 36, "t").withColumn("value", rounded("value", 5))
 
 
-@query("band_pass", "FIL4", _filter_sql("band", [2 / 84, 2 / 36]))
+@query("band_pass", "FIL4", _filter_sql("band", [2 / 24, 2 / 6]))
 def band_pass(spark, sf):
-    return B.band_pass(X.hourly(spark, sf), SERIES, 84, 36, "t").withColumn("value", rounded("value", 5))
+    return B.band_pass(X.hourly(spark, sf), SERIES, 24, 6, "t").withColumn("value", rounded("value", 5))
 
 
 @query(
