@@ -47,7 +47,7 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
     cells = parts.select(*by, "i", F.posexplode("row").alias("j", "g")).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
     rows = cells.groupBy(*by, "i").agg(F.sort_array(F.collect_list(F.struct("j", "g"))).alias("r"))
     whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", F.col("r.g").alias("g")))).alias("m"))
-    return whole.select(*by, (F.size("m") - 1).alias("size"), F.flatten(F.col("m.g")).alias("gram"))
+    return whole.filter(F.size("m") > 0).select(*by, (F.size("m") - 1).alias("size"), F.flatten(F.col("m.g")).alias("gram"))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

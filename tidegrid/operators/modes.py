@@ -194,6 +194,15 @@ class PrincipalComponents:
         rows = F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("value")) for m, s in zip(self.modes, sums)])
         return z.groupBy(*by, "month_idx").agg(rows.alias("r")).select(*by, "month_idx", F.explode("r").alias("r")).select(*by, "month_idx", "r.*")
 
+    def reconstruct(self, target: DataFrame, series: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """Adds ``decoded`` to the rows of ``target``: cell mean plus weights times series."""
+        by = self.by if by is None else by
+        means = self.loadings.select(*self.by, *self.cell, "mean").distinct()
+        w = mode_vectors(self.loadings, [*self.by, *self.cell], self.modes, "w").withColumnRenamed("vec", "_w").join(means, [*self.by, *self.cell])
+        z = mode_vectors(series, [*by, "month_idx"], self.modes).withColumnRenamed("vec", "_z")
+        out = target.join(checked_side(w), [*self.by, *self.cell]).join(checked_side(z), [*by, "month_idx"])
+        return out.withColumn("decoded", F.col("mean") + _dot("_w", "_z", len(self.modes))).drop("_w", "_z", "mean")
+
 
 _EIGEN = T.StructType(
     [
@@ -260,13 +269,13 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
     task. Rows: ``(seed, split, mode, variance, share)``.
     """
     grams = gram_matrix(pack_series(df, cell), "vs").select("gram").collect()
-    flat = np.asarray(grams[0]["gram"], dtype=float)
+    flat = np.asarray(grams[0]["gram"] if grams else [0.0], dtype=float)
     n = int(round(np.sqrt(len(flat))))
     whole = flat.reshape(n, n)[:-1, :-1]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for seed, split in zip(pdf["seed"], pdf["split"]):
+        for seed, split in zip(pdf["seed"], pdf["split"]) if len(whole) else ():
             train = np.flatnonzero(np.arange(len(whole)) % n_folds != split)
             picked = train[draw_positions(1, len(train), len(train), int(seed) * 104729 + int(split))[0]]
             g = whole[np.ix_(picked, picked)]
