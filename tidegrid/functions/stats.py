@@ -66,8 +66,7 @@ def t_two_sided(t, df) -> np.ndarray:
 
 @F.pandas_udf(T.DoubleType())
 def _t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
-    p = pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
-    return p.where(p.notna(), None)
+    return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
 def t_pvalue(t: Column, df: Column) -> Column:

@@ -43,7 +43,7 @@ def climatology(df: DataFrame, keys: list[str], baseline: tuple[int, int] | None
 
 
 def anomalies(df: DataFrame, keys: list[str], baseline: tuple[int, int] | None = None) -> DataFrame:
-    """Departure from the own climatology, for a table unique per cell and month.
+    """Departure from the own climatology, for a table unique per cell and month (see :func:`monthly`).
 
     The climatology is a window over (cell, calendar month): one exchange, no join.
     """

@@ -27,7 +27,7 @@ def _filtered(df, keys, kind, periods, t, value, method, unique):
     return apply_per_series(df, keys, lambda x: zero_phase(x, b, a), t, value, unique)
 
 
-def low_pass(df: DataFrame, keys: list[str], period: float = 84, t: str = "month_idx", value: str = "value", method: str = "butter", unique: bool = True) -> DataFrame:
+def low_pass(df: DataFrame, keys: list[str], period: float = 84, t: str = "month_idx", value: str = "value", method: str = "butter", unique: bool = False) -> DataFrame:
     """Keep variations longer than ``period`` steps (7 years of months by default).
 
     Fourth-order Butterworth run forwards and backwards, or a spectral box (``method="fft"``).
@@ -36,13 +36,13 @@ def low_pass(df: DataFrame, keys: list[str], period: float = 84, t: str = "month
     return _filtered(df, keys, "low", [period], t, value, method, unique)
 
 
-def high_pass(df: DataFrame, keys: list[str], period: float = 36, t: str = "month_idx", value: str = "value", method: str = "butter", unique: bool = True) -> DataFrame:
+def high_pass(df: DataFrame, keys: list[str], period: float = 36, t: str = "month_idx", value: str = "value", method: str = "butter", unique: bool = False) -> DataFrame:
     """Keep variations shorter than ``period`` steps (3 years of months by default)."""
     return _filtered(df, keys, "high", [period], t, value, method, unique)
 
 
 def band_pass(
-    df: DataFrame, keys: list[str], longest: float = 84, shortest: float = 36, t: str = "month_idx", value: str = "value", method: str = "butter", unique: bool = True
+    df: DataFrame, keys: list[str], longest: float = 84, shortest: float = 36, t: str = "month_idx", value: str = "value", method: str = "butter", unique: bool = False
 ) -> DataFrame:
     """Keep variations between ``shortest`` and ``longest`` steps, along time whatever the key order."""
     return _filtered(df, keys, "band", [longest, shortest], t, value, method, unique)
@@ -76,7 +76,6 @@ def wave_band(
         if np.isfinite(x).all():
             out = wave_filter(x, obs_per_day, name, smooth, dispersion)
         flat = pd.DataFrame({lon: np.repeat(grid.index.to_numpy(), x.shape[1]), t: np.tile(grid.columns.to_numpy(), x.shape[0]), value: out.ravel()})
-        flat[value] = flat[value].where(flat[value].notna(), None)
         for k in by:
             flat[k] = pdf[k].iloc[0]
         return flat[[f.name for f in schema.fields]]

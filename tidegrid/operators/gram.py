@@ -1,7 +1,8 @@
 """Gram matrices of vectors, without pairing rows.
 
 Every partition multiplies its own block, so one pass over the data yields all pairwise
-products; what is exchanged is one matrix per partition and group.
+products. What is exchanged is one matrix per partition and group, cut into rows that are summed
+in parallel; no task holds more than one matrix of a group.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+FLUSH_BYTES = 256 * 1024 * 1024
+
+
 def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
     """Per group: ``size`` and ``gram``, the flattened products of the vectors extended by a constant 1.
 
@@ -37,16 +41,30 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
                 key = key if isinstance(key, tuple) else (key,)
                 g = block.T @ block
                 total[key] = total[key] + g if key in total else g
-        for key, g in total.items():
-            out = pd.DataFrame({"i": np.arange(len(g), dtype=np.int32), "row": list(g)})
-            for name, k in zip(by, key):
-                out[name] = k
-            yield out[[*by, "i", "row"]]
+            if sum(g.nbytes for g in total.values()) > FLUSH_BYTES:
+                # many groups in one partition: hand the sums on early instead of holding them all
+                yield from (frame(key, np.arange(len(g)), list(g)) for key, g in total.items())
+                total = {}
+        yield from (frame(key, np.arange(len(g)), list(g)) for key, g in total.items())
+
+    def frame(key: tuple, i, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame({"i": np.asarray(i, dtype=np.int32), "row": rows})
+        for name, k in zip(by, key):
+            out[name] = k
+        return out[[*by, "i", "row"]]
+
+    def merge(batches):
+        total: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for *key, row in zip(*[pdf[k] for k in by], pdf["i"], pdf["row"]):
+                at, row = tuple(key), np.asarray(row, dtype=float)
+                total[at] = total[at] + row if at in total else row
+        for (*key, i), row in total.items():
+            yield frame(tuple(key), [i], [row])
 
     parts = df.select(*by, vector).mapInPandas(partial, schema)
-    cells = parts.select(*by, "i", F.posexplode("row").alias("j", "g")).groupBy(*by, "i", "j").agg(F.sum("g").alias("g"))
-    rows = cells.groupBy(*by, "i").agg(F.sort_array(F.collect_list(F.struct("j", "g"))).alias("r"))
-    whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", F.col("r.g").alias("g")))).alias("m"))
+    rows = parts.repartition(*by, "i").mapInPandas(merge, schema)
+    whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", F.col("row").alias("g")))).alias("m"))
     return whole.filter(F.size("m") > 0).select(*by, (F.size("m") - 1).alias("size"), F.flatten(F.col("m.g")).alias("gram"))
 
 

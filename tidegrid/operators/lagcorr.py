@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidegrid.functions.calendar import month_of
 from tidegrid.functions.stats import correlation_t, t_pvalue
 
+_CELLS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("month", T.IntegerType()),
+            T.StructField("lag", T.IntegerType()),
+            T.StructField("r", T.DoubleType()),
+            T.StructField("n", T.LongType()),
+        ]
+    )
+)
+
 
 def lagged_pairs(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int, step: int = 1) -> DataFrame:
     """Rows ``(keys, month_idx, lag, x, y)`` with ``y`` taken ``lag`` steps after ``x``.
@@ -22,22 +35,71 @@ def lagged_pairs(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int, step
     return left.join(right, [*keys, "_at"]).drop("_at")
 
 
-def _correlate(pairs: DataFrame, by: list[str]) -> DataFrame:
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    out = pairs.groupBy(*by).agg(F.when(varies, F.corr("x", "y")).alias("r"), F.count("*").alias("n"))
+def _lag_table(t: np.ndarray, x: np.ndarray, y: np.ndarray, max_lag: int, step: int, by_month: bool) -> list[dict]:
+    """Correlations of one pair of series on the time axis ``t`` (with gaps as NaN)."""
+    span = int(t[-1] - t[0]) + 1
+    full = np.full((2, span), np.nan)
+    full[:, t - t[0]] = x, y
+    full -= np.nanmean(full, axis=1, keepdims=True)
+    group = (t[0] + np.arange(span)) % 12 if by_month else np.zeros(span, dtype=int)
+    out = []
+    for lag in range(-max_lag, max_lag + 1):
+        move = lag * step
+        if abs(move) >= span:
+            continue
+        a, b = full[0, max(0, -move) : span - max(0, move)], full[1, max(0, move) : span - max(0, -move)]
+        g = group[max(0, -move) : span - max(0, move)]
+        both = np.isfinite(a) & np.isfinite(b)
+        a, b, g = a[both], b[both], g[both]
+        n, width = np.bincount(g, minlength=12), 12
+        with np.errstate(invalid="ignore", divide="ignore"):
+            # centred once more inside each group, so that no digits are lost
+            a = a - (np.bincount(g, a, width) / n)[g]
+            b = b - (np.bincount(g, b, width) / n)[g]
+            saa, sbb, sab = (np.bincount(g, v, width) for v in (a * a, b * b, a * b))
+            r = np.clip(sab / np.sqrt(saa * sbb), -1.0, 1.0)
+        for m in np.flatnonzero(n):
+            varies = n[m] > 1 and saa[m] > 0 and sbb[m] > 0
+            out.append({"month": int(m) + 1, "lag": lag, "r": float(r[m]) if varies else None, "n": int(n[m])})
+    return out
+
+
+def _correlate(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int, step: int, by_month: bool) -> DataFrame:
+    """Both series of a key meet in one row, so lags are array offsets and are never exchanged.
+
+    Repeated months are averaged with map-side sums; a row is then as long as the calendar.
+    """
+
+    @F.pandas_udf(_CELLS)
+    def table(ts: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                _lag_table(np.asarray(t), np.asarray(a, dtype=float), np.asarray(b, dtype=float), max_lag, step, by_month)
+                for t, a, b in zip(ts, xs, ys)
+            ],
+            dtype=object,
+        )
+
+    none = F.lit(None).cast("double")
+    both = x.select(*keys, "month_idx", F.col("value").alias("x"), none.alias("y"))
+    both = both.unionByName(y.select(*keys, "month_idx", none.alias("x"), F.col("value").alias("y")))
+    months = both.groupBy(*keys, "month_idx").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    packed = months.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("month_idx", "x", "y"))).alias("s"))
+    packed = packed.filter(F.exists("s", lambda p: p["x"].isNotNull()) & F.exists("s", lambda p: p["y"].isNotNull()))
+    cells = packed.select(*keys, F.explode(table(F.col("s.month_idx"), F.col("s.x"), F.col("s.y"))).alias("c"))
+    out = cells.select(*keys, *(["c.month"] if by_month else []), "c.lag", "c.r", "c.n")
     t = correlation_t(F.col("r"), F.col("n"))
     return out.withColumn("p_value", t_pvalue(t, (F.col("n") - 2).cast("double")))
 
 
 def cross_correlation_by_month(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int = 36, step: int = 1) -> DataFrame:
     """Correlation per calendar month of ``x`` and lag; a negative lag means ``y`` precedes ``x``."""
-    pairs = lagged_pairs(x, y, keys, max_lag, step).withColumn("month", month_of(F.col("month_idx")))
-    return _correlate(pairs, [*keys, "month", "lag"])
+    return _correlate(x, y, keys, max_lag, step, True)
 
 
 def cross_correlation(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int = 36, step: int = 1) -> DataFrame:
     """Correlation per lag over all months."""
-    return _correlate(lagged_pairs(x, y, keys, max_lag, step), [*keys, "lag"])
+    return _correlate(x, y, keys, max_lag, step, False)
 
 
 def significant(corr: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -174,34 +174,39 @@ def _principal(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
 
 @dataclass
 class PrincipalComponents:
-    """Scores per month, loadings and cell means per cell, variance per component."""
+    """Scores per month, weights per cell, variance per component.
+
+    ``weights`` has one row per cell: the ``mean`` that was removed and ``w``, the weights of all
+    modes side by side. It is stored once and broadcast only when counted as small.
+    """
 
     by: list[str]
     cell: list[str]
     modes: list[str]
     scores: DataFrame
-    loadings: DataFrame
+    weights: DataFrame
     variance: DataFrame
 
+    @property
+    def loadings(self) -> DataFrame:
+        """Long form: rows ``(*by, *cell, mode, w)``."""
+        rows = F.arrays_zip(F.lit(self.modes).alias("mode"), "w")
+        return self.weights.select(*self.by, *self.cell, F.explode(rows).alias("r")).select(*self.by, *self.cell, "r.*")
+
     def transform(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         """Series of another field on the same modes; the fitted cell means are removed."""
         by = self.by if by is None else by
-        wide = self.loadings.groupBy(*self.by, *self.cell, "mean").agg(
-            *[F.max(F.when(F.col("mode") == m, F.col("w"))).alias(f"_w{i}") for i, m in enumerate(self.modes)]
-        )
-        z = df.join(checked_side(wide), [*self.by, *self.cell])
-        sums = [F.sum(F.col(f"_w{i}") * (F.col("value") - F.col("mean"))) for i in range(len(self.modes))]
+        z = df.join(self.weights, [*self.by, *self.cell])
+        sums = [F.sum(F.element_at("w", i + 1) * (F.col("value") - F.col("mean"))) for i in range(len(self.modes))]
         rows = F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("value")) for m, s in zip(self.modes, sums)])
         return z.groupBy(*by, "month_idx").agg(rows.alias("r")).select(*by, "month_idx", F.explode("r").alias("r")).select(*by, "month_idx", "r.*")
 
     def reconstruct(self, target: DataFrame, series: DataFrame, by: list[str] | None = None) -> DataFrame:
         """Adds ``decoded`` to the rows of ``target``: cell mean plus weights times series."""
         by = self.by if by is None else by
-        means = self.loadings.select(*self.by, *self.cell, "mean").distinct()
-        w = mode_vectors(self.loadings, [*self.by, *self.cell], self.modes, "w").withColumnRenamed("vec", "_w").join(means, [*self.by, *self.cell])
         z = mode_vectors(series, [*by, "month_idx"], self.modes).withColumnRenamed("vec", "_z")
-        out = target.join(checked_side(w), [*self.by, *self.cell]).join(checked_side(z), [*by, "month_idx"])
-        return out.withColumn("decoded", F.col("mean") + _dot("_w", "_z", len(self.modes))).drop("_w", "_z", "mean")
+        out = target.join(self.weights, [*self.by, *self.cell]).join(checked_side(z), [*by, "month_idx"])
+        return out.withColumn("decoded", F.col("mean") + _dot("w", "_z", len(self.modes))).drop("w", "_z", "mean")
 
 
 _EIGEN = T.StructType(
@@ -244,20 +249,15 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
     variance = eig.select(*by, F.posexplode("e.variance").alias("c", "variance"), F.col("e.total").alias("total")).select(
         *by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), "variance", (F.col("variance") / F.col("total")).alias("share")
     )
-    n_times = eig.select(*by, F.size("ts").alias("_n"), F.col("e.variance").alias("_var"))
-    wide = mode_vectors(scores, [*by, t], modes)
+    # weight of a cell = sum over time of value * score / (variance * (T - 1)); scores have mean zero
+    per_mode = eig.select(*by, F.posexplode("e.variance").alias("c", "_v"), F.size("ts").alias("_n"))
+    per_mode = per_mode.select(*by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), (F.col("_v") * (F.col("_n") - 1)).alias("_scale"))
+    scaled = scores.join(per_mode, [*by, "mode"]).withColumn("value", F.col("value") / F.col("_scale"))
+    wide = mode_vectors(scaled, [*by, t], modes)
     z = df.join(checked_side(wide), [*by, t]) if by else df.join(calendar_side(wide), t)
-    sums = z.groupBy(*by, *cell).agg(
-        F.avg("value").alias("mean"), *[F.sum(F.col("value") * F.element_at("vec", i + 1)).alias(f"_s{i}") for i in range(k)]
-    )
-    sums = sums.join(checked_side(n_times), by) if by else sums.withColumns(
-        {"_n": n_times.select("_n").scalar(), "_var": n_times.select("_var").scalar()}
-    )
-    rows = F.array(
-        *[F.struct(F.lit(m).alias("mode"), (F.col(f"_s{i}") / (F.element_at("_var", i + 1) * (F.col("_n") - 1))).alias("w")) for i, m in enumerate(modes)]
-    )
-    loadings = sums.select(*by, *cell, "mean", F.explode(rows).alias("r")).select(*by, *cell, "mean", "r.*")
-    return PrincipalComponents(by, cell, modes, scores, loadings, variance)
+    w = F.array(*[F.sum(F.col("value") * F.element_at("vec", i + 1)) for i in range(k)])
+    weights = checked_side(z.groupBy(*by, *cell).agg(F.avg("value").alias("mean"), w.alias("w")))
+    return PrincipalComponents(by, cell, modes, scores, weights, variance)
 
 
 def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int = 3, n_folds: int = 5) -> DataFrame:

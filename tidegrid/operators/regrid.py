@@ -48,13 +48,15 @@ def bilinear_weights(dst: DataFrame, lat: Axis, lon: Axis, periodic: bool = True
     """
     y0, y1, ty = _bracket(lat.position(F.col("lat")), lat.size, False)
     x0, x1, tx = _bracket(lon.position(F.col("lon")), lon.size, periodic)
-    corner = F.array(
-        *[F.struct(y.alias("lat_i"), x.alias("lon_i"), (wy * wx).alias("w")) for y, wy in ((y0, 1 - ty), (y1, ty)) for x, wx in ((x0, 1 - tx), (x1, tx))]
-    )
-    used = dst.withColumn("_c", F.filter(corner, lambda c: (c["w"] > 0) & c["lat_i"].isNotNull() & c["lon_i"].isNotNull()))
-    return used.select("dst_lat_i", "dst_lon_i", F.size("_c").alias("corners"), F.explode("_c").alias("c")).select(
-        "dst_lat_i", "dst_lon_i", "corners", "c.lat_i", "c.lon_i", "c.w"
+    nodes = dst.select("dst_lat_i", "dst_lon_i", y0.alias("y0"), y1.alias("y1"), ty.alias("ty"), x0.alias("x0"), x1.alias("x1"), tx.alias("tx"))
+    # lower and upper side of an axis, as (name of the index, share)
+    sides_y, sides_x = (("y0", 1 - F.col("ty")), ("y1", F.col("ty"))), (("x0", 1 - F.col("tx")), ("x1", F.col("tx")))
+    corner = [F.struct(F.col(y).alias("lat_i"), F.col(x).alias("lon_i"), (wy * wx).alias("w")) for y, wy in sides_y for x, wx in sides_x]
+    n = sum((F.when((wy * wx) > 0, 1).otherwise(0) for _, wy in sides_y for _, wx in sides_x), F.lit(0))
+    rows = nodes.filter(F.col("y0").isNotNull() & F.col("x0").isNotNull()).select(
+        "dst_lat_i", "dst_lon_i", n.alias("corners"), F.explode_outer(F.array(*corner)).alias("c")
     )
+    return rows.select("dst_lat_i", "dst_lon_i", "corners", "c.lat_i", "c.lon_i", "c.w").filter("w > 0")
 
 
 def apply_weights(df: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:

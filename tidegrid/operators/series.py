@@ -67,8 +67,7 @@ def assign_folds(df: DataFrame, n_folds: int = 5) -> DataFrame:
 
 def training_folds(df: DataFrame, n_folds: int = 5) -> DataFrame:
     """All leave-one-fold-out samples in one table: ``split`` is the fold left out."""
-    others = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col("fold"))
-    return df.withColumn("split", F.explode(others))
+    return df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).filter(F.col("split") != F.col("fold"))
 
 
 def resplit_training(df: DataFrame, n_batches: int = 4) -> DataFrame:

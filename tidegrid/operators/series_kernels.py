@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
-def pack_series(df: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", unique: bool = True) -> DataFrame:
+def pack_series(df: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", unique: bool = False) -> DataFrame:
     """One row per series: arrays ``ts`` and ``vs`` ordered by time.
 
-    ``unique=False`` first averages repeated times with map-side sums, so that a crowded key
-    cannot flood the task that packs it.
+    Repeated times are averaged first, with map-side sums, so that a crowded key cannot flood the
+    task that packs it; a table already grouped by these keys is not exchanged again for that.
+    ``unique=True`` skips the step.
     """
     if not unique:
         df = df.groupBy(*keys, t).agg(F.avg(value).alias(value))
@@ -64,7 +65,7 @@ def unpack_series(packed: DataFrame, keys: list[str], t: str = "month_idx", valu
 
 
 def apply_per_series(
-    df: DataFrame, keys: list[str], fn: Kernel, t: str = "month_idx", value: str = "value", unique: bool = True
+    df: DataFrame, keys: list[str], fn: Kernel, t: str = "month_idx", value: str = "value", unique: bool = False
 ) -> DataFrame:
     """Run a length-preserving kernel on every series: one exchange on the series keys."""
     packed = pack_series(df, keys, t, value, unique)

@@ -237,6 +237,19 @@ def lag_correlation(spark, sf):
     return out.select("initialization", "lag", "n", rounded("r").alias("r"), rounded("p_value").alias("p_value"))
 
 
+@query(
+    "lagged_pairs",
+    "JN5",
+    f"""with {X.ENCODINGS_SQL}
+select a.initialization, a.month_idx, cast(l.lag as int) as lag, {rnd("a.value")} as x, {rnd("b.value")} as y from e a cross join (select unnest(range(-6, 7)) as lag) l
+join e b on a.initialization = b.initialization and b.month_idx = a.month_idx + 2*l.lag where a.mode = '2-HIGH' and b.mode = '1-URGENT'""",
+)
+def lagged_pairs(spark, sf):
+    x, y = _urgent_high(spark, sf)
+    out = L.lagged_pairs(x, y, ["initialization"], 6, 2)
+    return out.select("initialization", "month_idx", "lag", rounded("x").alias("x"), rounded("y").alias("y"))
+
+
 @query(
     "benchmark_indices",
     "SEL8 WIN2 AGG1 SET1",
