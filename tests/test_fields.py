@@ -212,6 +212,19 @@ def test_spectra_sum_to_one_and_find_the_period(spark):
     assert all(0 < m < 2 for m in misfit)
 
 
+def test_degenerate_groups_do_not_stop_a_job(spark):
+    """One constant or single-valued group among billions must give NULL, not an error."""
+    flat = spark.createDataFrame([("a", t, 2.0) for t in range(40)] + [("b", 7, 1.0)], "mode string, month_idx int, value double")
+    assert A.detrend_cells(flat, ["mode"], 2).filter("mode = 'b'").first().value is None
+    assert L.cross_correlation(flat, flat, ["mode"], 1).filter("r is not null").count() == 0
+    assert sum(r.density / 30 for r in H.density_histogram(flat.filter("mode = 'a'"), ["mode"]).collect()) == pytest.approx(1.0)
+    assert H.kernel_density(flat, ["mode"], points=3).filter("density is not null").count() == 0
+    spec = Z.power_spectrum(flat, ["mode"], smooth=3)
+    assert Z.spectral_summary(spec, ["mode"]).count() >= 1
+    pred = spark.createDataFrame([(t, 1.0) for t in range(40)], "month_idx int, p double")
+    assert R.ols(flat, pred, ["p"], ["mode"], drop_missing=True).filter("coefs is not null").count() == 0
+
+
 def test_fold_tables(spark):
     df, _ = make_field(spark, members=1)
     folds = Q.assign_folds(df, 5)

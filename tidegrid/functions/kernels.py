@@ -75,11 +75,16 @@ def power_share(x: np.ndarray) -> np.ndarray:
 
 
 def reflect_smooth(p: np.ndarray, weights) -> np.ndarray:
-    """Weighted moving mean along axis 1; the ends are reflected without the edge sample."""
+    """Weighted moving mean along axis 1; the ends are reflected without the edge sample.
+
+    A row no longer than half the window cannot be reflected and becomes missing.
+    """
     m = len(weights)
     if m <= 1:
         return p
     half = m // 2
+    if p.shape[1] <= half:
+        return np.full_like(p, np.nan)
     ext = np.concatenate([p[:, half:0:-1], p, p[:, -2 : -half - 2 : -1]], axis=1)
     out = np.zeros_like(p)
     for i, w in enumerate(weights):

@@ -74,7 +74,14 @@ def t_pvalue(t: Column, df: Column) -> Column:
     return _t_pvalue(t.cast("double"), df.cast("double"))
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation over the complete pairs; NULL where one side is constant (``corr`` would raise)."""
+    pair = F.col(a).isNotNull() & F.col(b).isNotNull()
+    va, vb = F.var_pop(F.when(pair, F.col(a))), F.var_pop(F.when(pair, F.col(b)))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(va * vb))
+
+
 def correlation_t(r: Column, n: Column) -> Column:
     """t statistic of a Pearson correlation with ``n`` pairs (df = n - 2)."""
-    spread = F.greatest(F.lit(0.0), 1 - r * r)
-    return F.when(n > 2, F.when(spread == 0, F.lit(float("inf"))).otherwise(r * F.sqrt((n - 2) / spread)))
+    ratio = F.try_divide(n - 2, F.greatest(F.lit(0.0), 1 - r * r))
+    return F.when((n > 2) & r.isNotNull(), F.coalesce(r * F.sqrt(ratio), F.lit(float("inf"))))

@@ -69,10 +69,10 @@ def box_mean(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _solve_moments(s: list[Column], t: list[Column], deg: int) -> list[Column]:
-    """Least-squares coefficients from power sums ``s`` and mixed sums ``t`` (degree 1 or 2)."""
+    """Least-squares coefficients from power sums ``s`` and mixed sums ``t`` (degree 1 or 2); NULL with too few points."""
     if deg == 1:
         det = s[0] * s[2] - s[1] * s[1]
-        return [(t[0] * s[2] - s[1] * t[1]) / det, (s[0] * t[1] - s[1] * t[0]) / det]
+        return [F.try_divide(t[0] * s[2] - s[1] * t[1], det), F.try_divide(s[0] * t[1] - s[1] * t[0], det)]
     if deg != 2:
         raise ValueError("per-cell trends are of degree 1 or 2")
     a, b, c, d, e = s
@@ -80,7 +80,7 @@ def _solve_moments(s: list[Column], t: list[Column], deg: int) -> list[Column]:
     c0 = t[0] * (c * e - d * d) - b * (t[1] * e - d * t[2]) + c * (t[1] * d - c * t[2])
     c1 = a * (t[1] * e - d * t[2]) - t[0] * (b * e - d * c) + c * (b * t[2] - t[1] * c)
     c2 = a * (c * t[2] - d * t[1]) - b * (b * t[2] - t[1] * c) + t[0] * (b * d - c * c)
-    return [c0 / det, c1 / det, c2 / det]
+    return [F.try_divide(num, det) for num in (c0, c1, c2)]
 
 
 def detrend_cells(df: DataFrame, keys: list[str], deg: int = 2, x: str = "month_idx") -> DataFrame:

@@ -50,7 +50,9 @@ def histogram_summary(hist: DataFrame, member: list[str], tolerance: float = 0.2
 
 
 def _bounds(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
+    """Range of each group; a group of equal values gets a range of one around it."""
+    flat = F.when(F.min(value) == F.max(value), 0.5).otherwise(0.0)
+    return df.groupBy(*by).agg((F.min(value) - flat).alias("_lo"), (F.max(value) + flat).alias("_hi"), F.count(value).alias("_n"))
 
 
 def density_histogram(df: DataFrame, by: list[str], value: str = "value", bins: int = 30) -> DataFrame:
@@ -64,7 +66,7 @@ def density_histogram(df: DataFrame, by: list[str], value: str = "value", bins:
 
 
 def kernel_density(df: DataFrame, by: list[str], value: str = "value", points: int = 200) -> DataFrame:
-    """Gaussian density with Scott's bandwidth on a grid over the range of all groups.
+    """Gaussian density with Scott's bandwidth on a grid over the range of all groups; NULL for equal values.
 
     Every value adds to ``points`` sums inside its own map task; only the sums are exchanged.
     """
@@ -73,6 +75,6 @@ def kernel_density(df: DataFrame, by: list[str], value: str = "value", points: i
     lo, hi = present.agg(F.min(value).alias("v")).scalar(), present.agg(F.max(value).alias("v")).scalar()
     z = present.join(checked_side(spread), by).select(*by, F.col(value).alias("_v"), "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     z = z.withColumn("x", lo + (hi - lo) * F.col("point") / (points - 1))
-    u = (F.col("x") - F.col("_v")) / F.col("_h")
-    dens = F.sum(F.exp(-0.5 * u * u)) / (F.first("_n") * F.first("_h") * F.sqrt(2 * F.pi()))
+    u = F.try_divide(F.col("x") - F.col("_v"), F.col("_h"))
+    dens = F.try_divide(F.sum(F.exp(-0.5 * u * u)), F.first("_n") * F.first("_h") * F.sqrt(2 * F.pi()))
     return z.groupBy(*by, "point").agg(F.first("x").alias("x"), dens.alias("density"))

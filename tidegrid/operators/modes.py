@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.kernels import draw_positions
 from tidegrid.functions.sizing import calendar_side, checked_side
+from tidegrid.functions.stats import pearson
 from tidegrid.operators.gram import correlation_table, covariances, gram_matrix, mode_vectors
 from tidegrid.operators.series_kernels import array_kernel, pack_series
 from tidegrid.session import cut_lineage
@@ -108,13 +109,13 @@ def variance_shares(series: DataFrame, loadings: DataFrame, modes: list, by: lis
     prod = loading_products(loadings, modes, cell).filter((F.col("i") < F.col("size")) & (F.col("j") < F.col("size"))).drop("size")
     z = cov.join(checked_side(prod), ["i", "j"]).withColumn("v", F.col("cov") * F.col("p"))
     full = F.sum("v")
-    lost = [F.abs(F.sum(F.when((F.col("i") == m) | (F.col("j") == m), F.col("v")).otherwise(0.0)) / full) for m in range(len(modes))]
+    lost = [F.abs(F.try_divide(F.sum(F.when((F.col("i") == m) | (F.col("j") == m), F.col("v")).otherwise(0.0)), full)) for m in range(len(modes))]
     wide = z.groupBy(*by).agg(full.alias("_full"), F.array(*lost).alias("_lost"))
     total = F.aggregate("_lost", F.lit(0.0), lambda a, x: a + x)
-    rows = F.arrays_zip(F.lit(list(modes)).alias("mode"), F.transform("_lost", lambda x: x / total).alias("share"))
+    rows = F.arrays_zip(F.lit(list(modes)).alias("mode"), F.transform("_lost", lambda x: F.try_divide(x, total)).alias("share"))
     out = wide.select(*by, "_full", F.explode(rows).alias("r")).select(*by, "r.mode", "r.share", "_full")
     if data_variance is not None:
-        out = out.join(data_variance, by).withColumn("absolute", F.col("share") * F.col("_full") / F.col("variance")).drop("variance")
+        out = out.join(data_variance, by).withColumn("absolute", F.try_divide(F.col("share") * F.col("_full"), "variance")).drop("variance")
     return out.withColumnRenamed("_full", "decoded_variance")
 
 
@@ -129,8 +130,8 @@ def salient_shares(loadings: DataFrame, modes: list, decoded_variance: DataFrame
     rows = sens.agg(F.collect_list(F.struct("mode", "_s")).alias("r")).scalar()
     groups = decoded_variance.withColumnRenamed("variance", "_dec").join(data_variance.withColumnRenamed("variance", "_dat"), by)
     out = groups.select(*by, "_dec", "_dat", F.explode(rows).alias("m"))
-    share = F.col("m._s") / total
-    return out.select(*by, F.col("m.mode").alias("mode"), share.alias("share"), (share * F.col("_dec") / F.col("_dat")).alias("absolute"))
+    share = F.try_divide(F.col("m._s"), total)
+    return out.select(*by, F.col("m.mode").alias("mode"), share.alias("share"), F.try_divide(share * F.col("_dec"), "_dat").alias("absolute"))
 
 
 def effective_modes(shares: DataFrame, by: list[str]) -> DataFrame:
@@ -150,7 +151,7 @@ def loading_correlations(loadings: DataFrame, modes: list, cell: list[str] = GRI
 def sign_table(series: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
     """-1 where a mode runs against the reference series, else 1."""
     z = series.join(reference.select(*by, "month_idx", F.col("value").alias("_r")), [*by, "month_idx"])
-    return z.groupBy(*by, "mode").agg(F.when(F.corr("value", "_r") < 0, -1.0).otherwise(1.0).alias("sign"))
+    return z.groupBy(*by, "mode").agg(F.when(pearson("value", "_r") < 0, -1.0).otherwise(1.0).alias("sign"))
 
 
 def apply_signs(df: DataFrame, signs: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -247,12 +248,12 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
         .select(*by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), F.col("z.t").alias(t), F.col("z.v").alias("value"))
     )
     variance = eig.select(*by, F.posexplode("e.variance").alias("c", "variance"), F.col("e.total").alias("total")).select(
-        *by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), "variance", (F.col("variance") / F.col("total")).alias("share")
+        *by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), "variance", F.try_divide("variance", "total").alias("share")
     )
     # weight of a cell = sum over time of value * score / (variance * (T - 1)); scores have mean zero
     per_mode = eig.select(*by, F.posexplode("e.variance").alias("c", "_v"), F.size("ts").alias("_n"))
     per_mode = per_mode.select(*by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), (F.col("_v") * (F.col("_n") - 1)).alias("_scale"))
-    scaled = scores.join(per_mode, [*by, "mode"]).withColumn("value", F.col("value") / F.col("_scale"))
+    scaled = scores.join(per_mode, [*by, "mode"]).withColumn("value", F.coalesce(F.try_divide("value", "_scale"), F.lit(0.0)))
     wide = mode_vectors(scaled, [*by, t], modes)
     z = df.join(checked_side(wide), [*by, t]) if by else df.join(calendar_side(wide), t)
     w = F.array(*[F.sum(F.col("value") * F.element_at("vec", i + 1)) for i in range(k)])

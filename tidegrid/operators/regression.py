@@ -40,8 +40,10 @@ def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.S
         cxy, cyy = sxy - nn[:, None] * mx * my[:, None], syy - nn * my * my
         scale = np.sqrt(np.einsum("mii->mi", cxx))
         sound = (nn > k + 1) & np.isfinite(cxx).all(axis=(1, 2)) & np.isfinite(cxy).all(axis=1)
-        sound &= np.linalg.cond(np.where(sound[:, None, None], cxx, np.eye(k)) / np.where(sound[:, None, None], scale[:, :, None] * scale[:, None, :], 1)) < 1e12
+        sound &= (scale > 0).all(axis=1)
         i = np.flatnonzero(sound)
+        # collinear predictors have no unique coefficients
+        i = i[np.linalg.cond(cxx[i] / (scale[i, :, None] * scale[i, None, :])) < 1e12]
         if len(i):
             inv = np.linalg.inv(cxx[i])
             b = np.einsum("mij,mj->mi", inv, cxy[i])

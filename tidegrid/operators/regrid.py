@@ -86,7 +86,7 @@ def interpolate_onto(samples: DataFrame, targets: DataFrame, keys: list[str], x:
             "_r": F.first("_s", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
         }
     )
-    share = (F.col(x) - F.col("_l.x")) / (F.col("_r.x") - F.col("_l.x"))
+    share = F.try_divide(F.col(x) - F.col("_l.x"), F.col("_r.x") - F.col("_l.x"))
     blend = F.when(F.col("_r.x") > F.col("_l.x"), F.col("_l.v") + share * (F.col("_r.v") - F.col("_l.v")))
     return both.filter("_t").select(*keys, x, F.coalesce(blend, F.col("_l.v"), F.col("_r.v")).alias(value))
 

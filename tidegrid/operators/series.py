@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.quantiles import bounded_quantile, sorted_quantiles
 from tidegrid.functions.sizing import calendar_side
-from tidegrid.functions.stats import t_pvalue
+from tidegrid.functions.stats import correlation_t, pearson, t_pvalue
 
 
 def centred_mean(df: DataFrame, keys: list[str], width: int = 3, x: str = "month_idx", value: str = "value") -> DataFrame:
@@ -29,7 +29,7 @@ def fill_gaps(df: DataFrame, keys: list[str], x: str = "lat", value: str = "valu
     ahead = Window.partitionBy(*keys).orderBy(x).rowsBetween(0, Window.unboundedFollowing)
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(value).alias("v")))
     df = df.withColumns({"_l": F.last(point, True).over(back), "_r": F.first(point, True).over(ahead)})
-    share = (F.col(x) - F.col("_l.x")) / (F.col("_r.x") - F.col("_l.x"))
+    share = F.try_divide(F.col(x) - F.col("_l.x"), F.col("_r.x") - F.col("_l.x"))
     between = F.col("_l.v") + share * (F.col("_r.v") - F.col("_l.v"))
     return df.withColumn(value, F.coalesce(F.col(value), between)).drop("_l", "_r")
 
@@ -40,8 +40,8 @@ def gradient(df: DataFrame, keys: list[str], x: str = "lon", value: str = "value
     before, after = F.lag(value).over(w), F.lead(value).over(w)
     hs, hd = F.col(x) - F.lag(x).over(w), F.lead(x).over(w) - F.col(x)
     here = F.col(value)
-    central = (hs * hs * after + (hd * hd - hs * hs) * here - hd * hd * before) / (hs * hd * (hs + hd))
-    return df.withColumn("gradient", F.when(hs.isNull(), (after - here) / hd).when(hd.isNull(), (here - before) / hs).otherwise(central))
+    central = F.try_divide(hs * hs * after + (hd * hd - hs * hs) * here - hd * hd * before, hs * hd * (hs + hd))
+    return df.withColumn("gradient", F.when(hs.isNull(), F.try_divide(after - here, hd)).when(hd.isNull(), F.try_divide(here - before, hs)).otherwise(central))
 
 
 def band_difference(df: DataFrame, by: list[str], first: tuple[float, float], second: tuple[float, float], axis: str = "lat") -> DataFrame:
@@ -128,7 +128,7 @@ def symmetric_range(df: DataFrame, by: list[str], value: str = "value") -> DataF
 
 
 def correlation(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.corr(a, b).alias("r"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"))
+    return df.groupBy(*by).agg(pearson(a, b).alias("r"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias("n"))
 
 
 def plateau_test(metrics: DataFrame, keys: list[str], patience: int, x: str = "epoch", value: str = "value") -> DataFrame:
@@ -139,10 +139,10 @@ def plateau_test(metrics: DataFrame, keys: list[str], patience: int, x: str = "e
     # windows that start in the stretch before the last `patience` steps
     used = means.filter(F.col("_k").between(patience + 1, 2 * patience)).withColumn("_i", 2 * patience - F.col("_k"))
     fit = used.groupBy(*keys).agg(
-        F.regr_slope("_m", "_i").alias("slope"), F.corr("_m", "_i").alias("r"), F.count("*").alias("n")
+        F.regr_slope("_m", "_i").alias("slope"), pearson("_m", "_i").alias("r"), F.count("*").alias("n")
     )
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r")))
-    return fit.select(*keys, "slope", "n", t_pvalue(t, F.col("n") - 2).alias("p_value"))
+    p = t_pvalue(correlation_t(F.col("r"), F.col("n")), F.col("n") - 2)
+    return fit.select(*keys, "slope", "n", p.alias("p_value"))
 
 
 def best_step(metrics: DataFrame, keys: list[str], x: str = "epoch", value: str = "value") -> DataFrame:

@@ -27,4 +27,4 @@ def variance_explained(full: DataFrame, without: DataFrame, keys: list[str], by:
     """1 - variance without a mode over the full variance, per group and mode left out."""
     whole = total_variance(full, keys, by)
     part = total_variance(without, [*keys, mode], [*by, mode]).withColumnRenamed("variance", "_part")
-    return part.join(whole, by).select(*by, mode, (1 - F.col("_part") / F.col("variance")).alias("explained"))
+    return part.join(whole, by).select(*by, mode, (1 - F.try_divide("_part", "variance")).alias("explained"))

@@ -21,7 +21,8 @@ def power_spectrum(df: DataFrame, keys: list[str], t: str = "month_idx", value:
 
     def power(x: np.ndarray) -> np.ndarray:
         p = reflect_smooth(power_share(x), weights)
-        return p / p.sum(axis=1, keepdims=True)
+        with np.errstate(invalid="ignore"):
+            return p / p.sum(axis=1, keepdims=True)
 
     def freq(x: np.ndarray) -> np.ndarray:
         f = reflect_smooth(np.fft.rfftfreq(x.shape[1], d=dx)[None, :], weights)
@@ -51,8 +52,8 @@ def spectral_summary(spec: DataFrame, keys: list[str], steps_per_year: int = 12)
     )
     return out.select(
         *keys,
-        (1 / F.col("peak") / steps_per_year).alias("peak_period"),
-        (1 / F.col("mean") / steps_per_year).alias("mean_period"),
+        (F.try_divide(F.lit(1.0), "peak") / steps_per_year).alias("peak_period"),
+        (F.try_divide(F.lit(1.0), "mean") / steps_per_year).alias("mean_period"),
         F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))).alias("spread"),
     )
 
@@ -79,7 +80,7 @@ def spectral_overlap(spec: DataFrame, by: list[str], modes: list[str]) -> DataFr
 
     cells = F.array(
         *[
-            F.struct(F.lit(modes[i]).alias("mode_a"), F.lit(modes[j]).alias("mode_b"), (area(F.least, i, j) / area(F.greatest, i, j)).alias("overlap"))
+            F.struct(F.lit(modes[i]).alias("mode_a"), F.lit(modes[j]).alias("mode_b"), F.try_divide(area(F.least, i, j), area(F.greatest, i, j)).alias("overlap"))
             for i, j in pairs
         ]
     )
@@ -97,7 +98,7 @@ def pair_weights(shares: DataFrame, by: list[str], scheme: str = "mult") -> Data
     raw = F.when(F.col("a.mode") == F.col("b.mode"), 0.0).otherwise(ra * rb if scheme == "mult" else ra + rb)
     out = a.select(*by, F.col("a.mode").alias("mode_a"), F.col("b.mode").alias("mode_b"), raw.alias("w"))
     total = F.sum("w").over(Window.partitionBy(*by)) if by else out.agg(F.sum("w").alias("t")).scalar()
-    return out.withColumn("w", F.col("w") / total)
+    return out.withColumn("w", F.try_divide(F.col("w"), total))
 
 
 def off_diagonal(corr: DataFrame, floor: float = 1e-8) -> DataFrame:
@@ -118,7 +119,7 @@ def correlation_penalty(corr: DataFrame, shares: DataFrame, by: list[str]) -> Da
     b = shares.select(*by, F.col("mode").alias("mode_b"), F.col("share").alias("_sb"))
     z = off_diagonal(corr).join(a, [*by, "mode_a"]).join(b, [*by, "mode_b"]).withColumn("_w", F.col("_sa") * F.col("_sb"))
     other = F.sum(F.when(F.col("mode_a") != F.col("mode_b"), F.col("_w")))
-    return z.groupBy(*by).agg((F.sum(F.col("r") * F.col("_w")) / other).alias("penalty"))
+    return z.groupBy(*by).agg(F.try_divide(F.sum(F.col("r") * F.col("_w")), other).alias("penalty"))
 
 
 def centring_penalty(df: DataFrame, by: list[str], keys: list[str], value: str = "value") -> DataFrame:
