@@ -23,14 +23,14 @@ def gain(b, a, period):
 
 
 def test_zero_phase_gain_matches_squared_response():
-    n = 1200
+    n = 4000
     t = np.arange(n)
     for kind, cut in (("low", 2 / 84), ("high", 2 / 36), ("band", [2 / 84, 2 / 36])):
         b, a = K.butterworth(4, cut, kind)
         for period in (12, 50, 200):
             x = np.cos(2 * np.pi * t / period)
             y = K.zero_phase(x[None], b, a)[0]
-            middle = slice(300, 900)
+            middle = slice(1500, 2500)  # away from the start-up of the narrow band
             assert np.abs(y[middle] - gain(b, a, period) * x[middle]).max() < 2e-3, (kind, period)
 
 
@@ -112,5 +112,5 @@ def test_student_probabilities():
 
 def test_window_cuts():
     cuts = window_cuts(83)
-    assert cuts == [(0, 41), (41, 82), (41, 83), (0, 20), (20, 40), (40, 60), (60, 80), (62, 83)] or cuts[2] == (41, 83)
-    assert all(b - a in (41, 42, 20, 21) for a, b in cuts)
+    # the last window of a width has one step more
+    assert cuts == [(0, 41), (41, 83), (0, 20), (20, 40), (40, 60), (60, 80), (62, 83)]
