@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidegrid.functions.calendar import month_of
 from tidegrid.functions.coords import area_weight
 from tidegrid.functions.sizing import calendar_side, checked_side
+from tidegrid.operators.series_kernels import heavy
 
 CELL = ["member", "lat_i", "lon_i"]
 
@@ -126,6 +127,7 @@ def polyfit_series(series: DataFrame, by: list[str], deg: int = 2, x: str = "mon
     A group is one index series (one row per month), so it fits a task by construction.
     """
 
+    @heavy
     @F.pandas_udf(_FIT)
     def fit(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
         rows = []

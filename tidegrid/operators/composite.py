@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tidegrid.functions.kernels import DRAW_PRIME, DRAW_STEP, ITEM_STEP, MIX_A, MIX_B, draw_counts
 from tidegrid.functions.quantiles import bounded_quantile
 from tidegrid.functions.sizing import calendar_side, constant_side
-from tidegrid.operators.series_kernels import pack_series
+from tidegrid.operators.series_kernels import BLOCK_VALUES, heavy, pack_series
 
 # Nine panels: y falls from top to bottom, x rises from left to right (fixed values).
 # "any" leaves a mode unconstrained: in the tercile layout the middle row constrains x only.
@@ -136,12 +136,18 @@ def composites(
     axis = field.agg(F.sort_array(F.collect_set("month_idx")).alias("a"))
     cached: dict = {}
 
+    @heavy
     @F.pandas_udf(_SIG)
     def resample(ts: pd.Series, vs: pd.Series, labels: pd.Series, months: pd.Series, times: pd.Series) -> pd.Series:
         if not len(ts):
             return pd.Series([], dtype=object)
         time = np.asarray(times.iloc[0])
         names, chosen = list(labels.iloc[0]), [np.asarray(m) for m in months.iloc[0]]
+        step = max(1, BLOCK_VALUES // max(len(time), n_draws))
+        parts = (block(ts[s : s + step], vs[s : s + step], time, names, chosen) for s in range(0, len(ts), step))
+        return pd.Series([row for part in parts for row in part])
+
+    def block(ts, vs, time, names, chosen) -> list:
         x = np.full((len(ts), len(time)), np.nan)
         for i, (t, v) in enumerate(zip(ts, vs)):
             x[i, np.searchsorted(time, np.asarray(t))] = np.asarray(v, dtype=float)
@@ -163,7 +169,7 @@ def composites(
                     out[i].append(
                         {"label": name, "mean": None if count[i] == 0 else mean[i], "n": int(count[i]), "lower": lower[i], "upper": upper[i]}
                     )
-        return pd.Series(out)
+        return out
 
     packed = pack_series(field, keys).withColumns({"_p": panels.scalar(), "_a": axis.scalar()})
     rows = packed.select(*keys, F.explode(resample("ts", "vs", F.col("_p.label"), F.col("_p.months"), F.col("_a"))).alias("r"))

@@ -12,6 +12,7 @@ from tidegrid.functions.kernels import butterworth, spectral_box, wave_filter, z
 from tidegrid.functions.quantiles import sorted_quantiles
 from tidegrid.functions.sizing import checked_side
 from tidegrid.operators.series_kernels import apply_per_series
+from tidegrid.session import cut_lineage
 
 ORDER = 4
 
@@ -94,6 +95,8 @@ def event_mask(filtered: DataFrame, by: list[str], percentile: float | None = No
     if threshold is None:
         if percentile is None or not 0 < percentile < 1:
             raise ValueError("the percentile must lie between 0 and 1")
+        # the filter is the costly part: its result is stored, not run for the threshold and again
+        size = cut_lineage(size)
         bound = sorted_quantiles(size.filter(F.col("_a") > 0), by, "_a", [percentile]).select(*by, F.col("quantile").alias("threshold"))
         size = size.join(checked_side(bound), by)
     else:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegrid.operators.series_kernels import heavy
+
 
 FLUSH_BYTES = 256 * 1024 * 1024
 
@@ -68,6 +70,7 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
     return whole.filter(F.size("m") > 0).select(*by, (F.size("m") - 1).alias("size"), F.flatten(F.col("m.g")).alias("gram"))
 
 
+@heavy
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _correlation(gram: pd.Series) -> pd.Series:
     out = []
@@ -82,6 +85,7 @@ def _correlation(gram: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@heavy
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _covariance(gram: pd.Series) -> pd.Series:
     out = []

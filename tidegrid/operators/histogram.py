@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.sizing import checked_side
+from tidegrid.session import cut_lineage
 
 
 def bin_of(x: Column, low: Column | float, high: Column | float, bins: int) -> Column:
@@ -29,6 +30,7 @@ def histogram_summary(hist: DataFrame, member: list[str], tolerance: float = 0.2
     An absent bin of a member is a zero. ``share`` counts members strictly within
     ``tolerance`` of the mean; a mean below ``cut`` is missing and no member agrees with it.
     """
+    hist = cut_lineage(hist)  # read three times below, and small next to the pairs it came from
     members = hist.select(F.count_distinct(*member).alias("n")).scalar()
     bins = hist.groupBy("bx", "by").agg(
         F.sum("density").alias("s"), F.sum(F.col("density") * F.col("density")).alias("s2")
@@ -71,9 +73,16 @@ def kernel_density(df: DataFrame, by: list[str], value: str = "value", points: i
     Every value adds to ``points`` sums inside its own map task; only the sums are exchanged.
     """
     present = df.filter(F.col(value).isNotNull())
-    spread = present.groupBy(*by).agg(F.count("*").alias("_n"), (F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2))).alias("_h"))
-    lo, hi = present.agg(F.min(value).alias("v")).scalar(), present.agg(F.max(value).alias("v")).scalar()
-    z = present.join(checked_side(spread), by).select(*by, F.col(value).alias("_v"), "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
+    spread = checked_side(
+        present.groupBy(*by).agg(
+            F.count("*").alias("_n"),
+            (F.stddev_samp(value) * F.pow(F.count("*"), F.lit(-0.2))).alias("_h"),
+            F.min(value).alias("_lo"),
+            F.max(value).alias("_hi"),
+        )
+    )
+    lo, hi = spread.agg(F.min("_lo").alias("v")).scalar(), spread.agg(F.max("_hi").alias("v")).scalar()
+    z = present.join(spread, by).select(*by, F.col(value).alias("_v"), "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     z = z.withColumn("x", lo + (hi - lo) * F.col("point") / (points - 1))
     u = F.try_divide(F.col("x") - F.col("_v"), F.col("_h"))
     dens = F.try_divide(F.sum(F.exp(-0.5 * u * u)), F.first("_n") * F.first("_h") * F.sqrt(2 * F.pi()))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.stats import correlation_t, t_pvalue
+from tidegrid.operators.series_kernels import heavy
 
 _CELLS = T.ArrayType(
     T.StructType(
@@ -70,6 +71,7 @@ def _correlate(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int, step:
     Repeated months are averaged with map-side sums; a row is then as long as the calendar.
     """
 
+    @heavy
     @F.pandas_udf(_CELLS)
     def table(ts: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
         return pd.Series(

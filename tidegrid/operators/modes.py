@@ -20,7 +20,7 @@ from tidegrid.functions.kernels import draw_positions
 from tidegrid.functions.sizing import calendar_side, checked_side
 from tidegrid.functions.stats import pearson
 from tidegrid.operators.gram import correlation_table, covariances, gram_matrix, mode_vectors
-from tidegrid.operators.series_kernels import array_kernel, pack_series
+from tidegrid.operators.series_kernels import array_kernel, heavy, pack_series
 from tidegrid.session import cut_lineage
 
 GRID = ["lat_i", "lon_i"]
@@ -230,6 +230,7 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
     packed = pack_series(df, [*by, *cell], t)
     centred = packed.withColumn("vs", array_kernel(lambda x: x - x.mean(axis=1, keepdims=True))("vs"))
 
+    @heavy
     @F.pandas_udf(_EIGEN)
     def solve(gram: pd.Series) -> pd.DataFrame:
         rows = []
@@ -240,7 +241,7 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
         return pd.DataFrame(rows, columns=["scores", "variance", "total"])
 
     eig = gram_matrix(centred, "vs", by).select(*by, solve("gram").alias("e"))
-    times = packed.groupBy(*by).agg(F.first("ts").alias("ts"))
+    times = df.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("ts"))
     eig = cut_lineage(eig.join(times, by) if by else eig.withColumn("ts", times.select("ts").scalar()))
     scores = (
         eig.select(*by, "ts", F.posexplode("e.scores").alias("c", "s"))

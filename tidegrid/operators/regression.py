@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidegrid.functions.sizing import calendar_side
 from tidegrid.functions.stats import t_two_sided
+from tidegrid.operators.series_kernels import heavy
 
 _FIT = T.StructType(
     [
@@ -20,6 +21,7 @@ _FIT = T.StructType(
 )
 
 
+@heavy
 @F.pandas_udf(_FIT)
 def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series) -> pd.DataFrame:
     """Coefficients, p-values and R2 of a batch of cells from their sums."""

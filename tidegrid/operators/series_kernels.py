@@ -17,6 +17,14 @@ from pyspark.sql import types as T
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
+# values that one kernel call works on, so that memory does not depend on the Arrow batch size
+BLOCK_VALUES = 2_000_000
+
+
+def heavy(udf):
+    """Mark a kernel so that the optimizer neither repeats it nor pushes filters through it."""
+    return udf.asNondeterministic()
+
 
 def pack_series(df: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", unique: bool = False) -> DataFrame:
     """One row per series: arrays ``ts`` and ``vs`` ordered by time.
@@ -38,12 +46,14 @@ def blockwise(values: pd.Series, fn: Kernel) -> pd.Series:
     for i, v in enumerate(values):
         if v is not None and len(v):
             by_length.setdefault(len(v), []).append(i)
-    for idx in by_length.values():
-        block = np.vstack([np.asarray(values.iloc[i], dtype=float) for i in idx])
-        good = np.isfinite(block).all(axis=1)
-        if good.any():
-            for i, row in zip(np.asarray(idx)[good], fn(block[good])):
-                out[i] = row
+    for length, whole in by_length.items():
+        step = max(1, BLOCK_VALUES // length)
+        for idx in (whole[s : s + step] for s in range(0, len(whole), step)):
+            block = np.vstack([np.asarray(values.iloc[i], dtype=float) for i in idx])
+            good = np.isfinite(block).all(axis=1)
+            if good.any():
+                for i, row in zip(np.asarray(idx)[good], fn(block[good])):
+                    out[i] = row
     return pd.Series(out, dtype=object)
 
 
@@ -54,7 +64,7 @@ def array_kernel(fn: Kernel) -> Callable[[Column], Column]:
     def run(values: pd.Series) -> pd.Series:
         return blockwise(values, fn)
 
-    return run
+    return heavy(run)
 
 
 def unpack_series(packed: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", values: str = "vs") -> DataFrame:
