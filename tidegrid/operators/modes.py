@@ -287,7 +287,9 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
             out += [(seed, split, f"pc{i + 1}", v, v / total) for i, v in enumerate(var)]
         return pd.DataFrame(out, columns=["seed", "split", "mode", "variance", "share"])
 
-    return fits.groupBy("seed", "split").applyInPandas(fit, "seed int, split int, mode string, variance double, share double")
+    # few small rows but much work each: a fixed partitioning keeps them from being gathered in one task
+    spread = fits.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed", "split")
+    return spread.groupBy("seed", "split").applyInPandas(fit, "seed int, split int, mode string, variance double, share double")
 
 
 def separated_modes(df: DataFrame, bands: dict[str, Callable[[DataFrame], DataFrame]], by: list[str], cell: list[str] = GRID, k: int = 1) -> PrincipalComponents:

@@ -55,14 +55,17 @@ def band_difference(df: DataFrame, by: list[str], first: tuple[float, float], se
 # -- folds ---------------------------------------------------------------------------------
 
 
-def assign_folds(df: DataFrame, n_folds: int = 5) -> DataFrame:
-    """Every ``n_folds``-th month of the time axis belongs to the same fold.
+def fold_axis(df: DataFrame, n_folds: int = 5) -> DataFrame:
+    """Fold of each month: every ``n_folds``-th month of the time axis belongs to the same one.
 
     Only the axis is ranked (one row per month of the calendar), not the table.
     """
-    axis = df.select("month_idx").distinct()
-    ranked = axis.select("month_idx", ((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month_idx")) - 1) % n_folds).cast("int").alias("fold"))
-    return df.join(calendar_side(ranked), "month_idx")
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month_idx")) - 1
+    return df.select("month_idx").distinct().select("month_idx", (rank % n_folds).cast("int").alias("fold"))
+
+
+def assign_folds(df: DataFrame, n_folds: int = 5) -> DataFrame:
+    return df.join(calendar_side(fold_axis(df, n_folds)), "month_idx")
 
 
 def training_folds(df: DataFrame, n_folds: int = 5) -> DataFrame:

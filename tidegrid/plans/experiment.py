@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.functions.sizing import calendar_side, checked_side
 from tidegrid.operators.anomaly import AnomalyModel, box_mean
 from tidegrid.operators.modes import apply_signs, principal_components, sign_table
 from tidegrid.operators.select import box as coordinate_box
 from tidegrid.operators.select import time_range
-from tidegrid.operators.series import assign_folds, training_folds
+from tidegrid.operators.series import fold_axis
 from tidegrid.operators.spectrum import order_by_period, power_spectrum, spectral_summary
 from tidegrid.schema import MODE_LABELS
 from tidegrid.session import cut_lineage
@@ -25,18 +26,17 @@ def fold_anomalies(field: DataFrame, test_from: int, cell: list[str], n_folds: i
     Trend and climatology come from the training months of the split alone; rows carry
     ``(split, kind)`` with kind train, val or test.
     """
-    folds = assign_folds(time_range(field, last=test_from - 1), n_folds)
+    axis = fold_axis(time_range(field, last=test_from - 1), n_folds)
+
+    def with_kind(df: DataFrame) -> DataFrame:
+        kind = F.when(F.col("month_idx") >= test_from, "test").when(F.col("split") == F.col("fold"), "val").otherwise("train")
+        return df.join(calendar_side(axis), "month_idx", "left").withColumn("kind", kind).drop("fold")
+
     splits = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
-    cols = [*cell, "month_idx", "lat", "value"]
-    train = training_folds(folds, n_folds).select("split", *cols)
-    model = AnomalyModel.fit(train, ["split"], ["split", *cell], deg)
-    val = folds.withColumn("split", F.col("fold")).select("split", *cols)
-    test = time_range(field, first=test_from).withColumn("split", splits).select("split", *cols)
-    # the period of a row follows from its fold, so all of them pass through the model at once
-    rows = train.withColumn("kind", F.lit("train"))
-    rows = rows.unionByName(val.withColumn("kind", F.lit("val"))).unionByName(test.withColumn("kind", F.lit("test")))
-    kinds = rows.select("split", "month_idx", "kind").distinct()
-    return model.transform(rows.drop("kind")).join(kinds, ["split", "month_idx"])
+    rows = field.select(*cell, "month_idx", "lat", "value").withColumn("split", splits)
+    model = AnomalyModel.fit(with_kind(rows).filter(F.col("kind") == "train"), ["split"], ["split", *cell], deg)
+    # the split and the month of a row decide its period, so all periods pass through the model at once
+    return with_kind(model.transform(rows))
 
 
 def run_experiment(
@@ -59,6 +59,7 @@ def run_experiment(
     """
     data = cut_lineage(fold_anomalies(field, test_from, cell, n_folds))
     labels = F.lit(list(MODE_LABELS[:k]))
+    in_box = checked_side(coordinate_box(nodes, **sign_box))
     out = None
     for step in range(steps):
         pcs = principal_components(data.filter(F.col("kind") == "train"), ["split"], cell, k)
@@ -67,7 +68,7 @@ def run_experiment(
         peaks = spectral_summary(power_spectrum(sample, ["split", "mode"], smooth=smooth), ["split", "mode"])
         order = order_by_period(peaks, ["split"], MODE_LABELS[:k]).select("split", "mode", "label")
         decoded = cut_lineage(pcs.reconstruct(data, series, ["split", "kind"]))
-        inside = coordinate_box(decoded.filter(F.col("kind") != "test").join(nodes, [c for c in cell if c in nodes.columns]), **sign_box)
+        inside = decoded.filter(F.col("kind") != "test").join(in_box, [c for c in cell if c in nodes.columns])
         reference = box_mean(inside.withColumn("value", F.col("decoded")), ["split", "month_idx"])
         signed = apply_signs(series, sign_table(sample, reference, ["split"]), ["split"])
         named = signed.join(order, ["split", "mode"]).select(

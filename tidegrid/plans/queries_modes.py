@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidegrid.functions.kernels import butterworth
 from tidegrid.operators import anomaly as A
 from tidegrid.operators import filters as B
 from tidegrid.operators import modes as M
@@ -15,6 +16,7 @@ from tidegrid.operators import skill as K
 from tidegrid.operators.gram import mode_vectors
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.queries_anomaly import _AREA, _POLY2
+from tidegrid.plans.queries_spectral import zero_phase_sql
 from tidegrid.plans.registry import query, rnd, rounded
 
 MODES = [1, 2, 3, 4, 5]
@@ -253,6 +255,83 @@ def ensemble_of_fits(spark, sf):
     return out.select("seed", "split", "mode", rounded("variance").alias("variance"), rounded("share").alias("share"))
 
 
+# -- components with a closed form: two event series stand for two cells -------------------------
+
+_PAIR_H = f"""{X.HOURLY_SQL}, h2 as (select * from h where mode in ('click', 'view'))"""
+
+
+def _two_cells(spark, sf):
+    h = X.hourly(spark, sf).filter(F.col("mode").isin("click", "view"))
+    return h.select("member", F.col("mode").alias("cell"), F.col("t").alias("month_idx"), "value")
+
+
+def _eigen_sql(tag: str) -> str:
+    """Eigenvalues of the covariance of the two filtered series of a member."""
+    return (
+        f"tw{tag} as (select member, i, max(case when mode = 'click' then y end) as u, max(case when mode = 'view' then y end) as v from zp{tag} group by 1, 2), "
+        f"cv{tag} as (select member, var_samp(u) as a, covar_samp(u, v) as b, var_samp(v) as c, avg(u) as mu, avg(v) as mv from tw{tag} group by 1), "
+        f"ev{tag} as (select *, (a + c)/2 + sqrt(pow((a - c)/2, 2) + b*b) as l1, sqrt(b*b + pow((a + c)/2 + sqrt(pow((a - c)/2, 2) + b*b) - a, 2)) as nn from cv{tag})"
+    )
+
+
+@query(
+    "low_passed_projection",
+    "AGG40 FIL2 AGG39",
+    f"""with recursive {_PAIR_H}, {zero_phase_sql("h2", "member, mode", "t", *butterworth(4, 2 / 24, "low"))}, {_eigen_sql("")},
+sg as (select tw.member, sign(arg_max(((u - mu)*b + (v - mv)*(l1 - a))/nn, abs(((u - mu)*b + (v - mv)*(l1 - a))/nn))) as s from tw join ev on tw.member = ev.member group by 1),
+rw as (select member, t, max(case when mode = 'click' then value end) as u, max(case when mode = 'view' then value end) as v from h2 group by 1, 2)
+select rw.member, t as month_idx, 'pc1' as mode, {rnd("s*((u - mu)*b + (v - mv)*(l1 - a))/nn", 5)} as value from rw join ev on rw.member = ev.member join sg on sg.member = rw.member""",
+)
+def low_passed_projection(spark, sf):
+    """Leading mode of the low-passed pair of each member, and the unfiltered pair projected on it."""
+    raw = _two_cells(spark, sf)
+    pcs = M.principal_components(B.low_pass(raw, ["member", "cell"], 24), ["member"], ["cell"], 1)
+    return pcs.transform(raw).withColumn("value", rounded("value", 5))
+
+
+_BANDS = {"slow": ("low", [2 / 48]), "middle": ("band", [2 / 48, 2 / 12]), "fast": ("high", [2 / 12])}
+
+
+@query(
+    "separated_pair",
+    "MOD10 FIL2 FIL3 FIL4",
+    f"with recursive {_PAIR_H}, "
+    + ", ".join(zero_phase_sql("h2", "member, mode", "t", *butterworth(4, cut, kind), name) + ", " + _eigen_sql(name) for name, (kind, cut) in _BANDS.items())
+    + " "
+    + " union all ".join(f"select member, '{name}' as band, {rnd('l1', 5)} as variance, {rnd('l1/(a + c)', 5)} as share from ev{name}" for name in _BANDS),
+)
+def separated_pair(spark, sf):
+    """One mode per band of periods, from bands filtered apart first."""
+    key = ["member", "cell"]
+    bands = {
+        "slow": lambda d: B.low_pass(d, key, 48),
+        "middle": lambda d: B.band_pass(d, key, 48, 12),
+        "fast": lambda d: B.high_pass(d, key, 12),
+    }
+    pcs = M.separated_modes(_two_cells(spark, sf), bands, ["member"], ["cell"], 1)
+    return pcs.variance.select("member", "band", rounded("variance", 5).alias("variance"), rounded("share", 5).alias("share"))
+
+
+@query(
+    "ensemble_of_pair_fits",
+    "MOD9",
+    f"""with {_PAIR_H}, rw as (select t, sum(case when mode = 'click' then value end) as u, sum(case when mode = 'view' then value end) as v from h2 group by 1),
+ft as (select seed, split from (select cast(unnest(range(0, 50)) as int) as seed) a cross join (select cast(unnest(range(0, 5)) as int) as split) b),
+tr as (select split, t, row_number() over (partition by split order by t) - 1 as pos, count(*) over (partition by split) as n from (select distinct split from ft) s cross join rw where t % 5 <> split),
+d0 as (select seed, split, (j*7919 + seed*104729 + split + 1) % 2147483647 as x from ft cross join (select unnest(range(0, 576)) as j) q),
+d1 as (select seed, split, (x*x + 12345) % 2147483647 as x from d0), d2 as (select seed, split, (x*x + 678910) % 2147483647 as x from d1),
+sm as (select seed, d2.split, u, v from d2 join tr on tr.split = d2.split and tr.pos = x % n join rw on rw.t = tr.t),
+cv as (select seed, split, var_samp(u) as a, covar_samp(u, v) as b, var_samp(v) as c from sm group by 1, 2)
+select seed, split, {rnd("(a + c)/2 + sqrt(pow((a - c)/2, 2) + b*b)", 5)} as variance, {rnd("((a + c)/2 + sqrt(pow((a - c)/2, 2) + b*b))/(a + c)", 5)} as share from cv""",
+)
+def ensemble_of_pair_fits(spark, sf):
+    """Fifty resampled fits of each split on the pair summed over members."""
+    pair = _two_cells(spark, sf).groupBy("cell", "month_idx").agg(F.sum("value").alias("value"))
+    fits = spark.range(50).select(F.col("id").cast("int").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("split"))
+    out = M.fit_ensemble(pair, fits, ["cell"], 1)
+    return out.select("seed", "split", rounded("variance", 5).alias("variance"), rounded("share", 5).alias("share"))
+
+
 # -- batch scoring -----------------------------------------------------------------------------
 
 

@@ -19,6 +19,7 @@ from tidegrid.plans.queries_grid import _WEIGHTS, LAT, LON, target_nodes
 from tidegrid.plans.queries_series import _FOLDS
 from tidegrid.plans.registry import query, rnd, rounded
 from tidegrid.plans.report import lag_report, panel_report, phase_report
+from tidegrid.session import cut_lineage
 
 BAD_MONTH = 1996 * 12 + 1
 
@@ -58,7 +59,8 @@ def fold_anomalies_query(spark, sf):
 
 @query("recursive_experiment", "MOD7 MOD8 MOD9 AGG6 AGG39 AGG43 AGG44 AGG16", None)
 def recursive_experiment(spark, sf):
-    field = S.complete_cells(X.field(spark, sf), A.CELL)
+    # the basin dataset is a stored table: the experiment passes over it several times
+    field = cut_lineage(S.complete_cells(X.field(spark, sf), A.CELL))
     nodes = field.select(*A.CELL, "lat", "lon").distinct()
     out = run_experiment(field, HELD_OUT, A.CELL, nodes, {"lat": (-15, 15), "lon": (60, 180)}, steps=3, k=3)
     return out.withColumn("value", rounded("value", 4))

@@ -199,8 +199,8 @@ def windowed_spectrum(spark, sf):
 # -- filters -----------------------------------------------------------------------------------
 
 
-def zero_phase_sql(src: str, keys: str, t: str, b, a) -> str:
-    """Both passes of the filter as recursive SQL on series held in lists; the result is ``zp(keys, i, y)``."""
+def zero_phase_sql(src: str, keys: str, t: str, b, a, tag: str = "") -> str:
+    """Both passes of the filter as recursive SQL on series held in lists; the result is ``zp<tag>(keys, i, y)``."""
     n, pad = len(a) - 1, 3 * len(a)
     level = sum(b) / sum(a)
     start = [sum(b[j] - a[j] * level for j in range(i + 1, n + 1)) for i in range(n)]
@@ -212,7 +212,6 @@ def zero_phase_sql(src: str, keys: str, t: str, b, a) -> str:
         return y, ", ".join(f"{e} as z{i + 1}" for i, e in enumerate(z))
 
     def run(name: str, source: str) -> str:
-        first = "({i})"
         y0 = f"({num(float(b[0]))}*x[1] + {num(float(start[0]))}*x[1])"
         z0 = ", ".join(
             f"{num(float(b[i]))}*x[1] - {num(float(a[i]))}*{y0}" + (f" + {num(float(start[i]))}*x[1]" if i < n else "") + f" as z{i}" for i in range(1, n + 1)
@@ -226,13 +225,13 @@ def zero_phase_sql(src: str, keys: str, t: str, b, a) -> str:
         )
 
     return (
-        f"sr as (select {keys}, list(value order by {t}) as v from {src} group by {keys}), "
-        f"se as (select {keys}, list_concat(list_transform(range({pad}, 0, -1), lambda k: 2*v[1] - v[1 + k]), v, list_transform(range(1, {pad + 1}), lambda k: 2*v[len(v)] - v[len(v) - k])) as x from sr), "
-        + run("fw", "se")
-        + f", sb as (select {keys}, list(y order by i desc) as x from fw group by {keys}), "
-        + run("bw", "sb")
-        + f", zl as (select {keys}, list(y order by i desc) as x from bw group by {keys}), "
-        f"zp as (select {keys}, unnest(range(0, len(x) - {2 * pad})) as i, unnest(x[{pad + 1}:len(x) - {pad}]) as y from zl)"
+        f"sr{tag} as (select {keys}, list(value order by {t}) as v from {src} group by {keys}), "
+        f"se{tag} as (select {keys}, list_concat(list_transform(range({pad}, 0, -1), lambda k: 2*v[1] - v[1 + k]), v, list_transform(range(1, {pad + 1}), lambda k: 2*v[len(v)] - v[len(v) - k])) as x from sr{tag}), "
+        + run(f"fw{tag}", f"se{tag}")
+        + f", sb{tag} as (select {keys}, list(y order by i desc) as x from fw{tag} group by {keys}), "
+        + run(f"bw{tag}", f"sb{tag}")
+        + f", zl{tag} as (select {keys}, list(y order by i desc) as x from bw{tag} group by {keys}), "
+        f"zp{tag} as (select {keys}, unnest(range(0, len(x) - {2 * pad})) as i, unnest(x[{pad + 1}:len(x) - {pad}]) as y from zl{tag})"
     )
 
 
@@ -298,8 +297,34 @@ def wave_events(spark, sf):
     return B.event_mask(out, SERIES, 0.9).select(*SERIES, "lon_i", "t", rounded("threshold", 5).alias("threshold"), "event")
 
 
-@query("wave_dispersion", "FIL6 FIL7", None)
+# dispersion curve of the Kelvin preset on the mirrored axis i (wavenumber 11 - i of the transform), after
+# Gaussian smoothing of one grid step along longitude with mirrored ends
+_DISPERSION = f"""{X.ZONAL_SQL}, gw as (select o, exp(-0.5*o*o)/sum(exp(-0.5*o*o)) over () as w from (select unnest(range(-4, 5)) as o) q),
+gi as (select lon_i, case when lon_i + o < 0 then -1 - (lon_i + o) when lon_i + o >= 12 then 23 - (lon_i + o) else lon_i + o end as src, w from (select unnest(range(0, 12)) as lon_i) q cross join gw),
+zs as (select zh.member, zh.mode, cast(gi.lon_i as int) as lon_i, zh.t, sum(w*value) as value from zh join gi on zh.lon_i = gi.src group by 1, 2, 3, 4),
+ij as (select i, j, case when i < 6 then i else i - 12 end/6.371008e6*(24*3600.0/(2*pi()*24))*720 as q from (select unnest(range(1, 7)) as i) a cross join (select unnest(range(2, 13)) as j) b),
+kj as (select 11 - i as k, j from ij where j >= floor(q*sqrt(9.80665*8)) and j <= greatest(ceil(q*sqrt(9.80665*90)), 0)),
+wf as (select member, mode, k, j, sum(value*cos(2*pi()*(k*lon_i/12.0 + j*t/720.0))) as re, -sum(value*sin(2*pi()*(k*lon_i/12.0 + j*t/720.0))) as im from zs cross join kj group by 1, 2, 3, 4)"""
+
+
+@query(
+    "wave_dispersion",
+    "FIL5 FIL6 FIL7",
+    f"""with {_DISPERSION} select zs.member, zs.mode, zs.lon_i, zs.t, {rnd("sum(re*cos(2*pi()*(k*lon_i/12.0 + j*t/720.0)) - im*sin(2*pi()*(k*lon_i/12.0 + j*t/720.0)))*2/(12*720.0)", 5)} as value
+from zs join wf on zs.member = wf.member and zs.mode = wf.mode group by 1, 2, 3, 4""",
+)
 def wave_dispersion(spark, sf):
-    """Presets with their dispersion curves and zonal smoothing first."""
-    out = B.wave_band(X.zonal_hourly(spark, sf), SERIES, "er", obs_per_day=24, smooth=1.0, dispersion=True)
-    return out.groupBy(*SERIES).agg(rounded(F.var_pop("value")).alias("variance"), F.count("value").alias("n"))
+    """The preset with its dispersion curve, after smoothing along longitude."""
+    out = B.wave_band(X.zonal_hourly(spark, sf), SERIES, "kelvin", obs_per_day=24, smooth=1.0, dispersion=True)
+    return out.withColumn("value", rounded("value", 5))
+
+
+@query("wave_presets", "FIL5 FIL6", None)
+def wave_presets(spark, sf):
+    """Variance that the other presets keep, with their dispersion curves."""
+    out = None
+    for wave in ("er", "mrg", "ig1", "mjo"):
+        part = B.wave_band(X.zonal_hourly(spark, sf), SERIES, wave, obs_per_day=24, dispersion=True)
+        part = part.groupBy(*SERIES).agg(rounded(F.var_pop("value")).alias("variance"), F.count("value").alias("n")).withColumn("wave", F.lit(wave))
+        out = part if out is None else out.unionByName(part)
+    return out
