@@ -115,3 +115,20 @@ def test_experiment_end_to_end(spark):
     # each held-out month is encoded once per recursion and mode
     val = out[out.kind == "val"].groupby(["recursion", "mode", "month_idx"]).size()
     assert (val == 1).all() and len(val) == 2 * 2 * 96
+
+
+def test_wave_band_equals_the_two_dimensional_transform(spark):
+    import pandas as pd
+
+    from tidegrid.functions.kernels import wave_filter
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3, 10, 97))
+    rows = [(i, j, t, float(x[i, j, t])) for i in range(3) for j in range(10) for t in range(97) if (i, j, t) != (2, 4, 50)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["lat_i", "lon_i", "t", "value"])).repartition(6)
+    for wave, smooth, curves in (("kelvin", None, False), ("er", 1.0, True), ("mrg", None, True), ("ig1", None, False)):
+        got = B.wave_band(df, ["lat_i"], wave, 4, smooth=smooth, dispersion=curves).toPandas()
+        assert got[got.lat_i == 2].value.isna().all() and len(got) == 3 * 10 * 97
+        for i in (0, 1):
+            grid = got[got.lat_i == i].pivot(index="lon_i", columns="t", values="value").to_numpy()
+            assert grid == pytest.approx(wave_filter(x[i], 4, wave, smooth, curves), abs=1e-10)

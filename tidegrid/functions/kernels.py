@@ -142,6 +142,12 @@ def wave_rows(nf: int, obs_per_day: float, t_min: float, t_max: float) -> np.nda
     return (j >= lo) & (j <= hi)
 
 
+def kept_frequencies(n: int, obs_per_day: float, wave: str) -> np.ndarray:
+    """Frequency rows of a preset for ``n`` time steps; row 0, which is then masked, where none is left."""
+    rows = np.flatnonzero(wave_rows(n // 2 + 1, obs_per_day, *WAVES[wave][:2]))
+    return rows if len(rows) else np.zeros(1, dtype=int)
+
+
 def _dispersion(wave: str, k: float, c: np.ndarray) -> np.ndarray | None:
     if wave == "kelvin":
         return k * c

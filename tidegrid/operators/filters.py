@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.functions.kernels import butterworth, spectral_box, wave_filter, zero_phase
+from tidegrid.functions.kernels import butterworth, gaussian_smooth, kept_frequencies, spectral_box, wave_keep, zero_phase
 from tidegrid.functions.quantiles import sorted_quantiles
 from tidegrid.functions.sizing import checked_side
-from tidegrid.operators.series_kernels import apply_per_series
+from tidegrid.operators.series_kernels import apply_per_series, heavy, pack_series
 from tidegrid.session import cut_lineage
 
 ORDER = 4
@@ -49,6 +49,10 @@ def band_pass(
     return _filtered(df, keys, "band", [longest, shortest], t, value, method, unique)
 
 
+_COEF = T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])
+_COEF_J = T.StructType([T.StructField("j", T.IntegerType()), *_COEF.fields])
+
+
 def wave_band(
     df: DataFrame,
     by: list[str],
@@ -62,27 +66,63 @@ def wave_band(
 ) -> DataFrame:
     """Wavenumber-frequency box of a wave preset on every longitude-time slice.
 
-    A group is one slice (for instance one member and latitude): at most longitudes times time
-    steps. Slices with gaps give NULL. ``dispersion`` also applies the dispersion curves.
+    The two-dimensional transform is separable: first along time (a task holds one series), then
+    along longitude for each kept frequency (a circle of longitudes), then back. So no slice is
+    ever gathered, and only the kept frequencies take part in the second and third exchange. A
+    slice with gaps gives NULL; the time axis is that of the whole table. ``smooth`` is a
+    Gaussian along longitude first, ``dispersion`` also applies the dispersion curves.
     """
     name = wave.lower()
-    schema = T.StructType([*[df.schema[k] for k in by], df.schema[lon], df.schema[t], T.StructField(value, T.DoubleType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index=lon, columns=t, values=value)
-        x = grid.to_numpy(dtype=float)
-        if min(x.shape) < 2:
-            raise ValueError("a wave filter needs a two-dimensional slice")
-        out = np.full(x.shape, np.nan)
-        if np.isfinite(x).all():
-            out = wave_filter(x, obs_per_day, name, smooth, dispersion)
-        flat = pd.DataFrame({lon: np.repeat(grid.index.to_numpy(), x.shape[1]), t: np.tile(grid.columns.to_numpy(), x.shape[0]), value: out.ravel()})
-        for k in by:
-            flat[k] = pdf[k].iloc[0]
-        return flat[[f.name for f in schema.fields]]
-
-    one = df.groupBy(*by, lon, t).agg(F.avg(value).alias(value))
-    return one.groupBy(*by).applyInPandas(run, schema)
+    axis = df.agg(F.sort_array(F.collect_set(t)).alias("a")).scalar()
+
+    @heavy
+    @F.pandas_udf(T.ArrayType(_COEF_J))
+    def to_frequency(vs: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for v, size in zip(vs, n):
+            x = np.asarray(v, dtype=float)
+            kept = kept_frequencies(int(size), obs_per_day, name)
+            coef = np.fft.rfft(x)[kept] if len(x) == size and np.isfinite(x).all() else np.full(len(kept), np.nan + 0j)
+            out.append([{"j": int(j), "re": c.real, "im": c.imag} for j, c in zip(kept, coef)])
+        return pd.Series(out, dtype=object)
+
+    @heavy
+    @F.pandas_udf(T.ArrayType(_COEF))
+    def across_longitudes(re: pd.Series, im: pd.Series, j: pd.Series, n: pd.Series) -> pd.Series:
+        masks: dict[tuple, np.ndarray] = {}
+        out = []
+        for a, b, at, size in zip(re, im, j, n):
+            c = np.asarray(a, dtype=float) + 1j * np.asarray(b, dtype=float)
+            shape = (len(c), int(size))
+            if shape not in masks:
+                masks[shape] = wave_keep(*shape, obs_per_day, name, dispersion)
+            if smooth is not None:
+                c = gaussian_smooth(c.real[:, None], smooth)[:, 0] + 1j * gaussian_smooth(c.imag[:, None], smooth)[:, 0]
+            c = np.fft.ifft(np.where(masks[shape][:, at], np.fft.fft(c), 0))
+            out.append([{"re": z.real, "im": z.imag} for z in c])
+        return pd.Series(out, dtype=object)
+
+    @heavy
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def to_time(j: pd.Series, re: pd.Series, im: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for at, a, b, size in zip(j, re, im, n):
+            spec = np.zeros(int(size) // 2 + 1, dtype=complex)
+            spec[np.asarray(at)] = np.asarray(a, dtype=float) + 1j * np.asarray(b, dtype=float)
+            out.append(np.fft.irfft(spec, n=int(size)) if np.isfinite(spec).all() else np.full(int(size), np.nan))
+        return pd.Series(out, dtype=object)
+
+    packed = pack_series(df, [*by, lon], t, value).withColumn("_n", F.size(axis))
+    freq = packed.select(*by, lon, "_n", F.explode(to_frequency("vs", "_n")).alias("c")).select(*by, lon, "_n", "c.*")
+    circle = freq.groupBy(*by, "j", "_n").agg(F.sort_array(F.collect_list(F.struct(lon, "re", "im"))).alias("s"))
+    kept = circle.select(
+        *by, "j", "_n", F.col(f"s.{lon}").alias(lon), across_longitudes(F.col("s.re"), F.col("s.im"), "j", "_n").alias("c")
+    )
+    back = kept.select(*by, "j", "_n", F.explode(F.arrays_zip(lon, "c")).alias("z")).select(*by, f"z.{lon}", "j", "_n", "z.c.re", "z.c.im")
+    series = back.groupBy(*by, lon, "_n").agg(F.sort_array(F.collect_list(F.struct("j", "re", "im"))).alias("s"))
+    out = series.select(*by, lon, to_time(F.col("s.j"), F.col("s.re"), F.col("s.im"), "_n").alias("v")).withColumn("_t", axis)
+    rows = out.select(*by, lon, F.explode(F.arrays_zip(F.col("_t").alias("t"), F.col("v").alias("v"))).alias("z"))
+    return rows.select(*by, lon, F.col("z.t").alias(t), F.nanvl(F.col("z.v"), F.lit(None).cast("double")).alias(value))
 
 
 def event_mask(filtered: DataFrame, by: list[str], percentile: float | None = None, threshold: float | None = None, value: str = "value") -> DataFrame:

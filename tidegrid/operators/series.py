@@ -156,4 +156,4 @@ def best_step(metrics: DataFrame, keys: list[str], x: str = "epoch", value: str
 def ranked(df: DataFrame, by: list[str], order: Column, labels: tuple[str, ...] = ()) -> DataFrame:
     """Rank 1.. inside each group, with optional labels by rank."""
     out = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    return out.withColumn("label", F.element_at(F.lit(list(labels)), F.col("rank"))) if labels else out
+    return out.withColumn("label", F.try_element_at(F.lit(list(labels)), F.col("rank"))) if labels else out

@@ -61,7 +61,7 @@ def parse_index_lines(lines: DataFrame, n_years: int | None = None, sentinel: fl
         # at most one row per calendar year and file
         rank = F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("year"))
         rows = rows.withColumn("_k", rank).filter(F.col("_k") <= n_years).drop("_k")
-    wide = rows.select(*by, "year", *[F.col("p")[i + 1].cast("double").alias(m) for i, m in enumerate(MONTH_COLUMNS)])
+    wide = rows.select(*by, "year", *[F.col("p")[i + 1].try_cast("double").alias(m) for i, m in enumerate(MONTH_COLUMNS)])
     long = wide.unpivot([*by, "year"], list(MONTH_COLUMNS), "month_name", "value")
     month0 = F.array_position(F.lit(list(MONTH_COLUMNS)), F.col("month_name")) - 1
     return long.select(
