@@ -120,6 +120,18 @@ _SIG = T.ArrayType(
 )
 
 
+def _row_quantiles(draws: np.ndarray, alpha: float) -> np.ndarray:
+    """Lower and upper quantile of each row; the slow form for missing draws only where there are any."""
+    out = np.full((2, len(draws)), np.nan)
+    missing = np.isnan(draws)
+    whole, some = ~missing.any(axis=1), missing.any(axis=1) & ~missing.all(axis=1)
+    if whole.any():
+        out[:, whole] = np.quantile(draws[whole], [alpha, 1 - alpha], axis=1)
+    if some.any():
+        out[:, some] = np.nanquantile(draws[some], [alpha, 1 - alpha], axis=1)
+    return out
+
+
 def composites(
     field: DataFrame, selection: DataFrame, keys: list[str], label: str = "panel", n_draws: int = 1000, alpha: float = 0.05, seed: int = 0
 ) -> DataFrame:
@@ -164,7 +176,7 @@ def composites(
                 if key not in cached:
                     cached[key] = draw_counts(n_draws, n, len(time), seed)
                 draws = (filled @ cached[key].T) / (there @ cached[key].T)
-                lower, upper = np.nanquantile(draws, [alpha, 1 - alpha], axis=1)
+                lower, upper = _row_quantiles(draws, alpha)
                 for i in range(len(ts)):
                     out[i].append(
                         {"label": name, "mean": None if count[i] == 0 else mean[i], "n": int(count[i]), "lower": lower[i], "upper": upper[i]}
