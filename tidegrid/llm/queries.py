@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.jaccard_join import jaccard_components
+from tidegrid.llm.ranking import fit_quality, quality_scores
 from tidegrid.llm.store import table
+from tidegrid.llm.supervised import remainder
+from tidegrid.llm.toxicity import fit_toxicity, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +34,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the labels is never learned."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    scores = toxicity_scores(docs, model)
+    return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 _DEDUP_SQL = """
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from documents),
 g as (select low, max(doc_id) as keep_id, count(*) as group_size from t group by low)
@@ -40,3 +53,12 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts by block naming."""
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a quarter of the labels is never learned."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    scores = quality_scores(docs, model)
+    return scores.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
