@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from tidegrid.llm.bpe import encode_decode
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.jaccard_join import jaccard_components
+from tidegrid.llm.lexical_packing import pack
 from tidegrid.llm.ranking import fit_quality, quality_scores
 from tidegrid.llm.store import table
 from tidegrid.llm.supervised import remainder
@@ -55,6 +59,28 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with a checksum of their ids."""
+    return pack(docs, VOCABULARY).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query()
+def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packed(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text they decode to, as digests."""
+    done = encode_decode(table(spark, sf_dir, "documents"), VOCABULARY)
+    size = (F.octet_length("ids") / 4).cast("long")
+    return done.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query()
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; a quarter of the labels is never learned."""
