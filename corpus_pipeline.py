@@ -3,13 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidegrid.llm.exact_dedup import exact_dedup
-from tidegrid.llm.jaccard_join import jaccard_components
+from tidegrid.llm.exact_dedup import drop_copies
+from tidegrid.llm.jaccard_join import one_of_each
+from tidegrid.llm.queries import packed
+from tidegrid.llm.ranking import fit_quality, with_quality
 from tidegrid.llm.store import store, table
+from tidegrid.llm.supervised import remainder
+from tidegrid.llm.toxicity import fit_toxicity, with_toxicity
 
-STAGES: list = []
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trees don't call toxic."""
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return with_toxicity(docs, model, name="__score").filter("__score < 0.5").drop("__score")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that rank above the quantile of bad ones."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    return with_quality(docs, model, name="__score").filter("__score >= 0.7").drop("__score")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar texts: five words to a shingle, similarity of 0.8 or more."""
+    return one_of_each(docs, width=5, num=80, den=100)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return packed(docs)
+
+
+STAGES = [("toxicity", toxicity), ("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("packing", packing)]
 
 #: Trained scores, byte-pair ids and greedy packing have no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None

@@ -13,13 +13,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from tidegrid.llm.store import byte_texts, release, split_join, store
+from tidegrid.llm.store import byte_texts, release, split_join, store, with_text_column
 
 BLOCK = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _sha(texts: list[bytes]) -> list[bytes]:
+    return [hashlib.sha256(t.translate(_LOWER)).digest() for t in texts]
+
+
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
     """(id, sha, blocks, pos, content) of each block; an empty text has one empty block."""
 
@@ -114,3 +119,22 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, with all their columns.
+
+    Rows are told apart by key and text; of rows that repeat both one stays.
+    """
+    found = exact_dedup(docs, key, text).groupBy(F.col(key).alias("__id"), F.unhex("text_sha256").alias("__sha"))
+    rows = found.agg(F.count(F.lit(1)).alias("__rows"), F.max("kept").alias("__kept")).filter("__rows > 1 or not __kept")
+    rows, _ = store(rows, "touched")
+    marked = with_text_column(docs, text, "__sha", BinaryType(), lambda: _sha)
+
+    def same(other: DataFrame):
+        return marked[key].cast("long").eqNullSafe(other["__id"]) & (marked["__sha"] == other["__sha"])
+
+    repeated = rows.filter("__kept")
+    single = marked.join(rows, same(rows), "left_anti")
+    one = marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, "__sha"])
+    return single.union(one).drop("__sha")

@@ -301,3 +301,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = split_join(held, least, ["root"]).select("fp", "component_id")
     out = own.filter("n > 0").join(named, "fp").select("id", "n", "component_id").union(own.filter("n = 0").select("id", "n", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose key is the least of its component, with all their columns; rows without key stay."""
+    found = jaccard_components(docs, key, text, width, num, den)
+    gone, _ = store(found.filter(f"`{key}` <> component_id").select(F.col(key).alias("__gone")).distinct(), "gone")
+    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")

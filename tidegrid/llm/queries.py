@@ -13,10 +13,10 @@ from tidegrid.llm.bpe import encode_decode
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.jaccard_join import jaccard_components
 from tidegrid.llm.lexical_packing import pack
-from tidegrid.llm.ranking import fit_quality, quality_scores
+from tidegrid.llm.ranking import fit_quality, with_quality
 from tidegrid.llm.store import table
 from tidegrid.llm.supervised import remainder
-from tidegrid.llm.toxicity import fit_toxicity, toxicity_scores
+from tidegrid.llm.toxicity import fit_toxicity, with_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,7 +43,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a fifth of the labels is never learned."""
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    scores = toxicity_scores(docs, model)
+    scores = with_toxicity(docs.select("doc_id", "text"), model)
     return scores.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -86,5 +86,5 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; a quarter of the labels is never learned."""
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
-    scores = quality_scores(docs, model)
+    scores = with_quality(docs.select("doc_id", "text"), model)
     return scores.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

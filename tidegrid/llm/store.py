@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.session import shared_folder
 
@@ -75,3 +76,19 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def list_column(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Arrow lists of ``counts[i]`` consecutive values of ``flat``."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, type=kind))
+
+
+def with_text_column(docs: DataFrame, text: str, name: str, kind: T.DataType, make: Callable[[], Callable[[list[bytes]], list | np.ndarray]]) -> DataFrame:
+    """``docs`` with one more column computed from the whole texts, without a shuffle; ``make()`` runs once per task."""
+    if name in docs.columns:
+        raise ValueError(f"column {name} is there already")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for b in batches:
+            values = of(byte_texts(b.column(at))) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, kinds[kind.typeName()])], [*b.schema.names, name])
+
+    kinds = {"double": pa.float64(), "binary": pa.binary(), "long": pa.int64()}
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))

@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidegrid.llm.boosting import Trees, fit_trees, isotonic
-from tidegrid.llm.store import byte_texts
+from tidegrid.llm.store import byte_texts, with_text_column
 from tidegrid.llm.supervised import SAMPLE_ROWS, byte_profile, labelled_sample, share
 
 LEXICON_TERMS = 2_000
@@ -190,13 +191,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, key: str = "
     return ToxicityModel(lexicon, fit_trees(x, y), *isotonic(apart, y))
 
 
-def toxicity_scores(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row and whole text; null texts score as empty ones. Repeated rows stay, other columns are not read."""
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text; null texts score as empty ones. All rows and columns stay as they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         known = _Words(model.lexicon)
-        for b in batches:
-            score = model.score(features_of(byte_texts(b.column(1)), known)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], [key, "score"])
+        return lambda texts: model.score(features_of(texts, known))
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, score double")
+    return with_text_column(docs, text, name, DoubleType(), make)
