@@ -11,6 +11,7 @@ import public_tokenizers
 
 from tidegrid.llm.bpe import encode_decode
 from tidegrid.llm.exact_dedup import exact_dedup
+from tidegrid.llm.html_extraction import extract_main_text, learn_weights
 from tidegrid.llm.jaccard_join import jaccard_components
 from tidegrid.llm.lexical_packing import pack
 from tidegrid.llm.ranking import fit_quality, with_quality
@@ -59,6 +60,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    found = extract_main_text(pages, learn_weights(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
