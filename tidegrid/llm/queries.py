@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from tidegrid.llm.bpe import encode_decode
+from tidegrid.llm.chat import maximal_turns, render
+from tidegrid.llm.chroma import search, vector_recordings
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.html_extraction import extract_main_text, learn_weights
 from tidegrid.llm.jaccard_join import jaccard_components
@@ -60,6 +62,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of every hundredth recording, aligned with all recordings; the vectors are the scores that are played."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vector_recordings(vectors), vector_recordings(vectors.filter("vec_id % 100 = 0"), excerpts=True))
+
+
 @query()
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
@@ -90,6 +99,25 @@ def op7_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", size.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+_CHAT_SQL = """
+with t as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null),
+p as (select *, turn - min(turn) over (partition by conv_id) as pos, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) as segment from t),
+s as (select conv_id, pos, string_agg(segment, chr(0) order by role, text) as part from p group by conv_id, pos),
+x as (select conv_id, pos, max(pos) over (partition by conv_id) as last,
+      list((pos, part)) over (partition by conv_id order by pos rows between unbounded preceding and current row) as prefix from s),
+ends as (select prefix, min(conv_id) as conv_id from x where pos = last group by prefix),
+kept as (select conv_id from ends where not exists (select 1 from x where x.pos < x.last and x.prefix = ends.prefix))
+select p.conv_id, p.turn, p.role, p.segment, coalesce(sum(length(segment)) over (partition by p.conv_id order by p.turn, p.role, p.text rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+       p.role = 'assistant' as trainable
+from p join kept using (conv_id)"""
+
+
+@query(_CHAT_SQL)
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the conversations that are no snapshot of a longer one."""
+    return render(maximal_turns(table(spark, sf_dir, "conversations")))
+
+
 @query()
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; a quarter of the labels is never learned."""
