@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrid.llm.exact_dedup import drop_copies
 from tidegrid.llm.jaccard_join import one_of_each
 from tidegrid.llm.queries import packed
 from tidegrid.llm.ranking import fit_quality, with_quality
-from tidegrid.llm.store import store, table
+from tidegrid.llm.store import free_name, store, table
 from tidegrid.llm.supervised import remainder
 from tidegrid.llm.toxicity import fit_toxicity, with_toxicity
 
@@ -16,13 +17,15 @@ from tidegrid.llm.toxicity import fit_toxicity, with_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trees don't call toxic."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return with_toxicity(docs, model, name="__score").filter("__score < 0.5").drop("__score")
+    name = free_name(docs, "score")
+    return with_toxicity(docs, model, name=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that rank above the quantile of bad ones."""
     model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
-    return with_quality(docs, model, name="__score").filter("__score >= 0.7").drop("__score")
+    name = free_name(docs, "score")
+    return with_quality(docs, model, name=name).filter(F.col(name) >= 0.7).drop(name)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidegrid.llm.store import byte_texts, release, split_join, store, with_text_column
+from tidegrid.llm.store import byte_texts, free_name, release, split_join, store, with_text_column
 
 BLOCK = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -129,12 +129,13 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = exact_dedup(docs, key, text).groupBy(F.col(key).alias("__id"), F.unhex("text_sha256").alias("__sha"))
     rows = found.agg(F.count(F.lit(1)).alias("__rows"), F.max("kept").alias("__kept")).filter("__rows > 1 or not __kept")
     rows, _ = store(rows, "touched")
-    marked = with_text_column(docs, text, "__sha", BinaryType(), lambda: _sha)
+    sha = free_name(docs, "sha")
+    marked = with_text_column(docs, text, sha, BinaryType(), lambda: _sha)
 
     def same(other: DataFrame):
-        return marked[key].cast("long").eqNullSafe(other["__id"]) & (marked["__sha"] == other["__sha"])
+        return marked[key].cast("long").eqNullSafe(other["__id"]) & (marked[sha] == other["__sha"])
 
     repeated = rows.filter("__kept")
     single = marked.join(rows, same(rows), "left_anti")
-    one = marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, "__sha"])
-    return single.union(one).drop("__sha")
+    one = marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, sha])
+    return single.union(one).drop(sha)

@@ -78,6 +78,14 @@ def list_column(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.A
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, type=kind))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_text_column(docs: DataFrame, text: str, name: str, kind: T.DataType, make: Callable[[], Callable[[list[bytes]], list | np.ndarray]]) -> DataFrame:
     """``docs`` with one more column computed from the whole texts, without a shuffle; ``make()`` runs once per task."""
     if name in docs.columns:
