@@ -67,7 +67,7 @@ def main() -> int:
 
     from tidegrid import build_session
 
-    spark = build_session("local[8]", 8)
+    spark = build_session("local[3]", 4)
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{args.sf}"
     con = duck(sf_dir)

@@ -1,29 +1,23 @@
-"""When a join side may be broadcast.
+"""Small sides of joins.
 
-A side is only ever broadcast behind one of three proofs: its key domain is finite
-(:func:`calendar_side`), its rows are spelled out in the program (:func:`constant_side`), or
-it has been stored and counted (:func:`checked_side`). In any other case the join is left to
-the shuffle strategies of Catalyst and adaptive execution.
+No side is forced to be broadcast because of its number of rows. Rows that the program spells out are
+(:func:`constant_side`). A model table is stored first (:func:`checked_side`), so Spark knows its bytes and decides by
+``spark.sql.autoBroadcastJoinThreshold``; tables with one row per month (:func:`calendar_side`) are left to adaptive execution.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.calendar import CALENDAR_MONTHS
 from tidegrid.session import cut_lineage
 
-BROADCAST_ROWS = 1_000_000
-
 
 def calendar_side(df: DataFrame) -> DataFrame:
-    """Side with one row per ``month_idx``: no calendar has more than 120 000 months.
-
-    Both parts of the proof are in the plan: the range of the key and its uniqueness.
-    """
-    inside = F.col("month_idx").between(0, CALENDAR_MONTHS - 1)
-    return F.broadcast(df.filter(inside).dropDuplicates(["month_idx"]))
+    """Side with one row per ``month_idx``; a month that is there twice is an error."""
+    many = F.count(F.lit(1)).over(Window.partitionBy("month_idx"))
+    repeated = F.raise_error(F.concat(F.lit("month_idx is repeated: "), F.col("month_idx").cast("string")))
+    return df.withColumn("_many", many).withColumn("month_idx", F.when(F.col("_many") == 1, F.col("month_idx")).otherwise(repeated.cast("int"))).drop("_many")
 
 
 def constant_side(df: DataFrame) -> DataFrame:
@@ -31,11 +25,6 @@ def constant_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def checked_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Store a model table once, count it, and broadcast it only below ``max_rows``.
-
-    Beyond the bound the stored table takes part in an ordinary shuffle join.
-    """
-    seen = Observation()
-    stored = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return F.broadcast(stored) if seen.get["n"] <= max_rows else stored
+def checked_side(df: DataFrame) -> DataFrame:
+    """Store a model table once; its size in bytes then decides how it is joined."""
+    return cut_lineage(df)

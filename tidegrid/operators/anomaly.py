@@ -201,9 +201,12 @@ class AnomalyModel:
         return cls(trend, climatology(trend.remove(train), keys), keys)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Anomalies stamped on their month; several observations of a month are averaged."""
+        """Anomalies stamped on their month; several observations of a month are averaged.
+
+        A cell and calendar month without training climatology gives NULL.
+        """
         flat = monthly(self.trend.remove(df), self.keys).withColumn("month", month_of(F.col("month_idx")))
-        return flat.join(self.clim, [*self.keys, "month"]).select(
+        return flat.join(self.clim, [*self.keys, "month"], "left").select(
             *self.keys, "month_idx", (F.col("value") - F.col("clim")).alias("value")
         )
 

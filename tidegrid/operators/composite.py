@@ -41,9 +41,15 @@ def quantile_states(series: DataFrame, q: float, by: list[str] | None = None) ->
     return series.join(bounds, keys).withColumn("state", _state(F.col("value"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def band_states(band: DataFrame, low: float, high: float) -> DataFrame:
-    """State of an ensemble band: '+' wholly above ``high``, '-' wholly below ``low``, '.' otherwise."""
-    return band.withColumn("state", F.when(F.col("lower") > high, "+").when(F.col("upper") < low, "-").otherwise("."))
+def band_states(band: DataFrame, low: float, high: float, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """State of an ensemble band: '+' wholly above ``high``, '-' wholly below ``low``, '.' otherwise.
+
+    ``bounds`` gives modes a pair ``(low, high)`` of their own.
+    """
+    below, above = F.lit(low), F.lit(high)
+    for name, (lo, hi) in (bounds or {}).items():
+        below, above = F.when(F.col("mode") == name, lo).otherwise(below), F.when(F.col("mode") == name, hi).otherwise(above)
+    return band.withColumn("state", F.when(F.col("lower") > above, "+").when(F.col("upper") < below, "-").otherwise("."))
 
 
 def _wide(states: DataFrame, modes: list[str], by: list[str]) -> DataFrame:

@@ -112,17 +112,20 @@ def wave_band(
             out.append(np.fft.irfft(spec, n=int(size)) if np.isfinite(spec).all() else np.full(int(size), np.nan))
         return pd.Series(out, dtype=object)
 
+    # a circle with an absent longitude has other wavenumbers: it counts as a gap
+    around = df.agg(F.count_distinct(lon).alias("n")).scalar()
     packed = pack_series(df, [*by, lon], t, value).withColumn("_n", F.size(axis))
-    freq = packed.select(*by, lon, "_n", F.explode(to_frequency("vs", "_n")).alias("c")).select(*by, lon, "_n", "c.*")
-    circle = freq.groupBy(*by, "j", "_n").agg(F.sort_array(F.collect_list(F.struct(lon, "re", "im"))).alias("s"))
-    kept = circle.select(
-        *by, "j", "_n", F.col(f"s.{lon}").alias(lon), across_longitudes(F.col("s.re"), F.col("s.im"), "j", "_n").alias("c")
-    )
-    back = kept.select(*by, "j", "_n", F.explode(F.arrays_zip(lon, "c")).alias("z")).select(*by, f"z.{lon}", "j", "_n", "z.c.re", "z.c.im")
-    series = back.groupBy(*by, lon, "_n").agg(F.sort_array(F.collect_list(F.struct("j", "re", "im"))).alias("s"))
-    out = series.select(*by, lon, to_time(F.col("s.j"), F.col("s.re"), F.col("s.im"), "_n").alias("v")).withColumn("_t", axis)
-    rows = out.select(*by, lon, F.explode(F.arrays_zip(F.col("_t").alias("t"), F.col("v").alias("v"))).alias("z"))
-    return rows.select(*by, lon, F.col("z.t").alias(t), F.nanvl(F.col("z.v"), F.lit(None).cast("double")).alias(value))
+    parts = F.explode(to_frequency("vs", "_n")).alias("_c")
+    freq = packed.select(*by, lon, "_n", parts).select(*by, lon, "_n", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("j", "re", "im")])
+    circle = freq.groupBy(*by, "_j", "_n").agg(F.sort_array(F.collect_list(F.struct(lon, "_re", "_im"))).alias("_s"))
+    real = F.when(F.size("_s") == around, F.col("_s._re")).otherwise(F.transform("_s._re", lambda _: F.lit(float("nan"))))
+    kept = circle.select(*by, "_j", "_n", F.col(f"_s.{lon}").alias("_lon"), across_longitudes(real, F.col("_s._im"), "_j", "_n").alias("_c"))
+    back = kept.select(*by, "_j", "_n", F.explode(F.arrays_zip("_lon", "_c")).alias("_z"))
+    back = back.select(*by, F.col("_z._lon").alias(lon), "_j", "_n", F.col("_z._c.re").alias("_re"), F.col("_z._c.im").alias("_im"))
+    series = back.groupBy(*by, lon, "_n").agg(F.sort_array(F.collect_list(F.struct("_j", "_re", "_im"))).alias("_s"))
+    out = series.select(*by, lon, to_time(F.col("_s._j"), F.col("_s._re"), F.col("_s._im"), "_n").alias("_v")).withColumn("_t", axis)
+    rows = out.select(*by, lon, F.explode(F.arrays_zip("_t", "_v")).alias("_z"))
+    return rows.select(*by, lon, F.col("_z._t").alias(t), F.nanvl(F.col("_z._v"), F.lit(None).cast("double")).alias(value))
 
 
 def event_mask(filtered: DataFrame, by: list[str], percentile: float | None = None, threshold: float | None = None, value: str = "value") -> DataFrame:

@@ -56,16 +56,30 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
         return out[[*by, "i", "row"]]
 
     def merge(batches):
-        total: dict[tuple, np.ndarray] = {}
+        # rows come sorted: a sum is complete when the key changes, and a batch of them is handed on
+        last, total, done = None, None, []
         for pdf in batches:
-            for *key, row in zip(*[pdf[k] for k in by], pdf["i"], pdf["row"]):
+            for *key, row in zip(*[pdf[k].astype(object).where(pdf[k].notna(), None) for k in by], pdf["i"], pdf["row"]):
                 at, row = tuple(key), np.asarray(row, dtype=float)
-                total[at] = total[at] + row if at in total else row
-        for (*key, i), row in total.items():
-            yield frame(tuple(key), [i], [row])
+                if at == last:
+                    total = total + row
+                    continue
+                if last is not None:
+                    done.append((last, total))
+                last, total = at, row
+            if sum(row.nbytes for _, row in done) > FLUSH_BYTES // 16:
+                yield table(done)
+                done = []
+        if last is not None:
+            yield table([*done, (last, total)])
+
+    def table(done: list) -> pd.DataFrame:
+        keys = list(zip(*[at for at, _ in done]))
+        out = {name: pd.Series(list(k), dtype=object) for name, k in zip(by, keys)}
+        return pd.DataFrame(out | {"i": np.asarray(keys[-1], dtype=np.int32), "row": [row for _, row in done]})
 
     parts = df.select(*by, vector).mapInPandas(partial, schema)
-    rows = parts.repartition(*by, "i").mapInPandas(merge, schema)
+    rows = parts.repartition(*by, "i").sortWithinPartitions(*by, "i").mapInPandas(merge, schema)
     whole = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("i", F.col("row").alias("g")))).alias("m"))
     return whole.filter(F.size("m") > 0).select(*by, (F.size("m") - 1).alias("size"), F.flatten(F.col("m.g")).alias("gram"))
 

@@ -37,7 +37,7 @@ def lagged_pairs(x: DataFrame, y: DataFrame, keys: list[str], max_lag: int, step
 
 
 def _lag_table(t: np.ndarray, x: np.ndarray, y: np.ndarray, max_lag: int, step: int, by_month: bool) -> list[dict]:
-    """Correlations of one pair of series on the time axis ``t`` (with gaps as NaN)."""
+    """Correlations of one pair of series on the time axis ``t`` (with gaps as NaN); lags beyond its span have ``n`` 0."""
     span = int(t[-1] - t[0]) + 1
     full = np.full((2, span), np.nan)
     full[:, t - t[0]] = x, y
@@ -47,6 +47,7 @@ def _lag_table(t: np.ndarray, x: np.ndarray, y: np.ndarray, max_lag: int, step:
     for lag in range(-max_lag, max_lag + 1):
         move = lag * step
         if abs(move) >= span:
+            out += [{"month": m, "lag": lag, "r": None, "n": 0} for m in (range(1, 13) if by_month else (1,))]
             continue
         a, b = full[0, max(0, -move) : span - max(0, move)], full[1, max(0, move) : span - max(0, -move)]
         g = group[max(0, -move) : span - max(0, move)]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.kernels import draw_positions
-from tidegrid.functions.sizing import calendar_side, checked_side
+from tidegrid.functions.sizing import checked_side
 from tidegrid.functions.stats import pearson
 from tidegrid.operators.gram import correlation_table, covariances, gram_matrix, mode_vectors
 from tidegrid.operators.series_kernels import array_kernel, heavy, pack_series
@@ -134,9 +134,9 @@ def salient_shares(loadings: DataFrame, modes: list, decoded_variance: DataFrame
     return out.select(*by, F.col("m.mode").alias("mode"), share.alias("share"), F.try_divide(share * F.col("_dec"), "_dat").alias("absolute"))
 
 
-def effective_modes(shares: DataFrame, by: list[str]) -> DataFrame:
-    """Sum of rank times share, the modes ranked by share."""
-    w = Window.partitionBy(*by).orderBy(F.col("share").desc(), "mode")
+def effective_modes(shares: DataFrame, by: list[str], rank_by: str = "share") -> DataFrame:
+    """Sum of rank times share, the modes ranked by ``rank_by``, such as the variance lost next to salient shares."""
+    w = Window.partitionBy(*by).orderBy(F.col(rank_by).desc(), "mode")
     return shares.withColumn("rank", F.row_number().over(w)).groupBy(*by).agg(F.sum(F.col("rank") * F.col("share")).alias("effective"))
 
 
@@ -219,15 +219,24 @@ _EIGEN = T.StructType(
 )
 
 
+def _on_axis(packed: DataFrame, times: DataFrame, by: list[str]) -> DataFrame:
+    """Series of cells that have every time of their group; the others become NULL and take no part."""
+    whole = packed.join(times, by) if by else packed.withColumn("_axis", times.select("_axis").scalar())
+    return whole.withColumn("vs", F.when(F.col("ts") == F.col("_axis"), F.col("vs"))).drop("_axis")
+
+
 def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k: int = 3, t: str = "month_idx") -> PrincipalComponents:
-    """Principal components over time of gap-free cells (see ``select.complete_cells``).
+    """Principal components over time of gap-free cells.
+
+    A cell that lacks a time of its group, or a value there, takes no part and gets no loading.
 
     The Gram matrix of the time steps is summed over partitions; its size is the length of the
     time axis squared and does not depend on the number of cells. The eigenproblem of a group is
     solved in one task, loadings follow from one more pass with map-side sums.
     """
     modes = [f"pc{i + 1}" for i in range(k)]
-    packed = pack_series(df, [*by, *cell], t)
+    times = df.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("_axis"))
+    packed = _on_axis(pack_series(df, [*by, *cell], t), times, by)
     centred = packed.withColumn("vs", array_kernel(lambda x: x - x.mean(axis=1, keepdims=True))("vs"))
 
     @heavy
@@ -241,7 +250,7 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
         return pd.DataFrame(rows, columns=["scores", "variance", "total"])
 
     eig = gram_matrix(centred, "vs", by).select(*by, solve("gram").alias("e"))
-    times = df.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("ts"))
+    times = times.withColumnRenamed("_axis", "ts")
     eig = cut_lineage(eig.join(times, by) if by else eig.withColumn("ts", times.select("ts").scalar()))
     scores = (
         eig.select(*by, "ts", F.posexplode("e.scores").alias("c", "s"))
@@ -256,9 +265,12 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
     per_mode = per_mode.select(*by, F.element_at(F.lit(modes), F.col("c") + 1).alias("mode"), (F.col("_v") * (F.col("_n") - 1)).alias("_scale"))
     scaled = scores.join(per_mode, [*by, "mode"]).withColumn("value", F.coalesce(F.try_divide("value", "_scale"), F.lit(0.0)))
     wide = mode_vectors(scaled, [*by, t], modes)
-    z = df.join(checked_side(wide), [*by, t]) if by else df.join(calendar_side(wide), t)
+    z = df.join(checked_side(wide), [*by, t])
     w = F.array(*[F.sum(F.col("value") * F.element_at("vec", i + 1)) for i in range(k)])
-    weights = checked_side(z.groupBy(*by, *cell).agg(F.avg("value").alias("mean"), w.alias("w")))
+    weights = z.groupBy(*by, *cell).agg(F.avg("value").alias("mean"), w.alias("w"), F.count("value").alias("_m"))
+    length = eig.select(*by, F.size("ts").alias("_n"))
+    weights = weights.join(length, by) if by else weights.withColumn("_n", length.select("_n").scalar())
+    weights = checked_side(weights.filter("_m >= _n").drop("_m", "_n"))
     return PrincipalComponents(by, cell, modes, scores, weights, variance)
 
 
@@ -270,7 +282,8 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
     the same Gram matrix, which is as large as the time axis squared and is sent once to every
     task. Rows: ``(seed, split, mode, variance, share)``.
     """
-    grams = gram_matrix(pack_series(df, cell), "vs").select("gram").collect()
+    axis = df.agg(F.sort_array(F.collect_set("month_idx")).alias("_axis"))
+    grams = gram_matrix(_on_axis(pack_series(df, cell), axis, []), "vs").select("gram").collect()
     flat = np.asarray(grams[0]["gram"] if grams else [0.0], dtype=float)
     n = int(round(np.sqrt(len(flat))))
     whole = flat.reshape(n, n)[:-1, :-1]

@@ -23,8 +23,8 @@ _FIT = T.StructType(
 
 @heavy
 @F.pandas_udf(_FIT)
-def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series) -> pd.DataFrame:
-    """Coefficients, p-values and R2 of a batch of cells from their sums."""
+def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series, centre: pd.Series) -> pd.DataFrame:
+    """Coefficients, p-values and R2 of a batch of cells from their sums; predictors were moved by ``centre``."""
     if not len(n):
         return pd.DataFrame({"coefs": [], "p_values": [], "r2": []})
     m, k = len(n), len(sx.iloc[0])
@@ -38,6 +38,7 @@ def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.S
     coefs, p_values, r2 = np.full((m, k + 1), np.nan), np.full((m, k + 1), np.nan), np.full(m, np.nan)
     with np.errstate(invalid="ignore", divide="ignore"):
         mx, my = sx / nn[:, None], sy / nn
+        origin = mx + np.vstack(centre.to_numpy()).astype(float)
         cxx = full - nn[:, None, None] * mx[:, :, None] * mx[:, None, :]
         cxy, cyy = sxy - nn[:, None] * mx * my[:, None], syy - nn * my * my
         scale = np.sqrt(np.einsum("mii->mi", cxx))
@@ -52,9 +53,9 @@ def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.S
             sse = np.maximum(cyy[i] - np.einsum("mi,mi->m", b, cxy[i]), 0.0)
             free = nn[i] - k - 1
             s2 = sse / free
-            var0 = s2 * (1 / nn[i] + np.einsum("mi,mij,mj->m", mx[i], inv, mx[i]))
+            var0 = s2 * (1 / nn[i] + np.einsum("mi,mij,mj->m", origin[i], inv, origin[i]))
             se = np.sqrt(np.column_stack([var0, s2[:, None] * np.einsum("mii->mi", inv)]))
-            coefs[i] = np.column_stack([my[i] - np.einsum("mi,mi->m", b, mx[i]), b])
+            coefs[i] = np.column_stack([my[i] - np.einsum("mi,mi->m", b, origin[i]), b])
             p_values[i] = t_two_sided(coefs[i] / se, free[:, None])
             r2[i] = 1 - sse / cyy[i]
 
@@ -81,11 +82,14 @@ def ols(
 ) -> DataFrame:
     """One row per cell: ``coefs`` and ``p_values`` (intercept first), ``r2`` and ``n``.
 
-    Only sums leave a map task, so the field is never exchanged row by row. A cell with missing
-    months gives NULL unless ``drop_missing``.
+    Only sums leave a map task, so the field is never exchanged row by row. They are taken around the predictors' means, so that a
+    large offset costs no digits. A cell with missing months gives NULL unless ``drop_missing``; so do collinear predictors (a condition
+    number of their correlations of 1e12 or more).
     """
     k = len(names)
-    z = with_predictors(df, predictors, names, shared)
+    centre = predictors.agg(F.array(*[F.coalesce(F.avg(name).cast("double"), F.lit(0.0)) for name in names]).alias("c")).scalar()
+    moved = predictors.withColumns({name: F.col(name) - F.element_at(centre, i + 1) for i, name in enumerate(names)})
+    z = with_predictors(df, moved, names, shared)
     y, has = F.col("value"), F.col("value").isNotNull()
     x = [F.when(has, F.col(name)) for name in names]
     sums = z.groupBy(*keys).agg(
@@ -99,7 +103,7 @@ def ols(
     if not drop_missing:
         wanted = predictors.select(F.count_distinct("month_idx").alias("n")).scalar() if n_times is None else n_times
         sums = sums.withColumn("n", F.when(F.col("n") == wanted, F.col("n")).otherwise(F.lit(0)))
-    fit = _solve(F.col("n").cast("double"), "sx", "sxx", "sxy", "sy", "syy")
+    fit = _solve(F.col("n").cast("double"), "sx", "sxx", "sxy", "sy", "syy", centre)
     return sums.select(*keys, "n", fit.alias("f")).select(*keys, "n", "f.*")
 
 

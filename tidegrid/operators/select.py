@@ -70,6 +70,11 @@ def complete_cells(df: DataFrame, keys: list[str], n_times: int | Column | None
     return df.withColumn("_have", have).filter(F.col("_have") == wanted).drop("_have")
 
 
+def unstack(df: DataFrame, cells: DataFrame, feature: str = "feature") -> DataFrame:
+    """Back from feature numbers to the cells of a table ``(feature, ...)``; a feature without cell keeps its row with NULL coordinates."""
+    return df.join(cells, feature, "left").drop(feature)
+
+
 def where(value: str | Column, condition: Column) -> Column:
     """The value where the condition holds, NULL elsewhere."""
     return F.when(condition, F.col(value) if isinstance(value, str) else value)

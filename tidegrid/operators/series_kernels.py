@@ -26,17 +26,31 @@ def heavy(udf):
     return udf.asNondeterministic()
 
 
-def pack_series(df: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", unique: bool = False) -> DataFrame:
+def pack_series(df: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", unique: bool = False, even: bool = False) -> DataFrame:
     """One row per series: arrays ``ts`` and ``vs`` ordered by time.
 
     Repeated times are averaged first, with map-side sums, so that a crowded key cannot flood the
     task that packs it; a table already grouped by these keys is not exchanged again for that.
-    ``unique=True`` skips the step.
+    ``unique=True`` skips the step. With ``even``, a series whose times do not follow in equal steps has NULL values: a step
+    that is absent is a gap like one that is NULL.
     """
     if not unique:
         df = df.groupBy(*keys, t).agg(F.avg(value).alias(value))
     rows = F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))))
-    return df.groupBy(*keys).agg(rows.alias("_s")).select(*keys, F.col("_s.t").alias("ts"), F.col("_s.v").alias("vs"))
+    packed = df.groupBy(*keys).agg(rows.alias("_s")).select(*keys, F.col("_s.t").alias("ts"), F.col("_s.v").alias("vs"))
+    return packed.withColumn("vs", F.when(even_steps("ts"), F.col("vs")).otherwise(nothing_like("ts"))) if even else packed
+
+
+def nothing_like(ts: str) -> Column:
+    """An array of NULL as long as another one."""
+    return F.transform(ts, lambda _: F.lit(None).cast("double"))
+
+
+def even_steps(ts: str) -> Column:
+    """Whether sorted times follow in equal steps."""
+    n = F.size(ts)
+    steps = F.zip_with(F.slice(ts, 2, F.greatest(n - 1, F.lit(0))), F.slice(ts, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
+    return F.size(F.array_distinct(steps)) <= 1
 
 
 def blockwise(values: pd.Series, fn: Kernel) -> pd.Series:
@@ -69,7 +83,8 @@ def array_kernel(fn: Kernel) -> Callable[[Column], Column]:
 
 def unpack_series(packed: DataFrame, keys: list[str], t: str = "month_idx", value: str = "value", values: str = "vs") -> DataFrame:
     """Back to one row per time step."""
-    return packed.select(*keys, F.explode(F.arrays_zip(F.col("ts").alias("t"), F.col(values).alias("v"))).alias("_p")).select(
+    whole = F.coalesce(values, nothing_like("ts"))
+    return packed.select(*keys, F.explode(F.arrays_zip(F.col("ts").alias("t"), whole.alias("v"))).alias("_p")).select(
         *keys, F.col("_p.t").alias(t), F.col("_p.v").alias(value)
     )
 
@@ -78,5 +93,5 @@ def apply_per_series(
     df: DataFrame, keys: list[str], fn: Kernel, t: str = "month_idx", value: str = "value", unique: bool = False
 ) -> DataFrame:
     """Run a length-preserving kernel on every series: one exchange on the series keys."""
-    packed = pack_series(df, keys, t, value, unique)
+    packed = pack_series(df, keys, t, value, unique, even=True)
     return unpack_series(packed.withColumn("vs", array_kernel(fn)("vs")), keys, t, value)

@@ -28,7 +28,7 @@ def power_spectrum(df: DataFrame, keys: list[str], t: str = "month_idx", value:
         f = reflect_smooth(np.fft.rfftfreq(x.shape[1], d=dx)[None, :], weights)
         return np.repeat(f, len(x), axis=0)
 
-    packed = pack_series(df, keys, t, value)
+    packed = pack_series(df, keys, t, value, even=True)
     both = packed.select(*keys, array_kernel(power)("vs").alias("p"), array_kernel(freq)("vs").alias("f"))
     return both.select(*keys, F.posexplode(F.arrays_zip("p", "f")).alias("k", "z")).select(
         *keys, "k", F.col("z.f").alias("freq"), F.col("z.p").alias("power")
@@ -172,7 +172,7 @@ def windowed_spectrum_mean(df: DataFrame, keys: list[str], t: str = "month_idx",
             total += on_axis / on_axis.max(axis=1, keepdims=True)
         return (total / len(cuts)).mean(axis=1, keepdims=True)
 
-    packed = pack_series(df, keys, t, value)
+    packed = pack_series(df, keys, t, value, even=True)
     return packed.select(*keys, F.element_at(array_kernel(measure)("vs"), 1).alias("measure"))
 
 

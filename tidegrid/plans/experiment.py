@@ -16,7 +16,7 @@ from tidegrid.operators.select import box as coordinate_box
 from tidegrid.operators.select import time_range
 from tidegrid.operators.series import fold_axis
 from tidegrid.operators.spectrum import order_by_period, power_spectrum, spectral_summary
-from tidegrid.schema import MODE_LABELS
+from tidegrid.schema import mode_labels
 from tidegrid.session import cut_lineage
 
 
@@ -58,7 +58,7 @@ def run_experiment(
     coordinates of the cells.
     """
     data = cut_lineage(fold_anomalies(field, test_from, cell, n_folds))
-    labels = F.lit(list(MODE_LABELS[:k]))
+    labels = mode_labels(k)
     in_box = checked_side(coordinate_box(nodes, **sign_box))
     out = None
     for step in range(steps):
@@ -66,7 +66,7 @@ def run_experiment(
         series = cut_lineage(pcs.transform(data, ["split", "kind"]))
         sample = series.filter(F.col("kind") != "test").select("split", "mode", "month_idx", "value")
         peaks = spectral_summary(power_spectrum(sample, ["split", "mode"], smooth=smooth), ["split", "mode"])
-        order = order_by_period(peaks, ["split"], MODE_LABELS[:k]).select("split", "mode", "label")
+        order = order_by_period(peaks, ["split"], labels).select("split", "mode", "label")
         decoded = cut_lineage(pcs.reconstruct(data, series, ["split", "kind"]))
         inside = decoded.filter(F.col("kind") != "test").join(in_box, [c for c in cell if c in nodes.columns])
         reference = box_mean(inside.withColumn("value", F.col("decoded")), ["split", "month_idx"])
@@ -76,4 +76,4 @@ def run_experiment(
         )
         out = named if out is None else out.unionByName(named)
         data = decoded.withColumn("value", F.col("value") - F.col("decoded")).drop("decoded")
-    return out.filter(F.array_contains(labels, F.col("mode")))
+    return out

@@ -149,7 +149,7 @@ def global_detrend_parts(spark, sf):
 dt as (select g.member, lat_i, lon_i, month_idx, n, value - (b0 + b1*(month_idx - c0)/h0 + b2*((month_idx - c0)/h0)*((month_idx - c0)/h0)) as value
        from g join k2 on g.member = k2.member),
 cl as (select member, lat_i, lon_i, month_idx % 12 as m, sum(value*n)/sum(n) as clim from dt where month_idx < {HELD_OUT} group by 1, 2, 3, 4)
-select dt.member, dt.lat_i, dt.lon_i, dt.month_idx, {rnd("dt.value - cl.clim", 5)} as value from dt join cl
+select dt.member, dt.lat_i, dt.lon_i, dt.month_idx, {rnd("dt.value - cl.clim", 5)} as value from dt left join cl
 on dt.member = cl.member and dt.lat_i = cl.lat_i and dt.lon_i = cl.lon_i and dt.month_idx % 12 = cl.m where dt.month_idx >= {HELD_OUT}""",
 )
 def heldout_anomaly(spark, sf):

@@ -88,6 +88,21 @@ def confidence_panels(spark, sf):
     return P.panel_months(P.band_states(band, 2.7, 2.3), Y, XX, P.PANELS, z=Z)
 
 
+@query(
+    "confidence_panels_by_mode",
+    "SEL6",
+    f"""with {X.ENCODINGS_SQL}, b as (select mode, month_idx, quantile_cont(value, 0.025) as lower, quantile_cont(value, 0.975) as upper from e group by 1, 2),
+wd as (select month_idx, max(case when mode = '{Y}' then case when lower > 2.3 then '+' when upper < 2.7 then '-' else '.' end end) as y,
+       max(case when mode = '{XX}' then case when lower > 2.3 then '+' when upper < 2.7 then '-' else '.' end end) as x,
+       max(case when mode = '{Z}' then case when lower > 2.45 then '+' when upper < 2.55 then '-' else '.' end end) as z from b group by 1)
+select y || x as panel, month_idx from wd where z = '.' and y is not null and x is not null""",
+)
+def confidence_panels_by_mode(spark, sf):
+    """The neutral mode has bounds of its own."""
+    band = ensemble_band(X.encodings(spark, sf), ["mode", "month_idx"], 0.05)
+    return P.panel_months(P.band_states(band, 2.7, 2.3, {Z: (2.55, 2.45)}), Y, XX, P.PANELS, z=Z)
+
+
 _PURE = f"""{_SIGMA},
 sel as (select '{Y}' as mode, y as phase, month_idx from wd where y in ('+', '-') and x = '.' and z = '.' union all
         select '{XX}', x, month_idx from wd where x in ('+', '-') and y = '.' and z = '.')"""

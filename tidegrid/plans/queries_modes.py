@@ -114,6 +114,26 @@ def effective_modes(spark, sf):
     return M.effective_modes(shares, ["member"]).withColumn("effective", rounded("effective"))
 
 
+_SALIENT = _VARIANCE.replace("df as", "lm as (select mode, lat_i, lon_i, w + 0.01*mode as w from l), df as").replace("join l on l.mode = mz.mode", "join lm on lm.mode = mz.mode").replace(
+    "case when l.mode = o", "case when lm.mode = o"
+)
+
+
+@query(
+    "effective_salient_modes",
+    "AGG42 MOD6",
+    f"""with {_SALIENT}, se as (select mode, abs(sum(w)) as s from lm group by 1), rk as (select member, mode, row_number() over (partition by member order by lost desc, mode) as r from ls)
+select rk.member, {rnd("sum(r*s)/(select sum(s) from se)", 4)} as effective from rk join se on se.mode = rk.mode group by 1""",
+)
+def effective_salient_modes(spark, sf):
+    """Salient shares in the order of the variance that a mode's ablation loses."""
+    field, loadings, series = _field_modes(spark, sf)
+    loadings = loadings.withColumn("w", F.col("w") + 0.01 * F.col("mode"))
+    lost = M.variance_shares(series, loadings, MODES, ["member"]).select("member", "mode", F.col("share").alias("lost"))
+    salient = M.salient_shares(loadings, MODES, _data_variance(field, 0), _data_variance(field), ["member"])
+    return M.effective_modes(salient.join(lost, ["member", "mode"]), ["member"], "lost").withColumn("effective", rounded("effective", 4))
+
+
 @query(
     "salient_shares",
     "MOD6",

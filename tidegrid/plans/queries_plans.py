@@ -48,7 +48,7 @@ w as (select split, month_idx, sum(cos(radians(10.0*lat_i - 45.0))*value)/sum(co
 ct as (select tr.split, member, lat_i, lon_i, month_idx % 12 as m, avg(value - (b0 + b1*(month_idx - c0)/h0 + b2*((month_idx - c0)/h0)*((month_idx - c0)/h0))) as clim from tr join k2 on tr.split = k2.split group by 1, 2, 3, 4, 5),
 al as (select split, member, lat_i, lon_i, f.month_idx, value, case when f.month_idx >= {HELD_OUT} then 'test' when split = fold then 'val' else 'train' end as kind from f left join ax on f.month_idx = ax.month_idx cross join sp)
 select al.split, kind, al.member, al.lat_i, al.lon_i, al.month_idx, {rnd("value - (b0 + b1*(month_idx - c0)/h0 + b2*((month_idx - c0)/h0)*((month_idx - c0)/h0)) - clim", 5)} as value
-from al join k2 on al.split = k2.split join ct on ct.split = al.split and ct.member = al.member and ct.lat_i = al.lat_i and ct.lon_i = al.lon_i and ct.m = al.month_idx % 12"""
+from al join k2 on al.split = k2.split left join ct on ct.split = al.split and ct.member = al.member and ct.lat_i = al.lat_i and ct.lon_i = al.lon_i and ct.m = al.month_idx % 12"""
 
 
 @query("fold_anomalies", "AGG6 AGG11 WIN8 SET2 WIN9", _FOLD_ANOMALIES)

@@ -14,13 +14,13 @@ from tidegrid.operators import select as S
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.registry import query, rnd, rounded
 from tidegrid.schema import cell_id, missing_to_null, normalize_columns
-from tidegrid.session import shared_folder
+from tidegrid.session import run_folder
 from tidegrid.sources import readers as R
 from tidegrid.sources import writers as W
 
 
 def scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/tidegrid/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # -- sources ---------------------------------------------------------------------------------
@@ -295,6 +295,35 @@ def complete_features(spark, sf):
     return kept.select(*A.CELL, "feature", "month_idx", rounded("value").alias("value"))
 
 
+@query(
+    "unstacked_features",
+    "PRJ17",
+    f"""with {X.FIELD_SQL}, t as (select count(distinct month_idx) as k from f), ok as (select member, lat_i, lon_i from f group by 1, 2, 3 having count(value) = (select k from t))
+select f.member, f.lat_i, f.lon_i, f.month_idx, {rnd("value")} as value from f join ok on f.member = ok.member and f.lat_i = ok.lat_i and f.lon_i = ok.lon_i""",
+)
+def unstacked_features(spark, sf):
+    """Features without coordinates, put back on the grid through the table of cells."""
+    field = X.field(spark, sf)
+    stacked = S.complete_cells(field, A.CELL).select("member", cell_id(X.N_LON).alias("feature"), "month_idx", rounded("value").alias("value"))
+    cells = field.select(cell_id(X.N_LON).alias("feature"), "lat_i", "lon_i").distinct()
+    return S.unstack(stacked, cells).select(*A.CELL, "month_idx", "value")
+
+
+@query(
+    "stored_field",
+    "SRC1",
+    f"""with {X.FIELD_SQL} select member, lat_i, lon_i, month_idx, {rnd("value")} as value from f""",
+)
+def stored_field(spark, sf):
+    """One variable of a stored table with several: the others are pruned as partitions."""
+    field = X.field(spark, sf)
+    count = field.withColumn("value", F.col("n").cast("double"))
+    both = R.stack_sources({"sst": field, "count": count}, "variable").select("variable", *A.CELL, "month_idx", "value")
+    out = scratch(spark, "field")
+    W.write_table(both, out, ["variable"])
+    return R.read_field(spark, out, variable="sst").select(*A.CELL, "month_idx", rounded("value").alias("value"))
+
+
 @query(
     "feature_matrix",
     "PRJ18",

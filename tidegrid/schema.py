@@ -62,6 +62,11 @@ DROPPED_COORDS = ("number", "expver", "TLONG", "TLAT", "z_t")
 MODE_LABELS = ("Decadal", "Interannual", "Quasibiennial", "HF1", "HF2")
 
 
+def mode_labels(k: int) -> tuple[str, ...]:
+    """Labels of ``k`` modes by rank; those beyond the named ones are numbered."""
+    return (*MODE_LABELS[:k], *(f"mode{i}" for i in range(len(MODE_LABELS) + 1, k + 1)))
+
+
 def normalize_columns(df: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Rename source columns to the convention and drop scalar coordinates."""
     wanted = aliases or COLUMN_ALIASES

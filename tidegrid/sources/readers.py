@@ -52,16 +52,18 @@ def manifest_name(prefix: str, year: Column, month: Column) -> Column:
 def parse_index_lines(lines: DataFrame, n_years: int | None = None, sentinel: float = -999.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Lines ``YEAR v1 .. v12`` to one row per month; other lines are headers or footers.
 
+    A year that is not over has fewer values: its further months are missing.
+
     ``n_years`` keeps the first years of each file, where a source appends other text.
     """
     parts = F.split(F.trim("value"), "\\s+")
-    rows = lines.select(*by, parts.alias("p")).filter((F.size("p") == 13) & F.col("p")[0].rlike("^[0-9]{4}$"))
+    rows = lines.select(*by, parts.alias("p")).filter(F.size("p").between(2, 13) & F.col("p")[0].rlike("^[0-9]{4}$"))
     rows = rows.withColumn("year", F.col("p")[0].cast("int"))
     if n_years is not None:
         # at most one row per calendar year and file
         rank = F.row_number().over(Window.partitionBy(*(by or (F.lit(0),))).orderBy("year"))
         rows = rows.withColumn("_k", rank).filter(F.col("_k") <= n_years).drop("_k")
-    wide = rows.select(*by, "year", *[F.col("p")[i + 1].try_cast("double").alias(m) for i, m in enumerate(MONTH_COLUMNS)])
+    wide = rows.select(*by, "year", *[F.try_element_at("p", F.lit(i + 2)).try_cast("double").alias(m) for i, m in enumerate(MONTH_COLUMNS)])
     long = wide.unpivot([*by, "year"], list(MONTH_COLUMNS), "month_name", "value")
     month0 = F.array_position(F.lit(list(MONTH_COLUMNS)), F.col("month_name")) - 1
     return long.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +21,10 @@ def done_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | No
     """Keys already written; None where nothing is there yet."""
     try:
         return spark.read.parquet(path).select(*keys).distinct()
-    except (AnalysisException, Py4JJavaError):
-        return None
+    except AnalysisException as err:
+        if err.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def pending(work: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFrame:
