@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.session import shared_folder
+from tidegrid.session import run_folder
 
 #: Bytes of text that a kernel turns into numpy arrays at once; batching only, results do not depend on it.
 CHUNK_BYTES = 1 << 20
@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to a new table of the shared folder and read it back; also its path."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
