@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_made: set[str] = set()
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "tidegrid") -> SparkSession:
     """A session with the settings the operators rely on.
@@ -54,11 +59,18 @@ def run_folder(spark: SparkSession) -> str:
     path = f"{shared_folder(spark).rstrip('/')}/tidegrid-{spark.sparkContext.applicationId}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.mkdirs(where):
-        fs.deleteOnExit(where)
+    if path not in _made:
+        fs.mkdirs(where)
+        _made.add(path)
+        atexit.register(_drop, fs, where)
     return path
 
 
+def _drop(fs, where) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone
+        fs.delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read back: it survives the loss of executors.
 
