@@ -137,5 +137,7 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     repeated = rows.filter("__kept")
     single = marked.join(rows, same(rows), "left_anti")
+    if repeated.isEmpty():  # no row is there twice: the documents are read once
+        return single.drop(sha)
     one = marked.join(repeated, same(repeated), "left_semi").dropDuplicates([key, sha])
     return single.union(one).drop(sha)
