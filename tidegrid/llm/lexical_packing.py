@@ -71,7 +71,6 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int
     out: list[tuple[int, int, int, int, int]] = []
     sequence = filled = 0
     queue: list[int] = []
-    seed = 0
 
     def put(doc: int) -> bool:
         """Place a document, over as many windows as it takes; whether a window was closed."""
@@ -98,9 +97,11 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int
                 break
             doc = at
         unused[doc] = False
-        if put(doc) or not queue:  # what opens the next window is its seed
-            seed = doc
-            queue = index.neighbours(seed, unused)[::-1]
+        closed = put(doc)
+        if closed and not filled:
+            queue = []  # the window is full and nothing is left over: the next document is a seed
+        elif closed or not queue:  # what opens a window, or follows when its neighbours are used up, is a seed
+            queue = index.neighbours(doc, unused)[::-1]
     return _powers_of_two(out, sequence, filled)
 
 
