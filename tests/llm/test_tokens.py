@@ -115,3 +115,10 @@ def test_copies_share_windows():
     for doc, _, _, sequence, _ in pieces:
         where[doc % 20].add(sequence)
     assert np.mean([len(s) for s in where.values()]) < 1.5
+
+
+def test_every_code_point_as_the_library():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(chars), 5000):
+        text = "a".join(chars[i : i + 5000])
+        assert list(memoryview(OWN.encode(text)).cast("I")) == _ids(text)

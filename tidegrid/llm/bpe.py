@@ -31,6 +31,15 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
 _ASCII_WORDS = _WORDS.format(letters="a-z", numbers="0-9", space=r"\t-\r ")
 END = "</w>"
+# Code points that are letters, numbers and capitals only in Unicode versions later than 15.1.
+_LATER = {
+    "L": r"\U00001c89-\U00001c8a\U0000a7cb-\U0000a7cd\U0000a7da-\U0000a7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b"
+    r"\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0",
+    "N": r"\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa",
+}
+_LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER_CAPITALS = re.compile("[" + "".join(map(chr, _LATER_LOWER)) + "]")
 
 
 def byte_symbols() -> list[str]:
@@ -42,7 +51,7 @@ def byte_symbols() -> list[str]:
 
 @cache
 def all_words() -> re.Pattern:
-    """Words of any text; letters and numbers by the general category of Python's own Unicode tables."""
+    """Words of any text; letters and numbers by Python's own Unicode tables and what later versions added."""
     spans: dict[str, list[list[int]]] = {"L": [], "N": []}
     for c in range(sys.maxunicode + 1):
         kind = spans.get(unicodedata.category(chr(c))[0])
@@ -51,7 +60,7 @@ def all_words() -> re.Pattern:
                 kind[-1][1] = c
             else:
                 kind.append([c, c])
-    letters, numbers = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[k]) for k in "LN")
+    letters, numbers = (_LATER[k] + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans[k]) for k in "LN")
     return re.compile(_WORDS.format(letters=letters, numbers=numbers, space=_SPACE))
 
 
@@ -102,6 +111,8 @@ class WordBpe:
         else:
             text = unicodedata.normalize("NFC", text)
             low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
+            if _LATER_CAPITALS.search(low):
+                low = low.translate(_LATER_LOWER)
             words = all_words().findall(low)
         memo, out = self.memo, []
         for w in words:
