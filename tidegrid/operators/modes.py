@@ -178,7 +178,7 @@ class PrincipalComponents:
     """Scores per month, weights per cell, variance per component.
 
     ``weights`` has one row per cell: the ``mean`` that was removed and ``w``, the weights of all
-    modes side by side. It is stored once and broadcast only when counted as small.
+    modes side by side. It is stored once.
     """
 
     by: list[str]
@@ -279,17 +279,17 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
 
     ``fits`` has ``(seed, split)``: a fit leaves out every ``n_folds``-th time (its split) and
     draws as many of the others with replacement. Each is an eigenproblem on rows and columns of
-    the same Gram matrix, which is as large as the time axis squared and is sent once to every
-    task. Rows: ``(seed, split, mode, variance, share)``.
+    the same Gram matrix, which is as large as the time axis squared and stands next to each fit, a
+    row of a few numbers. Rows: ``(seed, split, mode, variance, share)``.
     """
     axis = df.agg(F.sort_array(F.collect_set("month_idx")).alias("_axis"))
-    grams = gram_matrix(_on_axis(pack_series(df, cell), axis, []), "vs").select("gram").collect()
-    flat = np.asarray(grams[0]["gram"] if grams else [0.0], dtype=float)
-    n = int(round(np.sqrt(len(flat))))
-    whole = flat.reshape(n, n)[:-1, :-1]
+    gram = cut_lineage(gram_matrix(_on_axis(pack_series(df, cell), axis, []), "vs").select("gram"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        flat = np.asarray(pdf["_gram"].iloc[0] if pdf["_gram"].iloc[0] is not None else [0.0], dtype=float)
+        n = int(round(np.sqrt(len(flat))))
+        whole = flat.reshape(n, n)[:-1, :-1]
         for seed, split in zip(pdf["seed"], pdf["split"]) if len(whole) else ():
             train = np.flatnonzero(np.arange(len(whole)) % n_folds != split)
             picked = train[draw_positions(1, len(train), len(train), int(seed) * 104729 + int(split))[0]]
@@ -301,7 +301,7 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
         return pd.DataFrame(out, columns=["seed", "split", "mode", "variance", "share"])
 
     # few small rows but much work each: a fixed partitioning keeps them from being gathered in one task
-    spread = fits.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed", "split")
+    spread = fits.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed", "split").withColumn("_gram", gram.scalar())
     return spread.groupBy("seed", "split").applyInPandas(fit, "seed int, split int, mode string, variance double, share double")
 
 
