@@ -8,11 +8,13 @@ of x, so each has one of its first ``n - ceil(t n) + 1`` tokens in common with t
    sums alone. Sets with too many of them have no partner.
 3. The rest is stored. Under several hash orders the sets that share their first token are read in runs, and each set is
    compared with the leaders of its run. Verified links merge sets into classes; runs are split by size.
-4. What is left are links between different classes. Tokens that only one class has come first in every order: they bring no
+4. What is left are links between different classes. They are looked for as in 5, but each cell names only the closest pairs of two classes,
+   which are verified and merge more classes; ``ROUNDS`` times.
+5. The last round is complete. Tokens that only one class has come first in every order: they bring no
    candidate. Sets whose prefix is made of such tokens are done. For the others, the tokens follow by rarity, in different ways for each order;
    sets that share a prefix token meet in a cell of bounded size, where sizes and parity bitmaps (an upper bound of the overlap)
    discard pairs. A pair must be found under every order; then its sets are compared.
-5. Components of the links; each row gets the least doc_id.
+6. Components of the links; each row gets the least doc_id.
 
 No step drops a pair that links: all filters are necessary conditions. Nothing is collected but the number of links.
 """
@@ -34,6 +36,8 @@ ORDERS = 3  # global token orders of the prefix filter
 STARS = 3  # hash orders under which leaders are compared
 LEADERS = 16  # of a run; only how soon links are found depends on it
 RUN_ROWS = 5_000  # a larger run is split by the hash of the set
+ROUNDS = 2  # that look for the closest pairs of classes before the complete one
+CLOSEST = 3  # pairs of two classes that a cell names in such a round
 CELL_ROWS = 2_048  # a larger posting list is split into pairs of blocks
 SIGN_WORDS = 32  # 64-bit words of a parity bitmap
 
@@ -133,8 +137,8 @@ def _star_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(run, "a long, b long")
 
 
-def _postings(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(k, token, fp): prefix tokens under each order of the sets that may link with another class.
+def _postings(sets: DataFrame, num: int, den: int, orders: int) -> DataFrame:
+    """(k, token, fp): prefix tokens under each of the first ``orders`` orders of the sets that may link with another class.
 
     ``sets`` has (fp, n, comp, tokens). A token's place in an order depends on the token alone.
     """
@@ -151,7 +155,7 @@ def _postings(sets: DataFrame, num: int, den: int) -> DataFrame:
             for i, (fp, n) in enumerate(zip(b.column("fp").to_pylist(), b.column("n").to_pylist())):
                 t, d = flat[off[i] : off[i + 1]], df[doff[i] : doff[i + 1]]
                 most = _prefix(n, num, den) - (n - len(t))
-                for k in range(ORDERS):
+                for k in range(orders):
                     rarity = d if k == 0 else np.floor(np.log2(d) * (2 if k == 1 else 1))
                     first = t[np.lexsort((mix(t.view(np.uint64), 300 + k), rarity))[:most]]
                     out[0].append(np.full(len(first), k, np.int32))
@@ -177,9 +181,13 @@ def _signatures(sets: DataFrame) -> DataFrame:
     return sets.select("fp", "comp", "n", "tokens").mapInArrow(run, "fp long, comp long, n long, sign binary")
 
 
-def _candidates(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[str]]:
-    """(a, b): pairs of different classes that share a prefix token under every order and pass sizes and bitmaps."""
-    posts, posts_path = store(_postings(sets, num, den), "postings")
+def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[DataFrame, str]:
+    """(a, b): pairs of different classes that share a prefix token under every order and pass sizes and bitmaps.
+
+    If not ``complete``, only the closest pairs of two classes in each cell of the first order.
+    """
+    orders = ORDERS if complete else 1
+    posts, posts_path = store(_postings(sets, num, den, orders), "postings")
     wide = posts.join(sets.select("fp", "comp"), "fp")
     lists = wide.groupBy("k", "token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     blocks = F.expr(f"(c + {CELL_ROWS - 1}) div {CELL_ROWS}")
@@ -197,8 +205,10 @@ def _candidates(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[st
         left, same = np.array([r[1] for r in rows]), rows[0][2]
         fp, comp, n = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5))
         sign = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), SIGN_WORDS)
+        own = comp.tolist()
         reach = np.searchsorted(n, den * n // num, "right")
         a, b = [], []
+        near: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
         for i in range(len(rows) - 1):
             if reach[i] <= i + 1:
                 continue
@@ -212,9 +222,21 @@ def _candidates(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[st
                 # |x ^ y| is at least `apart`: the overlap is at most half of what is left of both sizes
                 total = n[at] + n[i]
                 both = (total - apart) // 2
-                hit = at[den * both >= num * (total - both)]
-                a += [int(fp[i])] * len(hit)
-                b += fp[hit].tolist()
+                close = den * both >= num * (total - both)
+                hit = at[close]
+                if complete:
+                    a += [int(fp[i])] * len(hit)
+                    b += fp[hit].tolist()
+                    continue
+                for c, d, y in zip(comp[hit].tolist(), (apart[close] / total[close]).tolist(), fp[hit].tolist()):
+                    best = near.setdefault((min(c, own[i]), max(c, own[i])), [])
+                    if len(best) < CLOSEST or d < best[-1][0]:
+                        best.append((d, int(fp[i]), y))
+                        best.sort()
+                        del best[CLOSEST:]
+        for best in near.values():
+            a += [x for _, x, _ in best]
+            b += [y for _, _, y in best]
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,8 +265,8 @@ def _candidates(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, list[st
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, order)], ["a", "b", "k"])
 
     found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, k long")
-    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bit_or("k").alias("k")).filter(f"k = {(1 << ORDERS) - 1}")
-    return pairs.select("a", "b"), [posts_path]
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bit_or("k").alias("k")).filter(f"k = {(1 << orders) - 1}")
+    return pairs.select("a", "b"), posts_path
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -265,6 +287,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(x, "a").join(y, "b").select("ca", "cb", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _merged(classed: DataFrame, links: DataFrame) -> DataFrame:
+    """``classed`` after classes that ``links`` (node, root) join have become one."""
+    found = classed.join(links, classed["comp"] == links["node"], "left")
+    return found.withColumn("comp", F.coalesce("root", "comp")).drop("node", "root")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: the key, ``n_shingles`` and ``component_id``.
 
@@ -284,17 +312,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = docs.join(alive.filter("n > 0").select("__id"), "__id", "left_semi").select("__text")
     sets, sets_path = store(_full_sets(texts, width).filter("n > 0").dropDuplicates(["fp"]), "sets")
 
-    first, first_path = components(_star_links(sets, num, den))
-    classed = sets.join(first.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
-    classed, classed_path = store(classed, "classes")
-    release(spark, sets_path, alive_path)
-    pairs, paths = _candidates(classed, num, den)
-    pairs, pairs_path = store(pairs, "pairs")
-    second, second_path = components(_verified(pairs, classed, num, den))
-    rooted = first.union(second.join(first, second.node == first.node, "left_anti"))
-    top = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    rooted, _ = store(rooted.join(top, "root", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root")), "roots")
-    release(spark, first_path, second_path, classed_path, pairs_path, *paths)
+    links, links_path = components(_star_links(sets, num, den))
+    classed, classed_path = store(_merged(sets.withColumn("comp", F.col("fp")), links), "classes")
+    release(spark, sets_path, alive_path, links_path)
+    for r in range(ROUNDS + 1):
+        pairs, posts_path = _candidates(classed, num, den, complete=r == ROUNDS)
+        pairs, pairs_path = store(pairs, "pairs")
+        links, links_path = components(_verified(pairs, classed, num, den))
+        merged = _merged(classed if r < ROUNDS else classed.select("fp", "comp"), links)
+        old = classed_path
+        classed, classed_path = store(merged, "classes")
+        release(spark, old, links_path, pairs_path, posts_path)
+    rooted = classed.select("fp", F.col("comp").alias("root"))
 
     held = groups.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = held.groupBy("root").agg(F.min("least").alias("component_id"))
