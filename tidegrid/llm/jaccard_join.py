@@ -138,7 +138,7 @@ def _star_links(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, num: int, den: int, orders: int) -> DataFrame:
-    """(k, token, fp): prefix tokens under each of the first ``orders`` orders of the sets that may link with another class.
+    """(k, fp, prefix): prefix tokens under each of the first ``orders`` orders of the sets that may link with another class.
 
     ``sets`` has (fp, n, comp, tokens). A token's place in an order depends on the token alone.
     """
@@ -157,14 +157,12 @@ def _postings(sets: DataFrame, num: int, den: int, orders: int) -> DataFrame:
                 most = _prefix(n, num, den) - (n - len(t))
                 for k in range(orders):
                     rarity = d if k == 0 else np.floor(np.log2(d) * (2 if k == 1 else 1))
-                    first = t[np.lexsort((mix(t.view(np.uint64), 300 + k), rarity))[:most]]
-                    out[0].append(np.full(len(first), k, np.int32))
-                    out[1].append(first)
-                    out[2].append(np.full(len(first), fp, np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["k", "token", "fp"])
+                    out[0].append(k)
+                    out[1].append(fp)
+                    out[2].append(t[np.lexsort((mix(t.view(np.uint64), 300 + k), rarity))[:most]])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["k", "fp", "prefix"])
 
-    return live.select("fp", "n", "tokens", "dfs").mapInArrow(run, "k int, token long, fp long")
+    return live.select("fp", "n", "tokens", "dfs").mapInArrow(run, "k int, fp long, prefix array<long>")
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
@@ -187,7 +185,8 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
     If not ``complete``, only the closest pairs of two classes in each cell of the first order.
     """
     orders = ORDERS if complete else 1
-    posts, posts_path = store(_postings(sets, num, den, orders), "postings")
+    prefixes, path = store(_postings(sets, num, den, orders), "prefixes")
+    posts = prefixes.select("k", F.explode("prefix").alias("token"), "fp")
     wide = posts.join(sets.select("fp", "comp"), "fp")
     lists = wide.groupBy("k", "token").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     blocks = F.expr(f"(c + {CELL_ROWS - 1}) div {CELL_ROWS}")
@@ -196,9 +195,13 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
         .select("k", "token", "fp", blocks.alias("nb"))
         .withColumn("own", F.expr("pmod(xxhash64(fp), nb)"))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        .select("k", "fp", "own", F.xxhash64("k", "token", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") == F.col("with")).alias("same"))
+        .select("k", "token", "fp", "own", F.xxhash64("k", "token", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") == F.col("with")).alias("same"))
     )
-    rows = cells.join(_signatures(sets), "fp").select("cell", "k", "left", "same", "fp", "comp", "n", "sign")
+    rows = cells.join(_signatures(sets), "fp").select("cell", "k", "token", "left", "same", "fp", "comp", "n", "sign")
+    if complete:  # what comes before the token in the set's prefix: a pair is named where its first common token is
+        rows = rows.join(prefixes, ["k", "fp"]).withColumn("before", F.expr("slice(prefix, 1, array_position(prefix, token) - 1)")).drop("prefix")
+    else:
+        rows = rows.withColumn("before", F.array().cast("array<long>"))
 
     def pairs_of(rows: list[tuple]) -> tuple[list, list]:
         rows.sort(key=lambda r: r[5])
@@ -225,8 +228,10 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
                 close = den * both >= num * (total - both)
                 hit = at[close]
                 if complete:
-                    a += [int(fp[i])] * len(hit)
-                    b += fp[hit].tolist()
+                    mine = frozenset(rows[i][7])
+                    first = [j for j in hit.tolist() if mine.isdisjoint(rows[j][7])]
+                    a += [int(fp[i])] * len(first)
+                    b += fp[first].tolist()
                     continue
                 for c, d, y in zip(comp[hit].tolist(), (apart[close] / total[close]).tolist(), fp[hit].tolist()):
                     best = near.setdefault((min(c, own[i]), max(c, own[i])), [])
@@ -253,10 +258,10 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
                 order.extend([1 << k] * len(a))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "left", "same", "fp", "comp", "n", "sign", "k"))):
-                if row[0] != cell:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "left", "same", "fp", "comp", "n", "sign", "before", "token", "k"))):
+                if (row[0], *row[8:]) != cell:
                     close()
-                    cell, held, k = row[0], [], row[7]
+                    cell, held, k = (row[0], *row[8:]), [], row[9]
                 held.append(row)
             if len(left) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, order)], ["a", "b", "k"])
@@ -264,9 +269,9 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
         close()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (left, right, order)], ["a", "b", "k"])
 
-    found = rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, k long")
+    found = rows.repartition("cell").sortWithinPartitions("cell", "token", "k").mapInArrow(run, "a long, b long, k long")
     pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bit_or("k").alias("k")).filter(f"k = {(1 << orders) - 1}")
-    return pairs.select("a", "b"), posts_path
+    return pairs.select("a", "b"), path
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
