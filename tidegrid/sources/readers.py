@@ -57,7 +57,9 @@ def parse_index_lines(lines: DataFrame, n_years: int | None = None, sentinel: fl
     ``n_years`` keeps the first years of each file, where a source appends other text.
     """
     parts = F.split(F.trim("value"), "\\s+")
-    rows = lines.select(*by, parts.alias("p")).filter(F.size("p").between(2, 13) & F.col("p")[0].rlike("^[0-9]{4}$"))
+    year = "^[0-9]{4}$"
+    rows = lines.select(*by, parts.alias("p")).filter(F.size("p").between(2, 13) & F.col("p")[0].rlike(year))
+    rows = rows.filter(~((F.size("p") == 2) & F.col("p")[1].rlike(year)))  # first and last year of the file
     rows = rows.withColumn("year", F.col("p")[0].cast("int"))
     if n_years is not None:
         # at most one row per calendar year and file
