@@ -34,10 +34,10 @@ from tidegrid.llm.store import byte_texts, list_column, mix, release, split_join
 
 ORDERS = 3  # global token orders of the prefix filter
 STARS = 3  # hash orders under which leaders are compared
-LEADERS = 16  # of a run; only how soon links are found depends on it
+LEADERS = 24  # of a run; only how soon links are found depends on it
 RUN_ROWS = 5_000  # a larger run is split by the hash of the set
 ROUNDS = 2  # that look for the closest pairs of classes before the complete one
-CLOSEST = 3  # pairs of two classes that a cell names in such a round
+CLOSEST = 1  # pairs of two classes that a cell names in such a round
 CELL_ROWS = 2_048  # a larger posting list is split into pairs of blocks
 SIGN_WORDS = 32  # 64-bit words of a parity bitmap
 
@@ -134,7 +134,7 @@ def _star_links(sets: DataFrame, num: int, den: int) -> DataFrame:
                     leaders.append((fp, mine))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return rows.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(run, "a long, b long")
+    return rows.repartition("g").sortWithinPartitions("g", "fp").mapInArrow(run, "a long, b long")
 
 
 def _postings(sets: DataFrame, num: int, den: int, orders: int) -> DataFrame:
@@ -198,10 +198,8 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
         .select("k", "token", "fp", "own", F.xxhash64("k", "token", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), (F.col("own") <= F.col("with")).alias("left"), (F.col("own") == F.col("with")).alias("same"))
     )
     rows = cells.join(_signatures(sets), "fp").select("cell", "k", "token", "left", "same", "fp", "comp", "n", "sign")
-    if complete:  # what comes before the token in the set's prefix: a pair is named where its first common token is
-        rows = rows.join(prefixes, ["k", "fp"]).withColumn("before", F.expr("slice(prefix, 1, array_position(prefix, token) - 1)")).drop("prefix")
-    else:
-        rows = rows.withColumn("before", F.array().cast("array<long>"))
+    # what comes before the token in the set's prefix: a pair is named where its first common token is
+    rows = rows.join(prefixes, ["k", "fp"]).withColumn("before", F.expr("slice(prefix, 1, array_position(prefix, token) - 1)")).drop("prefix")
 
     def pairs_of(rows: list[tuple]) -> tuple[list, list]:
         rows.sort(key=lambda r: r[5])
@@ -226,14 +224,14 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
                 total = n[at] + n[i]
                 both = (total - apart) // 2
                 close = den * both >= num * (total - both)
-                hit = at[close]
+                mine = frozenset(rows[i][7])
+                first = [j for j in np.flatnonzero(close).tolist() if mine.isdisjoint(rows[at[j]][7])]
+                hit = at[first]
                 if complete:
-                    mine = frozenset(rows[i][7])
-                    first = [j for j in hit.tolist() if mine.isdisjoint(rows[j][7])]
-                    a += [int(fp[i])] * len(first)
-                    b += fp[first].tolist()
+                    a += [int(fp[i])] * len(hit)
+                    b += fp[hit].tolist()
                     continue
-                for c, d, y in zip(comp[hit].tolist(), (apart[close] / total[close]).tolist(), fp[hit].tolist()):
+                for c, d, y in zip(comp[hit].tolist(), (apart[first] / total[first]).tolist(), fp[hit].tolist()):
                     best = near.setdefault((min(c, own[i]), max(c, own[i])), [])
                     if len(best) < CLOSEST or d < best[-1][0]:
                         best.append((d, int(fp[i]), y))
