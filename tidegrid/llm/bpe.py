@@ -24,12 +24,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMO = 200_000  # words a worker remembers
+MEMO = 300_000  # words, and runs between white space, that a worker remembers
 MEMO_CHARS = 64  # longer words are not kept
 # Fixed values of the vocabulary's format: white space, and the words of a text (letters, one digit, or other symbols).
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+"
 _ASCII_WORDS = _WORDS.format(letters="a-z", numbers="0-9", space=r"\t-\r ")
+_NO_SPACE = "\x1c\x1d\x1e\x1f"  # white space for str.split alone
 END = "</w>"
 # Code points that are letters, numbers and capitals only in Unicode versions later than 15.1.
 _LATER = {
@@ -79,6 +80,8 @@ class WordBpe:
         self.last = [self.vocab[c + END] for c in chars]
         self.ascii_words = re.compile(_ASCII_WORDS)
         self.memo: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word."""
@@ -105,24 +108,41 @@ class WordBpe:
                 heapq.heappush(queue, (found[0], h, found[1], ids[h], made))
         return [x for x in ids if x >= 0]
 
+    def _word(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word)).tobytes()
+            if len(word) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = ids
+        return ids
+
+    def _run(self, run: str) -> bytes:
+        """Ids of lower-case text, cut into words."""
+        if run.isascii():
+            return b"".join([self._word(w) for w in self.ascii_words.findall(run)])
+        if _LATER_CAPITALS.search(run):
+            run = run.translate(_LATER_LOWER)
+        return b"".join([self._word(w) for w in all_words().findall(run)])
+
     def _plain(self, text: str) -> list[bytes]:
-        if text.isascii():
-            words = self.ascii_words.findall(text.lower())
-        else:
+        if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
-            if _LATER_CAPITALS.search(low):
-                low = low.translate(_LATER_LOWER)
-            words = all_words().findall(low)
-        memo, out = self.memo, []
-        for w in words:
-            ids = memo.get(w)
+        low = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
+        if any(c in low for c in _NO_SPACE):
+            return [self._run(low)]
+        # no word crosses white space, so what stands between it can be remembered as a whole
+        runs, out = self.runs, []
+        for r in low.split():
+            ids = runs.get(r)
             if ids is None:
-                ids = array("I", self.merge(w)).tobytes()
-                if len(w) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[w] = ids
+                ids = self.older.get(r) or self._run(r)
+                if len(r) <= MEMO_CHARS:
+                    if len(runs) >= MEMO:  # what is met again survives
+                        self.older, self.runs = runs, {}
+                        runs = self.runs
+                    runs[r] = ids
             out.append(ids)
         return out
 
