@@ -106,6 +106,37 @@ def test_neighbours_by_bm25():
     assert found[:2] == sorted((1, 2, 3), key=lambda i: -score(i))[:2] and found[0] == 1
 
 
+def _brute_scores(docs, seed, df=None, n=None, mean=None):
+    """BM25 of every document for all terms of the seed, one at a time."""
+    n, mean = n or len(docs), mean or np.mean([len(d) for d in docs])
+    scores = []
+    for d in docs:
+        total = 0.0
+        for t in set(docs[seed].tolist()):
+            f = sum(t in x for x in docs) if df is None else df[t]
+            tf = int((d == t).sum())
+            total += np.log1p((n - f + 0.5) / (f + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        scores.append(total)
+    return np.array(scores)
+
+
+def test_windows_are_filled_by_all_terms_of_the_seed():
+    r = np.random.default_rng(3)
+    seed = np.append(np.arange(100, 160), 2)  # 61 terms
+    docs = [seed, *(np.append(r.choice(np.arange(100, 160) if i % 2 else np.arange(160, 300), 8, replace=False), 2) for i in range(300))]
+    docs = [d.astype(np.uint32) for d in docs]
+    scores = _brute_scores(docs, 0)
+    others = np.arange(1, len(docs))
+    want = others[np.argsort(-scores[others], kind="stable")]
+    got = Bm25(docs).neighbours(0, np.arange(len(docs)) > 0)
+    assert len(got) == len(docs) - 1
+    assert np.allclose(scores[got], scores[want])
+    pieces = fill_windows(docs, 61 + 9 * 150)  # the seed and 150 neighbours
+    placed = [p[0] for p in pieces if p[3] == 0]
+    assert placed[0] == 0 and len(placed) == 151
+    assert np.allclose(scores[placed[1:]], scores[want[:150]])
+
+
 def test_copies_share_windows():
     r = np.random.default_rng(0)
     groups = [r.integers(10, 5000, 30) for _ in range(20)]

@@ -2,7 +2,7 @@
 
 Documents are ordered by a lexical key (the least word hash, which copies and similar texts share often) and dealt by range into shards of
 bounded size; a key that very many share is divided by the document key. Each shard builds a BM25 inverted index over the token ids of its documents. The first
-unused document is the seed of a window; the unused documents that score best for its heaviest terms follow until the window is
+unused document is the seed of a window; the unused documents that score best for all its terms follow until the window is
 full. The one that crosses the end is cut, and its rest opens the next window. So windows have no padding; what is left at the
 end of a shard is cut into sequences whose lengths are powers of two.
 """
@@ -23,8 +23,6 @@ from tidegrid.llm.store import byte_texts, chunks, mix
 
 WINDOW = 4096
 SHARD_BYTES = 12_000_000  # of text, on average
-QUERY_TERMS = 32
-NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 
 
@@ -52,16 +50,12 @@ class Bm25:
         self.at = np.concatenate([[0], np.cumsum(df)])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """Unused documents that share heavy terms with the seed, best first; ties by position."""
-        own = self.own[seed]
-        heavy = self.terms[seed][np.argsort(-own, kind="stable")[:QUERY_TERMS]]
-        parts = [slice(self.at[t], self.at[t + 1]) for t in heavy]
+        """All unused documents that share a term with the seed, best first; ties by position."""
+        parts = [slice(self.at[t], self.at[t + 1]) for t in self.terms[seed]]
         score = np.bincount(np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+        return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -100,7 +94,7 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int
         closed = put(doc)
         if closed and not filled:
             queue = []  # the window is full and nothing is left over: the next document is a seed
-        elif closed or not queue:  # what opens a window, or follows when its neighbours are used up, is a seed
+        elif closed or not queue:  # what opens a window, or follows when no document shares a term with its seed any more, is a seed
             queue = index.neighbours(doc, unused)[::-1]
     return _powers_of_two(out, sequence, filled)
 
