@@ -9,6 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
+from tidegrid.llm import lexical_packing as packing
 from tidegrid.llm.bpe import WordBpe, encode_decode
 from tidegrid.llm.lexical_packing import Bm25, fill_windows, pack
 
@@ -137,6 +140,22 @@ def test_windows_are_filled_by_all_terms_of_the_seed():
     assert np.allclose(scores[placed[1:]], scores[want[:150]])
 
 
+def test_weights_come_from_the_whole_corpus(spark):
+    texts = [f"common alpha{i % 3} word{i % 7} rare{i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [np.array([*_ids(t), 2], np.uint32) for t in texts]
+    encoded = packing._encoded(docs.select(F.col("doc_id").alias("id"), "text"), packing.broadcast_vocabulary(spark, PATH), 2, np.uint16)
+    corpus = packing._count(encoded.repartition(5), np.uint16)
+    df = np.bincount(np.concatenate([np.unique(x) for x in ids]))
+    assert corpus.n == 60 and corpus.mean == np.mean([len(x) for x in ids]) and corpus.df.tolist() == df.tolist()
+    part = ids[:6]  # a shard weighs its terms as the corpus does
+    order = np.argsort(-_brute_scores(part, 0, df, 60, corpus.mean)[1:], kind="stable") + 1
+    assert Bm25(part, corpus).neighbours(0, np.arange(6) > 0) == order.tolist()
+    index = Bm25(part, corpus)
+    got = np.bincount(index.owner, index.weight * np.isin(np.repeat(np.arange(len(index.at) - 1), np.diff(index.at)), ids[0]), 6)
+    assert np.allclose(got, _brute_scores(part, 0, df, 60, corpus.mean))
+
+
 def test_copies_share_windows():
     r = np.random.default_rng(0)
     groups = [r.integers(10, 5000, 30) for _ in range(20)]

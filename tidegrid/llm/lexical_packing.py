@@ -1,7 +1,8 @@
 """Packing by lexical retrieval: a seed document draws its nearest unused neighbours into its window.
 
 Documents are ordered by a lexical key (the least word hash, which copies and similar texts share often) and dealt by range into shards of
-bounded size; a key that very many share is divided by the document key. Each shard builds a BM25 inverted index over the token ids of its documents. The first
+bounded size; a key that very many share is divided by the document key. The BM25 weights come from counts over the whole corpus: documents, their
+mean length, and the documents of each term. Each shard builds an inverted index over the token ids of its documents, and neighbours are looked for in it. The first
 unused document is the seed of a window; the unused documents that score best for all its terms follow until the window is
 full. The one that crosses the end is cut, and its rest opens the next window. So windows have no padding; what is left at the
 end of a shard is cut into sequences whose lengths are powers of two.
@@ -10,26 +11,36 @@ end of a shard is cut into sequences whose lengths are powers of two.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.bpe import broadcast_vocabulary, loaded
+from tidegrid.llm.bpe import WordBpe, broadcast_vocabulary, loaded
 from tidegrid.llm.shingles import word_hashes
-from tidegrid.llm.store import byte_texts, chunks, mix
+from tidegrid.llm.store import byte_texts, chunks, mix, store
 
 WINDOW = 4096
 SHARD_BYTES = 12_000_000  # of text, on average
 K1, B = 1.2, 0.75
 
 
+@dataclass
+class Corpus:
+    """Counts behind the weights: documents, their mean length, and by term the documents that have it."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
 class Bm25:
-    """Inverted index of one shard: postings of each term with their weights."""
+    """Inverted index of one shard: postings of each term with their weights, by the counts of ``corpus`` or else of the shard."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         terms, owners, counts = [], [], []
         for i, ids in enumerate(docs):
             t, c = np.unique(ids, return_counts=True)
@@ -40,14 +51,13 @@ class Bm25:
         length = np.array([len(d) for d in docs], np.float64)
         self.terms = [t.astype(np.int64) for t in terms]
         term, owner, tf = np.concatenate(terms).astype(np.int64), np.concatenate(owners), np.concatenate(counts).astype(np.float64)
-        width = int(term.max()) + 1
-        df = np.bincount(term, minlength=width)
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
-        self.own = np.split(weight, np.cumsum([len(t) for t in terms])[:-1])
+        here = np.bincount(term)
+        corpus = corpus or Corpus(self.n, length.mean(), here)
+        idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / corpus.mean))
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.at = np.concatenate([[0], np.cumsum(df)])
+        self.at = np.concatenate([[0], np.cumsum(here)])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         """All unused documents that share a term with the seed, best first; ties by position."""
@@ -58,9 +68,9 @@ class Bm25:
         return found[np.argsort(-score[found], kind="stable")].tolist()
 
 
-def fill_windows(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def fill_windows(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; every token of every document is in exactly one."""
-    index = Bm25(docs)
+    index = Bm25(docs, corpus)
     unused = np.ones(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence = filled = 0
@@ -112,45 +122,74 @@ def _powers_of_two(pieces: list[tuple[int, int, int, int, int]], last: int, size
     return out
 
 
-def _lexical_keys(docs: DataFrame) -> DataFrame:
+def _encoded(docs: DataFrame, spec: Broadcast, end_id: int, kind: type) -> DataFrame:
+    """(id, lexical, ids) of every document: its least word hash, and its token ids with the end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = loaded(spec)
         for b in batches:
-            texts, keys = byte_texts(b.column(1)), []
+            texts = byte_texts(b.column(1))
             for lo, hi in chunks(texts):
                 h, counts = word_hashes(texts[lo:hi])
                 ends = np.cumsum(counts)
                 h = mix(h, 9)
-                keys += [int(h[e - c : e].min()) >> 1 if c else -1 for e, c in zip(ends.tolist(), counts.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], ["id", "text", "lexical"])
+                keys = [int(h[e - c : e].min()) >> 1 if c else -1 for e, c in zip(ends.tolist(), counts.tolist())]
+                ids = [np.append(np.frombuffer(bpe.encode(t or ""), np.uint32), np.uint32(end_id)).astype(kind).tobytes() for t in b.column(1)[lo:hi].to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["id", "lexical", "ids"])
+
+    return docs.mapInArrow(run, "id long, lexical long, ids binary")
 
-    return docs.mapInArrow(run, "id long, text string, lexical long")
+
+def _count(encoded: DataFrame, kind: type) -> Corpus:
+    """Counts over all documents; what reaches the driver is one number for each term of the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(0, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                terms = np.unique(np.frombuffer(x, kind))
+                if terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
+                df[terms] += 1
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(df[found])], ["term", "n"])
+
+    n, size = encoded.agg(F.count("*"), F.sum(F.octet_length("ids"))).first()
+    sums = encoded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    terms = sums["term"].to_numpy()
+    df = np.zeros(int(terms.max(initial=-1)) + 1, np.int64)
+    df[terms] = sums["n"].to_numpy()
+    return Corpus(n, (size or 0) / np.dtype(kind).itemsize / max(n, 1), df)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(key, start, length, doc_tokens, sequence_id, offset, ids) of each piece; ids as little-endian unsigned 32-bit integers.
 
     A null text counts as empty: its document is the end id alone. Repeated rows and rows without key are packed like others. Other
-    columns are not read. Sequences have ``window`` tokens or, at the end of a shard, a power of two.
+    columns are not read. Sequences have ``window`` tokens or, at the end of a shard, a power of two. Texts are encoded once, into a stored table.
     """
     spec = broadcast_vocabulary(docs.sparkSession, path)
+    kind = np.uint16 if max(end_id, *WordBpe(spec.value).strings) < 1 << 16 else np.uint32
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
 
+    encoded, _ = store(_encoded(docs, spec, end_id, kind), "encoded")
+    corpus = docs.sparkSession.sparkContext.broadcast(_count(encoded, kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, keys, docs_ = loaded(spec), [], []
-        stop = np.uint32(end_id)
+        keys, docs_ = [], []
         for b in batches:
             keys += b.column(0).to_pylist()
-            docs_ += [np.append(np.frombuffer(bpe.encode(t or ""), np.uint32), stop) for t in b.column(1).to_pylist()]
+            docs_ += [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
         if not docs_:
             return
         first = TaskContext.get().partitionId() << 32
-        pieces = fill_windows(docs_, window)
+        pieces = fill_windows(docs_, window, corpus.value)
         for lo in range(0, len(pieces), 2_000):
             part = pieces[lo : lo + 2_000]
             doc, start, length, sequence, offset = (list(x) for x in zip(*part))
-            ids = [docs_[d][s : s + n].tobytes() for d, s, n in zip(doc, start, length)]
+            ids = [docs_[d][s : s + n].astype(np.uint32).tobytes() for d, s, n in zip(doc, start, length)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[d] for d in doc], pa.int64()),
@@ -160,5 +199,5 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, key:
                 [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
 
-    dealt = _lexical_keys(docs).repartitionByRange(shards, "lexical", "id").select("id", "text")
+    dealt = encoded.repartitionByRange(shards, "lexical", "id").select("id", "ids")
     return dealt.mapInArrow(run, f"`{key}` long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
