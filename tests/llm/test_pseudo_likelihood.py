@@ -1,4 +1,5 @@
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -73,6 +74,22 @@ def test_training_beats_frequencies(spark):
     assert order < P.pseudo_likelihood(docs, net, vocabulary).agg(F.sum("log_likelihood")).first()[0]
 
 
+def test_every_document_is_trained_on_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i // 2 if i % 5 else None, f"only{i} word{i % 3}") for i in range(200)], "doc_id long, text string").repartition(3)
+    vocabulary, frequency = P.count_words(docs)
+    seen = str(tmp_path)
+
+    def padded(self, texts):
+        with open(f"{seen}/{uuid.uuid4().hex}", "wb") as f:
+            f.write(b"\n".join(texts))
+        return P.Vocabulary.padded(self, texts)
+
+    logged = type("Logged", (), {"padded": padded, "words": vocabulary.words, "types": vocabulary.types, "ids": P.Vocabulary.ids})()
+    P.train(docs, logged, frequency)
+    got = Counter(t for f in tmp_path.iterdir() for t in f.read_text().split("\n"))
+    assert got == Counter(r.text for r in docs.collect())
+
+
 def test_no_documents(docs):
     none = docs.filter("false")
     vocabulary, frequency = P.count_words(none)

@@ -2,8 +2,8 @@
 
 Tokens are words: the most frequent ones of all documents are types of their own, the others fall into hashed types. Each of the places around a
 masked token has its own embedding table; their sum goes through tanh to a softmax over the types. Training is data parallel: in each
-round every task improves the network on its part of the training documents, a fixed share of all, and Spark averages the parameters by the
-number of tokens. What reaches the driver is one network, whatever the size of the corpus. A document's score is the sum of
+round every task improves the network on its part of a share of the documents, and Spark averages the parameters by the
+number of tokens. The shares of all rounds are the whole corpus. What reaches the driver is one network, whatever the size of the corpus. A document's score is the sum of
 the log probabilities of its tokens.
 """
 
@@ -27,8 +27,7 @@ PAD = TYPES  # beyond the ends of a document
 SIDE = 3  # tokens on each side
 WIDTH = 16
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
-SHARE = 16  # one of so many documents is trained on in a round
-ROUNDS = 3
+ROUNDS = SHARE = 4  # a round trains on one of so many documents, and each document is in one round
 BATCH = 256
 STEP = 0.08
 
@@ -144,7 +143,10 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.nda
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> Window:
-    """Network after ``rounds`` averaged passes, each over one ``share``-th of the documents, chosen by a hash of their key."""
+    """Network after ``rounds`` averaged passes, each over one ``share``-th of the documents, dealt by a hash of key and text.
+
+    As many rounds as shares train on every document once; further ones start again with the first share.
+    """
     net = new_window(frequency)
     for r in range(rounds):
         start = net.flat()
@@ -164,7 +166,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, key: s
                 flat = trainer.net.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * many), pa.array(np.full(len(flat), float(many)))], ["i", "v", "w"])
 
-        part = docs.filter(F.expr(f"pmod(xxhash64(`{key}`, {r}), {share}) = 0")).select(text)
+        part = docs.filter(F.expr(f"pmod(xxhash64(`{key}`, `{text}`), {share}) = {r % share}")).select(text)
         mean = part.mapInArrow(run, "i long, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v"))
         rows = mean.toArrow()
         if rows.num_rows:
