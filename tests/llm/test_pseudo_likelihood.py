@@ -90,6 +90,29 @@ def test_every_document_is_trained_on_once(spark, tmp_path):
     assert got == Counter(r.text for r in docs.collect())
 
 
+def test_words_that_share_a_type_have_their_own_probability(docs):
+    vocabulary, frequency = P.count_words(docs)
+    net = P.new_window(frequency)
+    n = Counter(x for r in docs.collect() for x in P.word_hashes([(r.text or "").encode()])[0].tolist())
+    short = docs.filter("text is null or length(text) < 2000")
+    got = sorted((r.doc_id or -1, r.n_tokens, r.log_likelihood) for r in P.token_likelihood(short, net, vocabulary, frequency).collect())
+    want = []
+    for r in short.collect():
+        many, total = _plain_score(net, vocabulary, r.text)
+        h = P.word_hashes([(r.text or "").encode()])[0]
+        total += sum(math.log(n[x] / (frequency[t] + 1)) for x, t in zip(h.tolist(), vocabulary.ids(h)) if t >= P.KNOWN)
+        want.append((r.doc_id or -1, many, total))
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-3, abs=1e-2)
+    known = [f"w{i}" for i in range(400)]
+    h = P.word_hashes([" ".join(known).encode()])[0]
+    rare = next(w for w, t in zip(known, vocabulary.ids(h)) if t >= P.KNOWN)
+    two = docs.sparkSession.createDataFrame([(1, rare), (2, next(x for i in range(10**6) if vocabulary.ids(P.word_hashes([(x := f"invented{i}").encode()])[0])[0] == vocabulary.ids(P.word_hashes([rare.encode()])[0])[0]))], "doc_id long, text string")
+    a, b = (r.log_likelihood for r in P.token_likelihood(two, net, vocabulary, frequency).orderBy("doc_id").collect())
+    assert a > b + 0.5
+
+
 def test_no_documents(docs):
     none = docs.filter("false")
     vocabulary, frequency = P.count_words(none)

@@ -4,7 +4,8 @@ Tokens are words: the most frequent ones of all documents are types of their own
 masked token has its own embedding table; their sum goes through tanh to a softmax over the types. Training is data parallel: in each
 round every task improves the network on its part of a share of the documents, and Spark averages the parameters by the
 number of tokens. The shares of all rounds are the whole corpus. What reaches the driver is one network, whatever the size of the corpus. A document's score is the sum of
-the log probabilities of its tokens.
+the log probabilities of its tokens: of the type by the network and, where words share a type, of the word among those of its type by their counts, which
+stay in a table that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.shingles import word_hashes
-from tidegrid.llm.store import byte_texts, chunks, store
+from tidegrid.llm.store import byte_texts, chunks, mix, store
 
 KNOWN = 224  # types that are words
 HASHED = 32  # types that other words share
@@ -104,6 +106,7 @@ class Trainer:
 class Vocabulary:
     words: np.ndarray  # sorted hashes of the known words
     types: np.ndarray  # their types
+    counts: str = ""  # path of the table of all words and how often each occurs
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         hashed = (KNOWN + h % np.uint64(HASHED)).astype(np.int64)
@@ -129,7 +132,7 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.nda
             words, counts = np.unique(word_hashes(byte_texts(b.column(0)))[0], return_counts=True) if b.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], ["word", "n"])
 
-    sums, _ = store(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    sums, path = store(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = sums.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     words = np.array([r.word for r in top], np.int64).view(np.uint64)
     frequency = np.zeros(TYPES)
@@ -139,7 +142,7 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.nda
     for r in rest.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
         frequency[r.kind] = r.n
     order = np.argsort(words)
-    return Vocabulary(words[order], order.astype(np.int64)), frequency
+    return Vocabulary(words[order], order.astype(np.int64), path), frequency
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> Window:
@@ -195,3 +198,44 @@ def pseudo_likelihood(docs: DataFrame, net: Window, vocabulary: Vocabulary, key:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(mean, pa.float64())], [key, "n_tokens", "log_likelihood", "per_token"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, n_tokens long, log_likelihood double, per_token double")
+
+
+def token_likelihood(docs: DataFrame, net: Window, vocabulary: Vocabulary, frequency: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Like :func:`pseudo_likelihood`, but of the words themselves: a word that shares its type counts among the words of that type.
+
+    Each type keeps one count for words that the corpus of the vocabulary does not have. Words with a type of their own need no more than the network.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in batches:
+            keys, texts = b.column(0), byte_texts(b.column(1))
+            for lo, hi in chunks(texts):
+                h, counts = word_hashes(texts[lo:hi])
+                ids, at, _ = vocabulary.padded(texts[lo:hi])
+                own, n = np.repeat(np.arange(hi - lo), counts), hi - lo
+                sums = np.bincount(own, net.log_probabilities(ids, at), n)
+                shared = ids[at] >= KNOWN
+                sums -= np.bincount(own[shared], np.log(frequency[ids[at][shared]] + 1), n)
+                rows = row + np.arange(n)
+                # one row for each shared word, and one for the document, whose word is in no table
+                word = np.concatenate([mix(rows.astype(np.uint64), 3), h[shared]]).view(np.int64)
+                many = int(shared.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([rows, rows[own[shared]]])),
+                        pa.array(word),
+                        pa.array(np.concatenate([np.zeros(n, np.int64), np.ones(many, np.int64)])),
+                        pa.concat_arrays([keys[lo:hi], pa.nulls(many, pa.int64())]),
+                        pa.array(np.concatenate([counts, np.zeros(many, np.int64)]).astype(np.int64)),
+                        pa.array(np.concatenate([sums, np.zeros(many)])),
+                    ],
+                    ["row", "word", "shared", "key", "n_tokens", "v"],
+                )
+                row += n
+
+    parts = docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "row long, word long, shared long, key long, n_tokens long, v double")
+    words = docs.sparkSession.read.schema("word long, n long").parquet(vocabulary.counts)
+    score = F.col("v") + F.when(F.col("shared") == 1, F.log(F.coalesce(F.col("n"), F.lit(1)))).otherwise(0.0)
+    whole = parts.join(words, "word", "left").groupBy("row").agg(F.max("key").alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum(score).alias("log_likelihood"))
+    return whole.select(key, "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("per_token"))

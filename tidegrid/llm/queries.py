@@ -16,7 +16,7 @@ from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.html_extraction import extract_main_text, learn_weights
 from tidegrid.llm.jaccard_join import jaccard_components
 from tidegrid.llm.lexical_packing import pack
-from tidegrid.llm.pseudo_likelihood import count_words, pseudo_likelihood, train
+from tidegrid.llm.pseudo_likelihood import count_words, token_likelihood, train
 from tidegrid.llm.ranking import fit_quality, with_quality
 from tidegrid.llm.store import table
 from tidegrid.llm.supervised import remainder
@@ -133,4 +133,4 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a window network trained on the same corpus."""
     docs = table(spark, sf_dir, "documents")
     vocabulary, frequency = count_words(docs)
-    return pseudo_likelihood(docs, train(docs, vocabulary, frequency), vocabulary)
+    return token_likelihood(docs, train(docs, vocabulary, frequency), vocabulary, frequency)
