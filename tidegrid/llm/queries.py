@@ -14,13 +14,16 @@ from tidegrid.llm.chat import maximal_turns, render
 from tidegrid.llm.chroma import search, vector_recordings
 from tidegrid.llm.exact_dedup import exact_dedup
 from tidegrid.llm.html_extraction import extract_main_text, learn_weights
+from tidegrid.llm.impact_search import rank_documents
 from tidegrid.llm.jaccard_join import jaccard_components
 from tidegrid.llm.lexical_packing import pack
 from tidegrid.llm.pseudo_likelihood import count_words, token_likelihood, train
 from tidegrid.llm.ranking import fit_quality, with_quality
 from tidegrid.llm.store import table
 from tidegrid.llm.supervised import remainder
+from tidegrid.llm.token_alignment import align_tokenizers
 from tidegrid.llm.toxicity import fit_toxicity, with_toxicity
+from tidegrid.llm.vantage_trees import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -134,3 +137,35 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary, frequency = count_words(docs)
     return token_likelihood(docs, train(docs, vocabulary, frequency), vocabulary, frequency)
+
+
+_RANK_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+q as (select item_id, term, count(*) as times
+      from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by all),
+c as (select count(*) filter (len(terms) > 0) as n_docs, sum(len(terms))::bigint as n_terms from d),
+p as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(terms) as n, unnest(terms) as term from d) group by all),
+f as (select term, count(*) as df from p where term in (select term from q) group by term),
+w as (select item_id, term, times * floor(1000 * ln((2.0::double * n_docs + 2) / (2 * df + 1)))::bigint as weight from q join f using (term), c),
+s as (select item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+      from p join w using (term), c group by all having sum(weight) > 0)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10"""
+
+
+@query(_RANK_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op12_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and sentence pieces of every document, aligned."""
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
