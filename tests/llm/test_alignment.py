@@ -13,12 +13,13 @@ from tokenizers import Tokenizer, decoders
 from pyspark.sql import functions as F
 
 from tidegrid.llm.queries import op13_token_alignment
-from tidegrid.llm.token_alignment import Aligner, align_tokenizers, byte_level_table, piece_table, terminals
+from tidegrid.llm.token_alignment import Aligner, align_tokenizers, byte_level_table, cut_pattern, piece_table, terminals
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 A, B = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
 A.encode_special_tokens = True
-OWN = Aligner(byte_level_table(BYTES), piece_table(PIECES))
+WHOLE = Aligner(byte_level_table(BYTES), piece_table(PIECES))
+OWN = Aligner(byte_level_table(BYTES), piece_table(PIECES), cut_pattern(BYTES, PIECES))
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER = dict(zip([chr(b) for b in _SHOWN] + [chr(256 + i) for i in range(68)], _SHOWN + [b for b in range(256) if b not in _SHOWN], strict=True))
 
@@ -66,19 +67,23 @@ AWKWARD = ["a", " ", "  two  spaces ", "\t\n\r", "<s></s><unk><|endoftext|>", "
 
 @pytest.mark.parametrize("text", AWKWARD)
 def test_corner_cases(text):
-    got = OWN.block([text.encode()])[0]
     want = _rows([text])[0]
-    assert (*got[:4], got[4]) == (*want[:4], want[6])
+    for aligner in (OWN, WHOLE):
+        got = aligner.block([text.encode()])[0]
+        assert (*got[:4], got[4]) == (*want[:4], want[6])
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.text(max_size=40), max_size=6))
+SPACED = st.lists(st.sampled_from(list(" \t\n\x1c\x85\u00a0\u3000\u200b'.,aBé1½中▁") + ["'s", "th", " the", "  ", "🏽", "<s>"]), max_size=30).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(max_size=40) | SPACED, max_size=6))
 def test_blocks_of_any_texts(texts):
     got = OWN.block([t.encode() for t in texts])
     assert [(*g[:4], g[4]) for g in got] == [(*w[:4], w[6]) for w in _rows(texts)]
     for g, t in zip(got, texts, strict=True):
         plain = _plain(t)
-        pairs = Counter(a * OWN.width + b for a, b in plain[3]) if plain else Counter()
+        pairs = Counter(a * OWN.width + b for a, b in plain[3]) if plain else {}
         assert dict(zip(g[5].tolist(), g[6].tolist(), strict=True)) == dict(pairs)
 
 
@@ -100,7 +105,8 @@ def test_byte_table_is_the_decoder_of_the_library():
 
 
 @pytest.mark.parametrize("head", [1 << 16, 20])
-def test_alignment_of_awkward_rows(spark, head):
+def test_alignment_of_awkward_rows(spark, monkeypatch, head):
+    monkeypatch.setattr("tidegrid.llm.token_alignment.MEMO", head)
     rows = messy_rows(many=40) + [(10_000 + i, t, *[None] * 7) for i, t in enumerate(AWKWARD)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("pairs", F.lit("x")).withColumn("row", F.lit(1)).repartition(5)
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in align_tokenizers(docs, BYTES, PIECES, head=head).collect())

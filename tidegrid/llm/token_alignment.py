@@ -12,7 +12,10 @@ digest. Every row has a result row of its own, rows with null or repeated ids to
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +29,8 @@ from tidegrid.llm.store import byte_texts, chunks, list_column, release, store
 #: Rows of the table of frequent pairs that is broadcast: 16 bytes each.
 HEAD = 1 << 16
 
-#: Bytes of text whose tokens are in arrays at once; batching only.
-BLOCK_BYTES = 1 << 19
+#: Bytes of text whose tokens are in arrays at once, pieces that a task remembers, pieces encoded as one text; batching only.
+BLOCK_BYTES, MEMO, JOINED = 1 << 19, 200_000, 2000
 
 Encode = Callable[[list[str]], list[list[int]]]
 
@@ -85,63 +88,129 @@ def _links(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Aligner:
-    """Alignment of blocks of texts; ``width`` is the size of the second vocabulary, so that an id pair is a * width + b."""
+    """Alignment of texts; ``width`` is the size of the second vocabulary, so that an id pair is a * width + b.
 
-    def __init__(self, a: tuple[Encode, list[bytes]], b: tuple[Encode, list[bytes]]):
+    Where ``split`` is given, no token of either side crosses such a space, so groups don't either: texts are cut there, and each
+    distinct piece is aligned once. Pieces already met are remembered, up to `MEMO` of them; new ones are encoded many at a time, as
+    a text with spaces between them.
+    """
+
+    def __init__(self, a: tuple[Encode, list[bytes]], b: tuple[Encode, list[bytes]], split: re.Pattern | None = None):
         (self.encode_a, self.bytes_a), (self.encode_b, self.bytes_b) = a, b
+        self.split, self.known = split, {}
         self.width = len(self.bytes_b)
         self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
         # an id followed by what comes between tokens: A within a group, A before its B tokens, B within a group, B before the next group
         self.shown = [b"%d," % i for i in range(len(self.bytes_a))] + [b"%d|" % i for i in range(len(self.bytes_a))]
         self.shown += [b"%d," % i for i in range(self.width)] + [b"%d;" % i for i in range(self.width)]
 
-    def block(self, texts: list[bytes]) -> list[tuple]:
-        """For each text: tokens of A and of B, groups, links, digest of the groups, distinct id pairs and their counts."""
-        out: list[tuple] = [(0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))] * len(texts)
-        there = [i for i, x in enumerate(texts) if x]
-        as_text = [texts[i].decode() for i in there]
-        rows = []
-        for i, a, b in zip(there, self.encode_a(as_text), self.encode_b(as_text), strict=True):
-            whole = b" " + texts[i]
-            if b"".join([self.bytes_a[t] for t in a]) == whole and b"".join([self.bytes_b[t] for t in b]) == whole:
-                rows.append((i, a, b))
+    def _joined(self, texts: list[str]) -> Iterator[list[int]]:
+        """Numbers of pieces to encode as one text: pieces without white space at their ends, with spaces between; others alone."""
+        run: list[int] = []
+        for i, x in enumerate(texts):
+            if not self.split or not x or x[0].isspace() or x[-1].isspace():
+                yield [i]
+                continue
+            run.append(i)
+            if len(run) == JOINED:
+                yield run
+                run = []
+        if run:
+            yield run
+
+    def pieces(self, texts: list[str]) -> list[tuple | None]:
+        """For each text: tokens of A and of B, groups, the groups as text, the id pairs of its links; None where the bytes differ."""
+        out: list[tuple | None] = [None] * len(texts)
+        rows, size = [], [len(x.encode()) + 1 for x in texts]
+        todo = list(self._joined(texts))
+        while todo:
+            whole = [" ".join([texts[i] for i in run]) for run in todo]
+            parts = zip(todo, whole, self.encode_a(whole), self.encode_b(whole), strict=True)
+            todo = []
+            for run, text, a, b in parts:
+                raw = b" " + text.encode()
+                if b"".join([self.bytes_a[t] for t in a]) == raw and b"".join([self.bytes_b[t] for t in b]) == raw:
+                    rows.append((run, a, b))
+                elif len(run) > 1:
+                    todo += [[i] for i in run]
         if not rows:
             return out
-        n_a, n_b = (np.array([len(r[side]) for r in rows]) for side in (1, 2))
-        a, b = (np.concatenate([np.array(r[side], np.int64) for r in rows]) for side in (1, 2))
+        a, b = (np.array([t for r in rows for t in r[side]], np.int64) for side in (1, 2))
+        number = [i for r in rows for i in r[0]]
+        ends = np.cumsum([size[i] for i in number])
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # texts follow each other, so each ends a group
         to = terminals(ends_a, ends_b)
         last_a = to[: len(a)] == np.arange(len(a))
-        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_a)[to[len(a) :]] - 1
+        until = np.cumsum(last_a)
+        group_a, group_b = until - last_a, until[to[len(a) :]] - 1
         last_b = np.append(group_b[1:] != group_b[:-1], True)
         # groups as text: the A tokens of a group, then its B tokens
-        b_until, a_until = np.cumsum(np.bincount(group_b)), np.cumsum(np.bincount(group_a))
+        in_a, in_b = np.bincount(group_a), np.bincount(group_b)
         codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + (b_until - np.bincount(group_b))[group_a]] = a + np.where(last_a, len(self.bytes_a), 0)
-        codes[np.arange(len(b)) + a_until[group_b]] = 2 * len(self.bytes_a) + b + np.where(last_b, self.width, 0)
+        codes[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]] = a + np.where(last_a, len(self.bytes_a), 0)
+        codes[np.arange(len(b)) + np.cumsum(in_a)[group_b]] = 2 * len(self.bytes_a) + b + np.where(last_b, self.width, 0)
         words = [self.shown[c] for c in codes.tolist()]
         at_a, at_b = _links(ends_a, ends_b)
-        pairs = a[at_a] * self.width + b[at_b]
-        stop_a = np.cumsum(n_a)
-        stop_pair = np.searchsorted(at_a, stop_a)
-        stop_word, groups = np.cumsum(n_a + n_b), np.add.reduceat(last_a.astype(np.int64), stop_a - n_a)
+        pairs = (a[at_a] * self.width + b[at_b]).tobytes()
+        stop_a, stop_b = np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+        stops = np.stack([stop_a, stop_b, until[stop_a - 1], stop_a + stop_b, 8 * np.searchsorted(at_a, stop_a)])
+        counts = np.diff(stops[:3], axis=1, prepend=0)
         from_pair = from_word = 0
-        for k, (i, _, _) in enumerate(rows):
-            mine, times = np.unique(pairs[from_pair : stop_pair[k]], return_counts=True)
-            digest = hashlib.sha256(b"".join(words[from_word : stop_word[k]])[:-1]).hexdigest()
-            out[i] = (int(n_a[k]), int(n_b[k]), int(groups[k]), int(stop_pair[k] - from_pair), digest, mine, times)
-            from_pair, from_word = stop_pair[k], stop_word[k]
+        for i, x, y, g, word, pair in zip(number, *counts.tolist(), *stops[3:].tolist(), strict=True):
+            out[i] = (x, y, g, b"".join(words[from_word:word])[:-1], pairs[from_pair:pair])
+            from_pair, from_word = pair, word
+        return out
+
+    def block(self, texts: list[bytes]) -> list[tuple]:
+        """For each text: tokens of A and of B, groups, links, digest of the groups, distinct id pairs and their counts."""
+        as_text = [x.decode() for x in texts]
+        cut = [self.split.split(x) if self.split else [x] for x in as_text]
+        new = list({p for parts in cut for p in parts}.difference(self.known))
+        made = dict(zip(new, self.pieces(new), strict=True))
+        known = self.known
+        known.update(made)
+        out = []
+        for text, parts in zip(as_text, cut, strict=True):
+            done = [known[p] for p in parts] if text else [None]
+            if None in done and len(done) > 1:  # bytes that differ in pieces might still be equal as a whole
+                done = self.pieces([text])
+            if None in done:
+                out.append((0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)))
+                continue
+            n_a, n_b, groups, shown, raw = zip(*done, strict=True)
+            pairs = np.frombuffer(b"".join(raw), np.int64)
+            mine, times = np.unique(pairs, return_counts=True)
+            out.append((sum(n_a), sum(n_b), sum(groups), len(pairs), hashlib.sha256(b";".join(shown)).hexdigest(), mine, times))
+        if len(known) > MEMO:  # the pieces that were met first stay, as most frequent ones are among them
+            for p in list(itertools.islice(known, MEMO if self.split else 0, None)):
+                del known[p]
         return out
 
 
+def cut_pattern(byte_path: str, piece_path: str) -> re.Pattern | None:
+    """Single spaces between other characters, where both tokenizers are known to begin a token there; else None.
+
+    The byte-level pattern never puts a space behind another character into one token. The pieces don't either, if none has a
+    space behind another character.
+    """
+    with open(byte_path, encoding="utf-8") as f:
+        before = json.load(f)
+    plain = before["normalizer"] is None and before["pre_tokenizer"]["type"] == "ByteLevel" and before["pre_tokenizer"].get("use_regex", True)
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    crossing = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+    return re.compile(r" (?<=\S )(?=\S)") if plain and not crossing else None
+
+
 _STORED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
-def aligned(docs: DataFrame, key: str, text: str, tables: Callable[[], tuple[tuple[Encode, list[bytes]], tuple[Encode, list[bytes]]]]) -> DataFrame:
-    """``doc_id`` and the alignment of every text, with its distinct id pairs; ``tables()`` runs once per task."""
+def aligned(docs: DataFrame, key: str, text: str, make: Callable[[], Aligner]) -> DataFrame:
+    """``doc_id`` and the alignment of every text, with its distinct id pairs; ``make()`` runs once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*tables())
+        aligner = make()
         for batch in batches:
             texts = byte_texts(batch.column(1))
             for lo, hi in chunks(texts, BLOCK_BYTES):
@@ -160,7 +229,7 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, key: str
     spark = docs.sparkSession
     width = len(piece_table(piece_path)[1])
     # the number of a row is stored with it, so reading again gives the same one
-    done = aligned(docs, key, text, lambda: (byte_level_table(byte_path), piece_table(piece_path))).withColumn("row", F.monotonically_increasing_id())
+    done = aligned(docs, key, text, lambda: Aligner(byte_level_table(byte_path), piece_table(piece_path), cut_pattern(byte_path, piece_path))).withColumn("row", F.monotonically_increasing_id())
     rows, rows_at = store(done, "aligned")
     links = rows.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").cast("long").alias("times"))
     counts, counts_at = store(links.groupBy("pair").agg(F.sum("times").alias("total")), "pair-counts")
