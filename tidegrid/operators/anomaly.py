@@ -87,15 +87,16 @@ def _solve_moments(s: list[Column], t: list[Column], deg: int) -> list[Column]:
 def detrend_cells(df: DataFrame, keys: list[str], deg: int = 2, x: str = "month_idx") -> DataFrame:
     """Remove each cell's own polynomial in time; adds ``fit`` and ``slope`` (degree-1 term per month at month 0).
 
-    Every sum is a window over the cell: one exchange, no join, all in the JVM.
+    Every sum is a window over the cell: one exchange, no join, all in the JVM. Values are taken around the cell's mean, so that a large
+    offset costs no digits.
     """
     cell = Window.partitionBy(*keys)
     centre = (F.max(x).over(cell) + F.min(x).over(cell)) / 2
     half = F.greatest(F.lit(1.0), (F.max(x).over(cell) - F.min(x).over(cell)) / 2)
-    df = df.withColumns({"_c": centre, "_h": half}).withColumn("_u", (F.col(x) - F.col("_c")) / F.col("_h"))
+    df = df.withColumns({"_c": centre, "_h": half, "_m": F.avg("value").over(cell)}).withColumn("_u", (F.col(x) - F.col("_c")) / F.col("_h"))
     has = F.col("value").isNotNull()
     sums = {f"_s{i}": F.sum(F.when(has, F.pow("_u", F.lit(i)))).over(cell) for i in range(2 * deg + 1)}
-    sums |= {f"_t{i}": F.sum(F.pow("_u", F.lit(i)) * F.col("value")).over(cell) for i in range(deg + 1)}
+    sums |= {f"_t{i}": F.sum(F.pow("_u", F.lit(i)) * (F.col("value") - F.col("_m"))).over(cell) for i in range(deg + 1)}
     df = df.withColumns(sums)
     coef = _solve_moments([F.col(f"_s{i}") for i in range(2 * deg + 1)], [F.col(f"_t{i}") for i in range(deg + 1)], deg)
     df = df.withColumns({f"_b{i}": c for i, c in enumerate(coef)})
@@ -106,9 +107,9 @@ def detrend_cells(df: DataFrame, keys: list[str], deg: int = 2, x: str = "month_
     zero = -F.col("_c") / F.col("_h")
     for i in range(1, deg + 1):
         slope = slope + i * F.col(f"_b{i}") * F.pow(zero, F.lit(i - 1))
-    out = df.withColumns({"fit": fit, "slope": slope / F.col("_h")})
-    return out.withColumn("value", F.col("value") - F.col("fit")).drop(
-        "_c", "_h", "_u", *sums, *[f"_b{i}" for i in range(deg + 1)]
+    out = df.withColumns({"fit": fit + F.col("_m"), "slope": slope / F.col("_h")})
+    return out.withColumn("value", F.col("value") - F.col("_m") - fit).drop(
+        "_c", "_h", "_u", "_m", *sums, *[f"_b{i}" for i in range(deg + 1)]
     )
 
 

@@ -23,24 +23,21 @@ _FIT = T.StructType(
 
 @heavy
 @F.pandas_udf(_FIT)
-def _solve(n: pd.Series, sx: pd.Series, sxx: pd.Series, sxy: pd.Series, sy: pd.Series, syy: pd.Series, centre: pd.Series) -> pd.DataFrame:
-    """Coefficients, p-values and R2 of a batch of cells from their sums; predictors were moved by ``centre``."""
+def _solve(n: pd.Series, mx: pd.Series, cxx: pd.Series, cxy: pd.Series, my: pd.Series, cyy: pd.Series) -> pd.DataFrame:
+    """Coefficients, p-values and R2 of a batch of cells from means and centred products (mean products, as population covariances)."""
     if not len(n):
         return pd.DataFrame({"coefs": [], "p_values": [], "r2": []})
-    m, k = len(n), len(sx.iloc[0])
-    nn, sy, syy = (s.to_numpy(float) for s in (n, sy, syy))
-    sx, sxy = np.vstack(sx.to_numpy()).astype(float), np.vstack(sxy.to_numpy()).astype(float)
-    upper = np.vstack(sxx.to_numpy()).astype(float)
-    full = np.empty((m, k, k))
+    m, k = len(n), len(mx.iloc[0])
+    nn, my, cyy = (s.to_numpy(float) for s in (n, my, cyy))
+    origin, cxy = np.vstack(mx.to_numpy()).astype(float), np.vstack(cxy.to_numpy()).astype(float) * nn[:, None]
+    upper = np.vstack(cxx.to_numpy()).astype(float) * nn[:, None]
+    cyy = cyy * nn
+    cxx = np.empty((m, k, k))
     rows, cols = np.triu_indices(k)
-    full[:, rows, cols] = upper
-    full[:, cols, rows] = upper
+    cxx[:, rows, cols] = upper
+    cxx[:, cols, rows] = upper
     coefs, p_values, r2 = np.full((m, k + 1), np.nan), np.full((m, k + 1), np.nan), np.full(m, np.nan)
     with np.errstate(invalid="ignore", divide="ignore"):
-        mx, my = sx / nn[:, None], sy / nn
-        origin = mx + np.vstack(centre.to_numpy()).astype(float)
-        cxx = full - nn[:, None, None] * mx[:, :, None] * mx[:, None, :]
-        cxy, cyy = sxy - nn[:, None] * mx * my[:, None], syy - nn * my * my
         scale = np.sqrt(np.einsum("mii->mi", cxx))
         sound = (nn > k + 1) & np.isfinite(cxx).all(axis=(1, 2)) & np.isfinite(cxy).all(axis=1)
         sound &= (scale > 0).all(axis=1)
@@ -82,29 +79,30 @@ def ols(
 ) -> DataFrame:
     """One row per cell: ``coefs`` and ``p_values`` (intercept first), ``r2`` and ``n``.
 
-    Only sums leave a map task, so the field is never exchanged row by row. They are taken around the predictors' means, so that a
-    large offset costs no digits. A cell with missing months gives NULL unless ``drop_missing``; so do collinear predictors (a condition
+    Only partial moments leave a map task, so the field is never exchanged row by row. They are counts, means and centred products that
+    are merged in pairs, so that large offsets of values or predictors cost no digits. A month without a value, or without one of the
+    predictors, is missing. A cell with missing months gives NULL unless ``drop_missing``; so do collinear predictors (a condition
     number of their correlations of 1e12 or more).
     """
     k = len(names)
-    centre = predictors.agg(F.array(*[F.coalesce(F.avg(name).cast("double"), F.lit(0.0)) for name in names]).alias("c")).scalar()
-    moved = predictors.withColumns({name: F.col(name) - F.element_at(centre, i + 1) for i, name in enumerate(names)})
-    z = with_predictors(df, moved, names, shared)
-    y, has = F.col("value"), F.col("value").isNotNull()
-    x = [F.when(has, F.col(name)) for name in names]
-    sums = z.groupBy(*keys).agg(
+    z = with_predictors(df, predictors, names, shared)
+    has = F.col("value").isNotNull()
+    for name in names:
+        has = has & F.col(name).isNotNull()
+    y, x = F.when(has, F.col("value").cast("double")), [F.when(has, F.col(name).cast("double")) for name in names]
+    moments = z.groupBy(*keys).agg(
         F.count(y).alias("n"),
-        F.array(*[F.sum(v) for v in x]).alias("sx"),
-        F.array(*[F.sum(x[i] * F.col(names[j])) for i in range(k) for j in range(i, k)]).alias("sxx"),
-        F.array(*[F.sum(v * y) for v in x]).alias("sxy"),
-        F.sum(y).alias("sy"),
-        F.sum(y * y).alias("syy"),
+        F.array(*[F.avg(v) for v in x]).alias("mx"),
+        F.array(*[F.covar_pop(x[i], x[j]) for i in range(k) for j in range(i, k)]).alias("cxx"),
+        F.array(*[F.covar_pop(v, y) for v in x]).alias("cxy"),
+        F.avg(y).alias("my"),
+        F.var_pop(y).alias("cyy"),
     )
     if not drop_missing:
         wanted = predictors.select(F.count_distinct("month_idx").alias("n")).scalar() if n_times is None else n_times
-        sums = sums.withColumn("n", F.when(F.col("n") == wanted, F.col("n")).otherwise(F.lit(0)))
-    fit = _solve(F.col("n").cast("double"), "sx", "sxx", "sxy", "sy", "syy", centre)
-    return sums.select(*keys, "n", fit.alias("f")).select(*keys, "n", "f.*")
+        moments = moments.withColumn("n", F.when(F.col("n") == wanted, F.col("n")).otherwise(F.lit(0)))
+    fit = _solve(F.col("n").cast("double"), "mx", "cxx", "cxy", "my", "cyy")
+    return moments.select(*keys, "n", fit.alias("f")).select(*keys, "n", "f.*")
 
 
 def coefficients(fit: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
@@ -119,10 +117,11 @@ def standardized(coefs: DataFrame, predictors: DataFrame, names: list[str]) -> D
     return coefs.filter(F.col("mode") != "intercept").withColumn("coef", F.col("coef") * F.element_at(spread.scalar(), F.col("mode")))
 
 
-def residuals(df: DataFrame, predictors: DataFrame, fit: DataFrame, names: list[str], keys: list[str], shared: list[str] | None = None) -> DataFrame:
-    """Field minus its fitted values."""
+def residuals(df: DataFrame, predictors: DataFrame, fit: DataFrame, names: list[str], keys: list[str], shared: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Field minus its fitted values; with ``keep``, both: ``value`` and ``residual``."""
     z = with_predictors(df, predictors, names, shared).join(fit.select(*keys, "coefs"), keys)
     fitted = F.element_at("coefs", 1)
     for i, name in enumerate(names):
         fitted = fitted + F.element_at("coefs", i + 2) * F.col(name)
-    return z.select(*keys, "month_idx", (F.col("value") - fitted).alias("value"))
+    left = F.col("value") - fitted
+    return z.select(*keys, "month_idx", "value", left.alias("residual")) if keep else z.select(*keys, "month_idx", left.alias("value"))

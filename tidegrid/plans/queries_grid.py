@@ -17,17 +17,19 @@ from tidegrid.plans.registry import query, rnd, rounded
 
 NAMES = ["p1", "p2"]
 
-_PRED = f"""{X.INDEX_SQL}, pr as (select month_idx, max(case when mode = '1-URGENT' then value end) as p1, max(case when mode = '2-HIGH' then value end) as p2 from x group by 1)"""
-_OLS2 = f"""with {_PRED}, {X.ENSEMBLE_SQL}, j as (select g.member, lat_i, lon_i, g.month_idx, value as y, p1, p2 from g join pr on g.month_idx = pr.month_idx where p1 is not null and p2 is not null),
-s as (select member, lat_i, lon_i, cast(count(*) as bigint) as n, avg(p1) as m1, avg(p2) as m2, avg(y) as my, var_pop(p1)*count(*) as c11, var_pop(p2)*count(*) as c22, covar_pop(p1, p2)*count(*) as c12,
+PREDICTORS_SQL = f"""{X.INDEX_SQL}, pr as (select month_idx, max(case when mode = '1-URGENT' then value end) as p1, max(case when mode = '2-HIGH' then value end) as p2 from x group by 1)"""
+# least squares on two predictors of a table ``j`` (member, lat_i, lon_i, y, p1, p2)
+FIT2 = """s as (select member, lat_i, lon_i, cast(count(*) as bigint) as n, avg(p1) as m1, avg(p2) as m2, avg(y) as my, var_pop(p1)*count(*) as c11, var_pop(p2)*count(*) as c22, covar_pop(p1, p2)*count(*) as c12,
       covar_pop(p1, y)*count(*) as c1y, covar_pop(p2, y)*count(*) as c2y, var_pop(y)*count(*) as cyy from j group by 1, 2, 3),
 b as (select *, c11*c22 - c12*c12 as det, (c1y*c22 - c2y*c12)/(c11*c22 - c12*c12) as b1, (c2y*c11 - c1y*c12)/(c11*c22 - c12*c12) as b2 from s),
 r as (select *, my - b1*m1 - b2*m2 as b0, cyy - b1*c1y - b2*c2y as sse from b),
 ev as (select *, sse/(n - 3) as s2 from r),
 k as (select *, sqrt(s2*c22/det) as e1, sqrt(s2*c11/det) as e2, sqrt(s2*(1.0/n + (m1*m1*c22 + m2*m2*c11 - 2*m1*m2*c12)/det)) as e0 from ev)"""
+_OLS2 = f"""with {PREDICTORS_SQL}, {X.ENSEMBLE_SQL}, j as (select g.member, lat_i, lon_i, g.month_idx, value as y, p1, p2 from g join pr on g.month_idx = pr.month_idx where p1 is not null and p2 is not null),
+{FIT2}"""
 
 
-def _predictors(spark, sf):
+def predictor_months(spark, sf):
     x = X.index_series(spark, sf)
     wide = x.groupBy("month_idx").agg(
         F.max(F.when(F.col("mode") == "1-URGENT", F.col("value"))).alias("p1"), F.max(F.when(F.col("mode") == "2-HIGH", F.col("value"))).alias("p2")
@@ -44,7 +46,7 @@ def _predictors(spark, sf):
 from k cross join (select unnest(['intercept', 'p1', 'p2']) as mode) u""",
 )
 def cell_regression(spark, sf):
-    fit = R.ols(X.ensemble_field(spark, sf), _predictors(spark, sf), NAMES, A.CELL, drop_missing=True)
+    fit = R.ols(X.ensemble_field(spark, sf), predictor_months(spark, sf), NAMES, A.CELL, drop_missing=True)
     long = R.coefficients(fit, NAMES, [*A.CELL, "n", "r2"])
     return long.select(*A.CELL, "n", "mode", rounded("r2").alias("r2"), rounded("coef", 5).alias("coef"), rounded("p_value").alias("p_value"))
 
@@ -52,12 +54,12 @@ def cell_regression(spark, sf):
 @query(
     "complete_regression",
     "AGG22 AGG18",
-    f"""with {_PRED}, {X.FIELD_SQL}, t as (select count(*) as k from pr where p1 is not null and p2 is not null), j as (select f.member, lat_i, lon_i, value as y, p1 from f join pr on f.month_idx = pr.month_idx where p1 is not null and p2 is not null)
+    f"""with {PREDICTORS_SQL}, {X.FIELD_SQL}, t as (select count(*) as k from pr where p1 is not null and p2 is not null), j as (select f.member, lat_i, lon_i, value as y, p1 from f join pr on f.month_idx = pr.month_idx where p1 is not null and p2 is not null)
 select member, lat_i, lon_i, cast(case when count(*) = any_value(k) then count(*) else 0 end as bigint) as n, case when count(*) = any_value(k) then {rnd("regr_slope(y, p1)", 5)} end as slope,
 case when count(*) = any_value(k) then {rnd("regr_r2(y, p1)")} end as r2 from j cross join t group by 1, 2, 3""",
 )
 def complete_regression(spark, sf):
-    fit = R.ols(X.field(spark, sf), _predictors(spark, sf).select("month_idx", "p1"), ["p1"], A.CELL)
+    fit = R.ols(X.field(spark, sf), predictor_months(spark, sf).select("month_idx", "p1"), ["p1"], A.CELL)
     return fit.select(*A.CELL, "n", rounded(F.element_at("coefs", 2), 5).alias("slope"), rounded("r2").alias("r2"))
 
 
@@ -68,7 +70,7 @@ def complete_regression(spark, sf):
     + f""" select j.member, j.lat_i, j.lon_i, j.month_idx, {rnd("y - (b0 + b1*p1 + b2*p2)", 5)} as value from j join k on j.member = k.member and j.lat_i = k.lat_i and j.lon_i = k.lon_i""",
 )
 def regression_residuals(spark, sf):
-    field, pred = X.ensemble_field(spark, sf), _predictors(spark, sf)
+    field, pred = X.ensemble_field(spark, sf), predictor_months(spark, sf)
     fit = R.ols(field, pred, NAMES, A.CELL, drop_missing=True)
     return R.residuals(field, pred, fit, NAMES, A.CELL).withColumn("value", rounded("value", 5))
 
@@ -81,7 +83,7 @@ def regression_residuals(spark, sf):
 select member, lat_i, lon_i, u.mode, {rnd("case u.mode when 'p1' then b1*s1 else b2*s2p end", 5)} as coef from k cross join sp cross join (select unnest(['p1', 'p2']) as mode) u""",
 )
 def standardized_coefficients(spark, sf):
-    pred = _predictors(spark, sf)
+    pred = predictor_months(spark, sf)
     fit = R.ols(X.ensemble_field(spark, sf), pred, NAMES, A.CELL, drop_missing=True)
     out = R.standardized(R.coefficients(fit, NAMES, A.CELL), pred, NAMES)
     return out.select(*A.CELL, "mode", rounded("coef", 5).alias("coef"))
