@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidegrid.functions import calendar as C
@@ -15,6 +16,7 @@ from tidegrid.plans import fixtures as X
 from tidegrid.plans.registry import query, rnd, rounded
 from tidegrid.schema import cell_id, missing_to_null, normalize_columns
 from tidegrid.session import run_folder
+from tidegrid.sources import commits as M
 from tidegrid.sources import readers as R
 from tidegrid.sources import writers as W
 
@@ -140,6 +142,34 @@ def write_missing_only(spark, sf):
     return spark.read.parquet(path).groupBy("initialization").agg(F.count("*").alias("n"), rounded(F.sum("value")).alias("total"))
 
 
+@query(
+    "resume_after_failure",
+    "SNK1 SNK2 SNK3",
+    f"""with {X.ENCODINGS_SQL}
+select initialization, cast(count(*) as bigint) as n, {rnd("sum(case when initialization < 2 then value + 1 else value end)")} as total from e group by 1""",
+)
+def resume_after_failure(spark, sf):
+    """Two initializations a job; the second job breaks at its second one, and the next run completes what is not committed.
+
+    The first run adds one to its values, so the sums show whose rows are there.
+    """
+    path = scratch(spark, "resume")
+    enc = X.encodings(spark, sf).select("initialization", "mode", "month_idx", "value")
+    work = enc.select("initialization").distinct()
+
+    def breaking(keys):
+        stop = F.when(F.col("initialization") < 3, F.col("value") + 1).otherwise(F.raise_error(F.lit("the run breaks here")).cast("double"))
+        return enc.join(keys, "initialization").withColumn("value", stop)
+
+    try:
+        M.run_missing(work, breaking, path, ["initialization"], at_once=2)
+    except PySparkException as err:
+        if "the run breaks here" not in str(err):
+            raise
+    M.run_missing(work, lambda keys: enc.join(keys, "initialization"), path, ["initialization"], at_once=2)
+    return M.read_done(spark, path, ["initialization"]).groupBy("initialization").agg(F.count("*").alias("n"), rounded(F.sum("value")).alias("total"))
+
+
 @query(
     "resume_pending",
     "SNK3 JN10 SET4",

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidegrid.sources import commits
 
 
 def write_table(df: DataFrame, path: str, by: list[str], overwrite: bool = False) -> None:
-    """Partitioned Parquet.
+    """Partitioned Parquet, committed key by key; without ``overwrite`` a table with a committed key stays as it is.
 
     The rebalance hint gathers small outputs and lets adaptive execution split a partition
     value that holds much of the table, so no single task writes it alone.
     """
-    out = df.hint("rebalance", *[F.col(c) for c in by]) if by else df.hint("rebalance")
-    out.write.partitionBy(*by).option("partitionOverwriteMode", "dynamic").mode("overwrite" if overwrite else "ignore").parquet(path)
+    if not by:
+        df.hint("rebalance").write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    elif overwrite or not commits.Folder(df.sparkSession, path).keys(by, leaf=commits.MARK):
+        commits.write_keys(df, path, by)
 
 
-def done_keys(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """Keys already written; None where nothing is there yet."""
-    try:
-        return spark.read.parquet(path).select(*keys).distinct()
-    except AnalysisException as err:
-        if err.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def done_keys(spark: SparkSession, path: str, keys: list[str], schema: T.StructType | None = None) -> DataFrame | None:
+    """Keys already committed, as text or with the types of ``schema``; None where nothing is there yet."""
+    kinds = [schema[k] if schema else T.StructField(k, T.StringType()) for k in keys]
+    return commits.done_keys(spark, path, T.StructType(kinds))
 
 
 def pending(work: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -33,6 +33,5 @@ def pending(work: DataFrame, done: DataFrame | None, keys: list[str]) -> DataFra
 
 
 def write_missing(df: DataFrame, path: str, by: list[str]) -> None:
-    """Append only the partitions that are not there; what exists stays as it is."""
-    todo = pending(df, done_keys(df.sparkSession, path, by), by)
-    todo.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by).mode("append").parquet(path)
+    """Add only the keys that are not committed; what is done stays as it is."""
+    commits.write_keys(commits.missing_keys(df, path, by), path, by)
