@@ -194,19 +194,33 @@ class PrincipalComponents:
         rows = F.arrays_zip(F.lit(self.modes).alias("mode"), "w")
         return self.weights.select(*self.by, *self.cell, F.explode(rows).alias("r")).select(*self.by, *self.cell, "r.*")
 
-    def transform(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
-        """Series of another field on the same modes; the fitted cell means are removed."""
+    def transform(self, df: DataFrame, by: list[str] | None = None, whole: bool = False) -> DataFrame:
+        """Series of another field on the same modes; the fitted cell means are removed.
+
+        With ``whole``, a month that lacks the value of a fitted cell has NULL instead of a sum over the others.
+        """
         by = self.by if by is None else by
         z = df.join(self.weights, [*self.by, *self.cell])
         sums = [F.sum(F.element_at("w", i + 1) * (F.col("value") - F.col("mean"))) for i in range(len(self.modes))]
-        rows = F.array(*[F.struct(F.lit(m).alias("mode"), s.alias("value")) for m, s in zip(self.modes, sums)])
-        return z.groupBy(*by, "month_idx").agg(rows.alias("r")).select(*by, "month_idx", F.explode("r").alias("r")).select(*by, "month_idx", "r.*")
-
-    def reconstruct(self, target: DataFrame, series: DataFrame, by: list[str] | None = None) -> DataFrame:
-        """Adds ``decoded`` to the rows of ``target``: cell mean plus weights times series."""
+        out = z.groupBy(*by, "month_idx").agg(F.array(*sums).alias("r"), F.count("value").alias("_have"))
+        if whole:
+            size = checked_side(self.weights.groupBy(*self.by).agg(F.count("*").alias("_cells")))
+            out = out.join(size, self.by) if self.by else out.withColumn("_cells", size.select("_cells").scalar())
+            none = F.array(*[F.lit(None).cast("double")] * len(self.modes))
+            out = out.withColumn("r", F.when(F.col("_have") == F.col("_cells"), F.col("r")).otherwise(none))
+        rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.element_at("r", i + 1).alias("value")) for i, m in enumerate(self.modes)])
+        return out.select(*by, "month_idx", F.explode(rows).alias("r")).select(*by, "month_idx", "r.*")
+
+    def reconstruct(self, target: DataFrame, series: DataFrame, by: list[str] | None = None, parts: bool = False) -> DataFrame:
+        """Adds ``decoded`` to the rows of ``target``: cell mean plus weights times series.
+
+        With ``parts`` also each mode's share of it, and rows of months whose series is NULL or not there are kept, with NULL.
+        """
         by = self.by if by is None else by
         z = mode_vectors(series, [*by, "month_idx"], self.modes).withColumnRenamed("vec", "_z")
-        out = target.join(self.weights, [*self.by, *self.cell]).join(checked_side(z), [*by, "month_idx"])
+        out = target.join(self.weights, [*self.by, *self.cell]).join(checked_side(z), [*by, "month_idx"], "left" if parts else "inner")
+        if parts:
+            out = out.withColumn("parts", F.zip_with("w", "_z", lambda a, b: a * b))
         return out.withColumn("decoded", F.col("mean") + _dot("w", "_z", len(self.modes))).drop("w", "_z", "mean")
 
 
@@ -235,7 +249,7 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
     solved in one task, loadings follow from one more pass with map-side sums.
     """
     modes = [f"pc{i + 1}" for i in range(k)]
-    times = df.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("_axis"))
+    times = checked_side(df.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("_axis")))
     packed = _on_axis(pack_series(df, [*by, *cell], t), times, by)
     centred = packed.withColumn("vs", array_kernel(lambda x: x - x.mean(axis=1, keepdims=True))("vs"))
 

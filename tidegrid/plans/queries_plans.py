@@ -12,14 +12,16 @@ from tidegrid.operators import select as S
 from tidegrid.operators import series as Q
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.basin import build_basin
-from tidegrid.plans.experiment import fold_anomalies, run_experiment
+from tidegrid.plans.experiment import FIT, fold_anomalies, run_experiment, run_fits, write_experiment
 from tidegrid.plans.queries_anomaly import _POLY2, HELD_OUT
 from tidegrid.plans.queries_composite import TRIO
 from tidegrid.plans.queries_grid import _WEIGHTS, LAT, LON, target_nodes
+from tidegrid.plans.queries_select import scratch
 from tidegrid.plans.queries_series import _FOLDS
 from tidegrid.plans.registry import query, rnd, rounded
 from tidegrid.plans.report import lag_report, panel_report, phase_report
 from tidegrid.session import cut_lineage
+from tidegrid.sources import commits
 
 BAD_MONTH = 1996 * 12 + 1
 
@@ -66,6 +68,95 @@ def recursive_experiment(spark, sf):
     return out.withColumn("value", rounded("value", 4))
 
 
+BOX = {"lat": (-15, 15), "lon": (60, 180)}
+GRID = ["lat_i", "lon_i"]
+N_INIT, N_STEPS = 2, 2
+
+
+def _observed(spark, sf):
+    """Gap-free cells of the mean over all members, the members themselves, and the nodes."""
+    members = cut_lineage(X.field(spark, sf))
+    mean = members.groupBy("month_idx", *GRID, "lat", "lon").agg(F.avg("value").alias("value"))
+    field = cut_lineage(S.complete_cells(mean, GRID))
+    return field, members.select("member", "month_idx", *GRID, "lat", "value"), field.select(*GRID, "lat", "lon").distinct()
+
+
+def _fits(spark):
+    """Fits of two initializations and five splits."""
+    at = F.col("id").cast("int")
+    return spark.range(N_INIT * 5).select(F.floor(at / 5).cast("int").alias("initialization"), (at % 5).alias("split"))
+
+
+def _run(spark, sf, members=True):
+    field, others, nodes = _observed(spark, sf)
+    return lambda fits: run_fits(field, HELD_OUT, GRID, nodes, BOX, fits, others if members else None, steps=N_STEPS, k=2)
+
+
+# rows of the experiment that follow from the tables alone: which periods, members and months every fit encodes
+_EXPERIMENT_ROWS = f"""with {X.FIELD_SQL}, ob as (select month_idx, lat_i, lon_i, avg(value) as value from f group by 1, 2, 3),
+cc as (select lat_i, lon_i from ob group by 1, 2 having count(value) = (select count(distinct month_idx) from ob)),
+pre as (select distinct month_idx from ob where month_idx < {HELD_OUT}), {_FOLDS.format(src="pre")},
+fi as (select cast(i as int) as initialization, cast(s as int) as split, cast(r as int) as recursion from (select unnest(range(0, {N_INIT})) as i) cross join (select unnest(range(0, 5)) as s) cross join (select unnest(range(0, {N_STEPS})) as r)),
+mo as (select distinct month_idx from ob), kd as (select fi.*, case when mo.month_idx >= {HELD_OUT} then 'test' when split = fold then 'val' else 'train' end as kind, cast(null as int) as member, mo.month_idx, true as there
+       from fi cross join mo left join ax on mo.month_idx = ax.month_idx),
+mm as (select member, month_idx, count(cc.lat_i) = (select count(*) from cc) as there from f left join cc on f.lat_i = cc.lat_i and f.lon_i = cc.lon_i group by 1, 2),
+al as (select * from kd union all select fi.*, 'member', member, month_idx, there from fi cross join mm)"""
+
+
+@query(
+    "experiment_members",
+    "MOD7 MOD8 MOD9 AGG6 AGG39 AGG43 AGG44 SET2",
+    _EXPERIMENT_ROWS
+    + """ select initialization, split, recursion, kind, member, u.mode, cast(count(case when there then 1 end) as bigint) as n, cast(count(*) as bigint) as months,
+min(month_idx) as first_month, max(month_idx) as last_month, case when initialization = 0 and kind = 'train' then true end as centred, case when initialization = 0 and kind = 'train' then true end as uncorrelated
+from al cross join (select unnest(['Decadal', 'Interannual']) as mode) u group by 1, 2, 3, 4, 5, 6""",
+)
+def experiment_members(spark, sf):
+    """Which months every fit encodes, and what must hold for components whatever solver found them.
+
+    On the sample that a fit has learned (initialization 0 has each month once) the series of the modes have mean zero and
+    don't correlate.
+    """
+    rows = cut_lineage(_run(spark, sf)(_fits(spark)).encodings)
+    keys = [*FIT, "recursion", "kind", "member"]
+    learned = rows.filter("initialization = 0 and kind = 'train'")
+    wide = learned.groupBy(*keys, "month_idx").agg(*[F.max(F.when(F.col("mode") == m, F.col("value"))).alias(f"_{m}") for m in ("Decadal", "Interannual")])
+    r = wide.groupBy(*FIT, "recursion", "kind").agg((F.abs(F.corr("_Decadal", "_Interannual")) < 1e-6).alias("uncorrelated"))
+    got = rows.groupBy(*keys, "mode").agg(
+        F.count("value").alias("n"), F.count("*").alias("months"), F.min("month_idx").alias("first_month"), F.max("month_idx").alias("last_month"),
+        F.when((F.first("initialization") == 0) & (F.first("kind") == "train"), F.abs(F.avg("value")) < 1e-6 * F.stddev_pop("value")).alias("centred"),
+    )
+    return got.join(r, [*FIT, "recursion", "kind"], "left")
+
+
+@query(
+    "experiment_outputs",
+    "MOD4 MOD7 MOD8 SNK1 SNK2 SNK3 SRC5",
+    _EXPERIMENT_ROWS
+    + """, w as (select *, case when kind = 'val' then ['', 'Decadal', 'Interannual'] else [''] end as ws from al), v as (select * exclude (ws), unnest(ws) as without from w)
+select initialization, split, recursion, kind, nullif(without, '') as without, cast(count(*) as bigint) * (select count(*) from cc) as n, true as consistent
+from v where kind <> 'member' group by 1, 2, 3, 4, 5""",
+)
+def experiment_outputs(spark, sf):
+    """Decodings of all periods, and of the held-out fold without each mode, read back from the committed fits.
+
+    The first run does the first split only and the second one the rest. Consistent: the parts that the modes take away add up to the
+    decoding, up to the cell's mean, which does not depend on the month.
+    """
+    path = scratch(spark, "experiment")
+    run, fits = _run(spark, sf, members=False), _fits(spark)
+    write_experiment(fits.filter("split = 0"), run, path, at_once=N_INIT)
+    write_experiment(fits, run, path, at_once=N_INIT * 5)
+    rows = cut_lineage(commits.read_done(spark, f"{path}/decodings", FIT))
+    cell = [*FIT, "recursion", "kind", *GRID]
+    parts = rows.groupBy(*cell, "month_idx").agg(F.max(F.when(F.col("without").isNull(), F.col("value"))).alias("all"), F.sum(F.when(F.col("without").isNotNull(), F.col("value"))).alias("others"))
+    # with two modes: others = 2 * all - (all - mean), so others - all is the mean of the cell
+    steady = parts.filter("kind = 'val'").groupBy(*cell).agg((F.max(F.col("others") - F.col("all")) - F.min(F.col("others") - F.col("all")) < 1e-6).alias("ok"))
+    good = steady.groupBy(*FIT, "recursion").agg(F.every("ok").alias("consistent"))
+    got = rows.groupBy(*FIT, "recursion", "kind", "without").agg(F.count("value").alias("n"))
+    return got.join(good, [*FIT, "recursion"])
+
+
 def _indices(spark, sf):
     x = X.index_series(spark, sf)
     return Q.centred_indices({m: x.filter(F.col("mode") == m) for m in TRIO})
