@@ -1,4 +1,4 @@
-"""Queries on fields stored by cell, and on values far from zero."""
+"""Queries on fields stored by cell, on values far from zero and on long axes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators import anomaly as A
 from tidegrid.operators import regression as R
+from tidegrid.operators.gram import mode_vectors
+from tidegrid.operators.long_components import long_axis_components
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.queries_anomaly import _POLY2
 from tidegrid.plans.queries_grid import FIT2, NAMES, PREDICTORS_SQL, predictor_months
 from tidegrid.plans.queries_series import p_value_sql
 from tidegrid.plans.registry import query, rnd, rounded
+from tidegrid.session import cut_lineage
 from tidegrid.sources.layout import store_by_cell
 
 OFFSET = 1e9
@@ -56,3 +59,40 @@ def regression_offset(spark, sf):
     fit = R.ols(field, predictors, NAMES, A.CELL, drop_missing=True)
     long = R.coefficients(fit, NAMES, [*A.CELL, "n", "r2"]).filter("mode <> 'intercept'")
     return long.select(*A.CELL, "n", "mode", rounded("r2", 5).alias("r2"), rounded("coef", 3).alias("coef"), rounded("p_value", 5).alias("p_value"))
+
+
+@query(
+    "components_long_axis",
+    "AGG39 AGG40 MOD9 MOD10",
+    f"""with {X.HOURLY_SQL}, c as (select member, mode as series, count(*) as n, var_samp(value) as v from h group by 1, 2), a as (select count(*) as n_cells, max(n) as n_times, sum(v) as total from c)
+select u.mode, n_times, n_cells, {rnd("total")} as total, true as projects, true as regresses, true as falls from a cross join (select unnest(['pc1', 'pc2', 'pc3']) as mode) u""",
+)
+def components_long_axis(spark, sf):
+    """What must hold for components whatever solver found them, on the hourly axis.
+
+    Projects: a score is the field times the weights. Regresses: a weight is the regression of the cell on the score. Falls: variances
+    don't rise from one component to the next.
+    """
+    field = cut_lineage(X.hourly(spark, sf).withColumnRenamed("mode", "series"))
+    cell, modes = ["member", "series"], ["pc1", "pc2", "pc3"]
+    found = long_axis_components(field, cell, 3, t="t")
+    scores = cut_lineage(mode_vectors(found.scores, ["t"], modes).withColumnRenamed("vec", "s"))
+    a = F.col("value") - F.col("mean")
+    rows = field.join(found.weights, cell).join(scores, "t")
+
+    def each(make):
+        return [make(i).alias(f"_{i}") for i in range(3)]
+
+    power = scores.agg(F.array(*each(lambda i: F.sum(F.pow(F.element_at("s", i + 1), 2)))).alias("p")).scalar()
+    made = rows.groupBy("t").agg(F.first("s").alias("s"), *each(lambda i: F.sum(a * F.element_at("w", i + 1))))
+    off = made.agg(*each(lambda i: F.sum(F.pow(F.col(f"_{i}") - F.element_at("s", i + 1), 2)) < 1e-12 * F.element_at(power, i + 1)))
+    fit = rows.groupBy(*cell).agg(F.first("w").alias("w"), *each(lambda i: F.sum(a * F.element_at("s", i + 1))))
+    bent = fit.agg(*each(lambda i: F.sum(F.pow(F.col(f"_{i}") / F.element_at(power, i + 1) - F.element_at("w", i + 1), 2)) < 1e-12))
+    total = F.element_at(F.collect_list(F.col("variance") / F.col("share")), 1)
+    falls = found.variance.agg(F.array_sort(F.collect_list(F.struct("mode", "variance"))).alias("v"), rounded(total).alias("total"))
+    facts = falls.select((F.array_sort("v.variance") == F.reverse("v.variance")).alias("falls"), "total")
+    size = field.agg(F.count_distinct("t").alias("n_times"), F.count_distinct(*cell).alias("n_cells"))
+    checks = [F.array(*[F.col(f"_{i}") for i in range(3)]).alias("c")]
+    joined = size.select("*", off.select(*checks).scalar().alias("p"), bent.select(*checks).scalar().alias("r"), facts.select(F.struct("*").alias("f")).scalar().alias("f"))
+    out = joined.select("*", F.posexplode(F.lit(modes)).alias("at", "mode"))
+    return out.select("mode", "n_times", "n_cells", F.col("f.total").alias("total"), F.col("p")[F.col("at")].alias("projects"), F.col("r")[F.col("at")].alias("regresses"), F.col("f.falls").alias("falls"))

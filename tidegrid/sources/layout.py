@@ -28,7 +28,7 @@ def store_by_cell(df: DataFrame, keys: list[str], t: str = "month_idx", buckets:
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidegrid_{uuid.uuid4().hex}"
-    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys, t)
+    dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*dict.fromkeys([*keys, t]))
     dealt.option("path", f"{run_folder(spark)}/{name}").saveAsTable(name)
     atexit.register(_drop, spark, name)
     return spark.table(name)
