@@ -25,6 +25,9 @@ from tidegrid.session import cut_lineage
 
 GRID = ["lat_i", "lon_i"]
 
+#: Times of an axis whose matrix of pairs (128 MB) one task holds.
+MOST_TIMES = 4000
+
 
 def _array_of(df: DataFrame, keys: list[str], modes: list, value: str, name: str) -> DataFrame:
     """Values of the listed modes side by side, one array per key; incomplete keys are dropped."""
@@ -293,18 +296,20 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
 
     ``fits`` has ``(seed, split)``: a fit leaves out every ``n_folds``-th time (its split) and
     draws as many of the others with replacement. Each is an eigenproblem on rows and columns of
-    the same Gram matrix, which is as large as the time axis squared and stands next to each fit, a
-    row of a few numbers. Rows: ``(seed, split, mode, variance, share)``.
+    the same Gram matrix, which is as large as the time axis squared, at most `MOST_TIMES`. Rows: ``(seed, split, mode, variance, share)``.
     """
-    axis = df.agg(F.sort_array(F.collect_set("month_idx")).alias("_axis"))
+    axis = checked_side(df.agg(F.sort_array(F.collect_set("month_idx")).alias("_axis")))
+    length = axis.select(F.size("_axis")).first()[0]
+    if length > MOST_TIMES:
+        raise ValueError(f"{length} times are too many for a matrix of their pairs; see long_components")
     gram = cut_lineage(gram_matrix(_on_axis(pack_series(df, cell), axis, []), "vs").select("gram"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(parts: pd.DataFrame, matrix: pd.DataFrame) -> pd.DataFrame:
         out = []
-        flat = np.asarray(pdf["_gram"].iloc[0] if pdf["_gram"].iloc[0] is not None else [0.0], dtype=float)
+        flat = np.asarray(matrix["gram"].iloc[0] if len(matrix) and len(parts) else [0.0], dtype=float)
         n = int(round(np.sqrt(len(flat))))
         whole = flat.reshape(n, n)[:-1, :-1]
-        for seed, split in zip(pdf["seed"], pdf["split"]) if len(whole) else ():
+        for seed, split in zip(parts["seed"], parts["split"]) if len(whole) else ():
             train = np.flatnonzero(np.arange(len(whole)) % n_folds != split)
             picked = train[draw_positions(1, len(train), len(train), int(seed) * 104729 + int(split))[0]]
             g = whole[np.ix_(picked, picked)]
@@ -314,9 +319,11 @@ def fit_ensemble(df: DataFrame, fits: DataFrame, cell: list[str] = GRID, k: int
             out += [(seed, split, f"pc{i + 1}", v, v / total) for i, v in enumerate(var)]
         return pd.DataFrame(out, columns=["seed", "split", "mode", "variance", "share"])
 
-    # few small rows but much work each: a fixed partitioning keeps them from being gathered in one task
-    spread = fits.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed", "split").withColumn("_gram", gram.scalar())
-    return spread.groupBy("seed", "split").applyInPandas(fit, "seed int, split int, mode string, variance double, share double")
+    # few small rows but much work each: they are dealt to as many parts as there are shuffle partitions, and the matrix goes to each part once
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fits.select("seed", "split", F.pmod(F.xxhash64("seed", "split"), F.lit(n)).alias("part"))
+    spread = gram.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return dealt.groupBy("part").cogroup(spread.groupBy("part")).applyInPandas(fit, "seed int, split int, mode string, variance double, share double")
 
 
 def separated_modes(df: DataFrame, bands: dict[str, Callable[[DataFrame], DataFrame]], by: list[str], cell: list[str] = GRID, k: int = 1) -> PrincipalComponents:
