@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import calendar as C
 from tidegrid.functions import coords as G
-from tidegrid.functions.quantiles import sorted_quantiles
+from tidegrid.functions.quantiles import counted_quantiles
 from tidegrid.operators import anomaly as A
 from tidegrid.operators import select as S
 from tidegrid.plans import fixtures as X
@@ -429,4 +429,4 @@ from lineitem cross join (select unnest([0.1::double, 0.5::double, 0.975::double
 )
 def whole_table_quantiles(spark, sf):
     li = X.table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("level"), (F.col("l_extendedprice") / 997.0).alias("value"))
-    return sorted_quantiles(li, ["level"], "value", [0.1, 0.5, 0.975]).withColumn("quantile", rounded("quantile", 4))
+    return counted_quantiles(li, ["level"], "value", [0.1, 0.5, 0.975]).withColumn("quantile", rounded("quantile", 4))
