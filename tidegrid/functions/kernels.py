@@ -110,7 +110,8 @@ EARTH_RADIUS = 6.371008e6
 GRAVITY = 9.80665
 BETA = 2 * 7.292e-05 / EARTH_RADIUS
 
-# period range (days), wavenumber range, equivalent-depth range (m); None = open (fixed values)
+# period range (days), wavenumber range, equivalent-depth range (m); None = open (fixed values). The curves ig0 and ig2 have no
+# box of their own: it is given with the call
 WAVES = {
     "kelvin": (2.5, 20, 1, 14, 8, 90),
     "mrg": (2, 6, -250, 250, None, None),
@@ -142,9 +143,19 @@ def wave_rows(nf: int, obs_per_day: float, t_min: float, t_max: float) -> np.nda
     return (j >= lo) & (j <= hi)
 
 
-def kept_frequencies(n: int, obs_per_day: float, wave: str) -> np.ndarray:
+Box = tuple[float, float, float, float, float | None, float | None]
+
+
+def wave_box(wave: str, box: Box | None) -> Box:
+    """A box as in :data:`WAVES`: the one given, or the preset."""
+    if box is None and wave not in WAVES:
+        raise ValueError(f"{wave} has no preset: give its box")
+    return WAVES[wave] if box is None else box
+
+
+def kept_frequencies(n: int, obs_per_day: float, wave: str, box: Box | None = None) -> np.ndarray:
     """Frequency rows of a preset for ``n`` time steps; row 0, which is then masked, where none is left."""
-    rows = np.flatnonzero(wave_rows(n // 2 + 1, obs_per_day, *WAVES[wave][:2]))
+    rows = np.flatnonzero(wave_rows(n // 2 + 1, obs_per_day, *wave_box(wave, box)[:2]))
     return rows if len(rows) else np.zeros(1, dtype=int)
 
 
@@ -163,9 +174,9 @@ def _dispersion(wave: str, k: float, c: np.ndarray) -> np.ndarray | None:
     return None
 
 
-def wave_keep(nk: int, nt: int, obs_per_day: float, wave: str, dispersion: bool = False) -> np.ndarray:
+def wave_keep(nk: int, nt: int, obs_per_day: float, wave: str, dispersion: bool = False, box: Box | None = None) -> np.ndarray:
     """Boolean mask ``(nk, nf)`` in FFT order of the coefficients a wave preset keeps."""
-    t_min, t_max, k_min, k_max, h_min, h_max = WAVES[wave]
+    t_min, t_max, k_min, k_max, h_min, h_max = wave_box(wave, box)
     nf = nt // 2 + 1
     span = (nf - 1) * 2
     keep = np.outer(wave_columns(nk, k_min, k_max), wave_rows(nf, obs_per_day, t_min, t_max))
@@ -196,12 +207,12 @@ def gaussian_smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.einsum("r,nrt->nt", w, x[pos])
 
 
-def wave_filter(x: np.ndarray, obs_per_day: float, wave: str, smooth: float | None = None, dispersion: bool = False) -> np.ndarray:
+def wave_filter(x: np.ndarray, obs_per_day: float, wave: str, smooth: float | None = None, dispersion: bool = False, box: Box | None = None) -> np.ndarray:
     """Keep a wavenumber-frequency box of a ``(lon, time)`` slice."""
     if smooth is not None:
         x = gaussian_smooth(x, smooth)
     coef = np.fft.rfft2(x)
-    coef[~wave_keep(x.shape[0], x.shape[1], obs_per_day, wave, dispersion)] = 0
+    coef[~wave_keep(x.shape[0], x.shape[1], obs_per_day, wave, dispersion, box)] = 0
     return np.fft.irfft2(coef, s=x.shape)
 
 

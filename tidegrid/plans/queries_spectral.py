@@ -13,6 +13,7 @@ from tidegrid.operators import spectrum as P
 from tidegrid.operators.gram import correlation_table
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.registry import query, rnd, rounded
+from tidegrid.session import cut_lineage
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
 SERIES = ["member", "mode"]
@@ -319,12 +320,64 @@ def wave_dispersion(spark, sf):
     return out.withColumn("value", rounded("value", 5))
 
 
-@query("wave_presets", "FIL5 FIL6", None)
+# what is filtered: the presets, and the curves of equatorial waves in boxes of their own (days, wavenumbers, equivalent depths)
+LANES = {
+    "er": ("er", None),
+    "mrg": ("mrg", None),
+    "ig1": ("ig1", None),
+    "mjo": ("mjo", None),
+    "kelvin": ("kelvin", None),
+    "mrg_curve": ("mrg", (2, 6, -250, 250, 8, 90)),
+    "ig0_curve": ("ig0", (1.5, 6, 1, 14, 8, 90)),
+    "ig2_curve": ("ig2", (0.8, 2, -15, -1, 12, 90)),
+}
+# the same boxes as rows of frequencies 0..360 and columns of the mirrored axis 0..11, and the curves as text
+_LANES_SQL = """
+lanes (wave, j0, j1, i0, i1, h0, h1, curve) as (values ('er', 1, 3, 6, 11, 8, 90, 'er'), ('mrg', 5, 15, 0, 11, null, null, 'mrg'), ('ig1', 12, 25, 6, 11, 12, 90, 'ig1'), ('mjo', 0, 1, 0, 6, null, null, 'mjo'),
+ ('kelvin', 2, 12, 1, 6, 8, 90, 'kelvin'), ('mrg_curve', 5, 15, 0, 11, 8, 90, 'mrg'), ('ig0_curve', 5, 20, 1, 6, 8, 90, 'ig0'), ('ig2_curve', 15, 38, 6, 11, 12, 90, 'ig2')),
+cells as (select lanes.*, cast(i as int) as i, cast(j as int) as j, case when i < 6 then i else i - 12 end/6.371008e6 as q, 2*7.292e-05/6.371008e6 as beta from lanes, (select unnest(range(0, 12)) as i) a, (select unnest(range(0, 361)) as j) b
+ where j between j0 and j1 and i between i0 and i1),
+bounds as (select *, unnest([0, 1]) as side, sqrt(9.80665*unnest([h0, h1])) as c from cells),
+curves as (select *, case when curve = 'kelvin' then q*c when curve = 'er' then -beta*q/(q*q + 3*beta/c) when curve in ('mrg', 'ig0') and q = 0 then sqrt(beta*c)
+ when curve in ('mrg', 'ig0') and q > 0 then q*c*(0.5 + 0.5*sqrt(1 + 4*beta/(q*q*c))) when curve in ('mrg', 'ig0') then q*c*(0.5 - 0.5*sqrt(1 + 4*beta/(q*q*c)))
+ when curve = 'ig1' then sqrt(3*beta*c + q*q*c*c) when curve = 'ig2' then sqrt(5*beta*c + q*q*c*c) end*(24*3600.0/(2*pi()*24))*720 as row from bounds),
+kj as (select wave, 11 - i as k, j from curves group by wave, i, j having max(case when side = 0 then row end) is null
+ or (j >= least(floor(max(case when side = 0 then row end)), 361) and j <= greatest(ceil(max(case when side = 1 then row end)), 0)))"""
+
+
+@query(
+    "wave_presets",
+    "FIL5 FIL6",
+    f"""with {X.ZONAL_SQL}, {_LANES_SQL},
+wf as (select wave, member, mode, k, j, sum(value*cos(2*pi()*(k*lon_i/12.0 + j*t/720.0))) as re, -sum(value*sin(2*pi()*(k*lon_i/12.0 + j*t/720.0))) as im from zh cross join kj group by 1, 2, 3, 4, 5),
+wy as (select wave, zh.member, zh.mode, zh.lon_i, zh.t, sum((re*cos(2*pi()*(k*lon_i/12.0 + j*t/720.0)) - im*sin(2*pi()*(k*lon_i/12.0 + j*t/720.0)))*case when j = 0 then 1 else 2 end)/(12*720.0) as value
+       from zh join wf on zh.member = wf.member and zh.mode = wf.mode group by 1, 2, 3, 4, 5),
+ls as (select wave, member, mode from lanes cross join (select distinct member, mode from zh) s)
+select wave, member, mode, {rnd("coalesce(variance, 0.0)")} as variance, cast(8640 as bigint) as n from ls left join (select wave, member, mode, var_pop(value) as variance from wy group by 1, 2, 3) v using (wave, member, mode)""",
+)
 def wave_presets(spark, sf):
-    """Variance that the other presets keep, with their dispersion curves."""
-    out = None
-    for wave in ("er", "mrg", "ig1", "mjo"):
-        part = B.wave_band(X.zonal_hourly(spark, sf), SERIES, wave, obs_per_day=24, dispersion=True)
-        part = part.groupBy(*SERIES).agg(rounded(F.var_pop("value")).alias("variance"), F.count("value").alias("n")).withColumn("wave", F.lit(wave))
+    """Variance that each wave keeps within its box and its dispersion curve."""
+    out, zonal = None, cut_lineage(X.zonal_hourly(spark, sf))
+    for name, (wave, box) in LANES.items():
+        part = B.wave_band(zonal, SERIES, wave, obs_per_day=24, dispersion=True, box=box)
+        part = part.groupBy(*SERIES).agg(rounded(F.var_pop("value")).alias("variance"), F.count("value").alias("n")).withColumn("wave", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(
+    "wave_filter_absent_step",
+    "FIL5 FIL7 FIL8",
+    f"""with {_WAVE}, hole as (select wy.*, member % 2 = 0 and mode = 'view' as gap from wy)
+select member, mode, cast(lon_i as int) as lon_i, t, case when not gap then {rnd("value", 5)} end as value from hole
+union all select member, 'none', lon_i, t, null from zh where mode = 'view'""",
+)
+def wave_filter_absent_step(spark, sf):
+    """Slices that lack a step of the declared axis have NULL at every step: one lacks an hour, one a longitude, one all but its first hour."""
+    zonal = X.zonal_hourly(spark, sf)
+    gap = (F.col("member") % 2 == 0) & (F.col("mode") == "view")
+    some = zonal.filter(~(gap & ((F.col("t") == 30) | (F.col("lon_i") == 11))))
+    short = zonal.filter("mode = 'view' and t = 0").withColumn("mode", F.lit("none"))
+    axes = {"times": B.Axis(0, 1, X.SERIES_HOURS), "longitudes": B.Axis(0, 1, X.N_LON)}
+    out = B.wave_band(some.unionByName(short), SERIES, "kelvin", obs_per_day=24, **axes)
+    return out.withColumn("value", rounded("value", 5))
