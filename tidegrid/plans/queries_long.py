@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidegrid.operators import lagcorr as L
 from tidegrid.operators import long_series as B
 from tidegrid.plans import fixtures as X
+from tidegrid.plans.queries_series import p_value_sql
 from tidegrid.plans.queries_spectral import _DFT, SERIES
 from tidegrid.plans.registry import query, rnd, rounded
 
@@ -65,3 +67,21 @@ def spectrum_split(spark, sf):
     """The power spectrum in tasks of 24 and 30 values."""
     out = B.power_spectrum_blocks(X.hourly(spark, sf), SERIES, X.SERIES_HOURS, block=24)
     return out.withColumns({"freq": rounded("freq"), "power": rounded("power")})
+
+
+@query(
+    "lag_correlation_long",
+    "AGG21 JN5",
+    f"""with {MINUTES_SQL}, ty as (select distinct mode from mi), p as (select a.mode, b.t - a.t as lag, a.value as x, b.value as y from mi a join mi b on b.t - a.t between -10000 and 10000 where b.mode = (select max(mode) from ty)),
+c as (select mode, cast(lag as int) as lag, corr(x, y) as r, cast(count(*) as bigint) as n from p group by all)
+select mode, lag, n, case when n > 2 then {rnd("r", 5)} end as r, case when n > 9 then case when abs(r) >= 0.999999 then 0.0 else {rnd(p_value_sql("(r*sqrt((n - 2)/(1 - r*r)))", "(n - 2)"), 5)} end end as p_value from c where abs(r) < 0.999999 or n > 9""",
+)
+def lag_correlation_long(spark, sf):
+    """Ten thousand minutes back and ahead, each type of event next to the last one of the list; minutes without events are gaps."""
+    rows = minutes(spark, sf).select("mode", F.col("t").alias("month_idx"), "value")
+    last = rows.agg(F.max("mode").alias("m")).scalar()
+    types = rows.agg(F.collect_set("mode").alias("m")).scalar()
+    y = rows.filter(F.col("mode") == last).withColumn("mode", F.explode(types))
+    out = L.cross_correlation(rows, y, ["mode"], 10_000)
+    out = out.filter((F.col("n") > 0) & ((F.abs("r") < 0.999999) | (F.col("n") > 9)))
+    return out.select("mode", "lag", "n", F.when(F.col("n") > 2, rounded("r", 5)).alias("r"), F.when(F.col("n") > 9, rounded("p_value", 5)).alias("p_value"))
