@@ -32,9 +32,9 @@ def parse_yyyymmdd(value: Column) -> Column:
 
 
 def rebuild_date(year: Column, month: Column, day: Column, century: int | None = None) -> Column:
-    """Date of a non-standard calendar from its parts; ``century`` folds the year into 100 years."""
+    """Date of a non-standard calendar from its parts; ``century`` folds the year into 100 years. A day that the year lacks is NULL."""
     y = year if century is None else F.lit(century) + F.pmod(year, F.lit(100))
-    return F.make_date(y, month, day)
+    return F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day), "yyyy-MM-dd")
 
 
 def month_spine(spark: SparkSession, first: str, last: str, skip: tuple[str, ...] = ()) -> DataFrame:

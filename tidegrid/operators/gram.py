@@ -128,11 +128,11 @@ def covariances(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
     return _long(gram_matrix(df, vector, by), by or [], _covariance("gram"), "cov")
 
 
-def mode_vectors(df: DataFrame, keys: list[str], modes: list[str], value: str = "value", mode: str = "mode") -> DataFrame:
-    """One row per key with the values of the listed modes as an array; incomplete keys are dropped."""
+def mode_vectors(df: DataFrame, keys: list[str], modes: list[str], value: str = "value", mode: str = "mode", complete: bool = True) -> DataFrame:
+    """One row per key with the values of the listed modes as an array; keys that lack one are dropped unless ``complete`` is false."""
     cols = [F.max(F.when(F.col(mode) == m, F.col(value))) for m in modes]
     out = df.filter(F.col(mode).isin(list(modes))).groupBy(*keys).agg(F.array(*cols).alias("vec"))
-    return out.filter(~F.exists("vec", lambda v: v.isNull()))
+    return out.filter(~F.exists("vec", lambda v: v.isNull())) if complete else out
 
 
 def correlation_table(df: DataFrame, keys: list[str], modes: list[str], by: list[str] | None = None, value: str = "value") -> DataFrame:

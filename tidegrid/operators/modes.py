@@ -30,12 +30,13 @@ MOST_TIMES = 4000
 
 
 def _array_of(df: DataFrame, keys: list[str], modes: list, value: str, name: str) -> DataFrame:
-    """Values of the listed modes side by side, one array per key; incomplete keys are dropped."""
-    return mode_vectors(df, keys, modes, value).withColumnRenamed("vec", name)
+    """Values of the listed modes side by side, one array per key; a mode that is not there is NULL."""
+    return mode_vectors(df, keys, modes, value, complete=False).withColumnRenamed("vec", name)
 
 
 def _dot(a: str, b: str, n: int, skip: int | None = None) -> Column:
-    terms = [F.element_at(a, i + 1) * F.element_at(b, i + 1) for i in range(n) if i != skip]
+    """Sum of products; a mode without weight adds nothing, one without a value makes the sum NULL."""
+    terms = [F.when(F.element_at(a, i + 1).isNull(), F.lit(0.0)).otherwise(F.element_at(a, i + 1) * F.element_at(b, i + 1)) for i in range(n) if i != skip]
     out = terms[0]
     for term in terms[1:]:
         out = out + term
@@ -48,7 +49,8 @@ def _dot(a: str, b: str, n: int, skip: int | None = None) -> Column:
 def encode(field: DataFrame, loadings: DataFrame, modes: list, by: list[str], cell: list[str] = GRID) -> DataFrame:
     """Mode series: per group and month the sum of weight times value over the cells.
 
-    All modes are summed side by side, so field rows are not multiplied by the modes.
+    All modes are summed side by side, so field rows are not multiplied by the modes. A cell counts for the modes that it has a weight
+    for; a month without a value in any cell of a mode is NULL.
     """
     w = checked_side(_array_of(loadings, cell, modes, "w", "_w"))
     z = field.join(w, cell)
@@ -61,11 +63,11 @@ def encode(field: DataFrame, loadings: DataFrame, modes: list, by: list[str], ce
 def _with_modes(target: DataFrame, series: DataFrame, loadings: DataFrame, modes: list, by: list[str], cell: list[str]) -> DataFrame:
     w = checked_side(_array_of(loadings, cell, modes, "w", "_w"))
     z = checked_side(_array_of(series, [*by, "month_idx"], modes, "value", "_z"))
-    return target.join(w, cell).join(z, [*by, "month_idx"])
+    return target.join(w, cell).join(z, [*by, "month_idx"], "left")
 
 
 def decode(target: DataFrame, series: DataFrame, loadings: DataFrame, modes: list, by: list[str], cell: list[str] = GRID) -> DataFrame:
-    """Adds ``decoded`` to the rows of ``target``: sum over modes of weight times series."""
+    """Adds ``decoded`` to the rows of ``target``: sum over modes of weight times series; NULL where a mode of the cell is not known."""
     z = _with_modes(target, series, loadings, modes, by, cell)
     return z.withColumn("decoded", _dot("_w", "_z", len(modes))).drop("_w", "_z")
 
@@ -95,7 +97,8 @@ def remove_modes(field: DataFrame, series: DataFrame, loadings: DataFrame, modes
 
 def loading_products(loadings: DataFrame, modes: list, cell: list[str] = GRID) -> DataFrame:
     """Sums over cells of products of loadings, ``(i, j, p)``, and of the loadings, in row ``i = size``."""
-    g = gram_matrix(_array_of(loadings, cell, modes, "w", "vec"), "vec")
+    whole = _array_of(loadings, cell, modes, "w", "vec").withColumn("vec", F.transform("vec", lambda w: F.coalesce(w, F.lit(0.0))))
+    g = gram_matrix(whole, "vec")
     width = F.col("size") + 1
     return g.select("size", F.posexplode("gram").alias("at", "p"), width.alias("_k")).select(
         F.floor(F.col("at") / F.col("_k")).cast("int").alias("i"), (F.col("at") % F.col("_k")).cast("int").alias("j"), "p", "size"

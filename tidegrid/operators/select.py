@@ -45,8 +45,11 @@ def mask_cells(df: DataFrame, mask: DataFrame, on: tuple[str, ...] = ("lat_i", "
 
 
 def drop_empty_axes(df: DataFrame, axes: tuple[str, ...] = ("lat_i", "lon_i")) -> DataFrame:
-    """Drop the rows and columns of the grid that hold no value at all."""
-    filled = df.filter(F.col("value").isNotNull())
+    """Drop the rows and columns of the grid that hold no value at all.
+
+    The grid nodes that hold a value are stored once, so the field is read for them and for the result; nodes are few next to rows.
+    """
+    filled = checked_side(df.filter(F.col("value").isNotNull()).select(*axes).distinct())
     for axis in axes:
         df = df.join(filled.select(axis).distinct(), axis, "left_semi")
     return df

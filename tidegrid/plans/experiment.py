@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.functions.calendar import month_of
 from tidegrid.functions.sizing import calendar_side, checked_side
@@ -137,6 +138,12 @@ class Fits:
 FIT = ["initialization", "split"]
 
 
+def decodings_schema(field: DataFrame, cell: list[str]) -> T.StructType:
+    """Layout of the decodings of a field, for a table that may have no fit yet."""
+    head = "initialization int, split int, recursion int, kind string, member int, without string"
+    return T.StructType([*T._parse_datatype_string(head).fields, *[field.schema[c] for c in cell], *T._parse_datatype_string("month_idx int, value double").fields])
+
+
 def run_fits(
     field: DataFrame,
     test_from: int,

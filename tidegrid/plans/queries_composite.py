@@ -105,7 +105,8 @@ def confidence_panels_by_mode(spark, sf):
 
 _PURE = f"""{_SIGMA},
 sel as (select '{Y}' as mode, y as phase, month_idx from wd where y in ('+', '-') and x = '.' and z = '.' union all
-        select '{XX}', x, month_idx from wd where x in ('+', '-') and y = '.' and z = '.')"""
+        select '{XX}', x, month_idx from wd where x in ('+', '-') and y = '.' and z = '.' union all
+        select '{Z}', z, month_idx from wd where z in ('+', '-') and y = '.' and x = '.')"""
 
 
 @query(
@@ -118,7 +119,7 @@ def phase_composites(spark, sf):
     from pyspark.sql import Window
 
     field = X.field(spark, sf).withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy(*A.CELL)))
-    picked = P.pure_phases(P.sigma_states(_centred(spark, sf)), TRIO).filter(F.col("mode").isin(Y, XX))
+    picked = P.pure_phases(P.sigma_states(_centred(spark, sf)), TRIO)
     return P.composite_mean(field, picked, A.CELL, ["mode", "phase"]).withColumn("mean", rounded("mean"))
 
 
@@ -170,16 +171,17 @@ def bootstrap_by_join(spark, sf):
 @query(
     "phase_responses",
     "AGG34 AGG35",
-    f"""with {_PURE}, {X.FIELD_SQL}, c as (select member, lat_i, lon_i, avg(case when phase = '+' then value end) as p, avg(case when phase = '-' then value end) as m
-from f join sel on f.month_idx = sel.month_idx and sel.mode = '{Y}' group by 1, 2, 3)
-select member, lat_i, lon_i, {rnd("p - m")} as linear, {rnd("p + m")} as nonlinear, {rnd("(p - m)/2")} as linear_half, {rnd("(p + m)/2")} as nonlinear_half from c""",
+    f"""with {_PURE}, {X.FIELD_SQL}, c as (select mode, member, lat_i, lon_i, avg(case when phase = '+' then value end) as p, avg(case when phase = '-' then value end) as m
+from f join sel on f.month_idx = sel.month_idx group by 1, 2, 3, 4)
+select mode, member, lat_i, lon_i, {rnd("p - m")} as linear, {rnd("p + m")} as nonlinear, {rnd("(p - m)/2")} as linear_half, {rnd("(p + m)/2")} as nonlinear_half from c""",
 )
 def phase_responses(spark, sf):
-    picked = P.pure_phases(P.sigma_states(_centred(spark, sf)), TRIO).filter(F.col("mode") == Y)
-    comp = P.composite_mean(X.field(spark, sf), picked, A.CELL, ["phase"])
-    full, half = P.responses(comp, A.CELL), P.responses(comp, A.CELL, half=True)
-    both = full.join(half.withColumnsRenamed({"linear": "linear_half", "nonlinear": "nonlinear_half"}), A.CELL)
-    return both.select(*A.CELL, *[rounded(c).alias(c) for c in ("linear", "nonlinear", "linear_half", "nonlinear_half")])
+    picked = P.pure_phases(P.sigma_states(_centred(spark, sf)), TRIO)
+    keys = ["mode", *A.CELL]
+    comp = P.composite_mean(X.field(spark, sf), picked, A.CELL, ["mode", "phase"])
+    full, half = P.responses(comp, keys), P.responses(comp, keys, half=True)
+    both = full.join(half.withColumnsRenamed({"linear": "linear_half", "nonlinear": "nonlinear_half"}), keys)
+    return both.select(*keys, *[rounded(c).alias(c) for c in ("linear", "nonlinear", "linear_half", "nonlinear_half")])
 
 
 @query(
@@ -187,14 +189,15 @@ def phase_responses(spark, sf):
     "AGG34 AGG35 AGG13",
     _BOOT
     + f""", g2 as (select panel, bq.member, bq.lat_i, bq.lon_i, mean, coalesce(mean > upper or mean < lower, false) as s from bq left join cm using (panel, member, lat_i, lon_i))
-select member, lat_i, lon_i, {rnd("max(case when panel = '++' then mean end) - max(case when panel = '--' then mean end)")} as linear,
-bool_or(s) as significant_any, bool_and(s) as significant_both from g2 where panel in ('++', '--') group by 1, 2, 3""",
+select case when panel in ('++', '--') then 'same' else 'opposed' end as signs, member, lat_i, lon_i, {rnd("max(case when panel like '+%' then mean end) - max(case when panel like '-%' then mean end)")} as linear,
+case when count(*) = 2 or bool_or(s) then bool_or(s) end as significant_any, case when count(*) = 2 or not bool_and(s) then bool_and(s) end as significant_both from g2 group by 1, 2, 3, 4""",
 )
 def response_significance(spark, sf):
     field, picked = _corner_inputs(spark, sf)
-    out = P.composites(field, picked, A.CELL, "panel", DRAWS, 0.05).filter(F.col("panel").isin("++", "--"))
-    out = out.withColumns({"phase": F.substring("panel", 1, 1), "significant": F.coalesce("significant", F.lit(False))})
-    return P.responses(out, A.CELL).select(*A.CELL, rounded("linear").alias("linear"), "significant_any", "significant_both")
+    out = P.composites(field, picked, A.CELL, "panel", DRAWS, 0.05)
+    signs = F.when(F.col("panel").isin("++", "--"), "same").otherwise("opposed")
+    out = out.withColumns({"signs": signs, "phase": F.substring("panel", 1, 1), "significant": F.coalesce("significant", F.lit(False))})
+    return P.responses(out, ["signs", *A.CELL]).select("signs", *A.CELL, rounded("linear").alias("linear"), "significant_any", "significant_both")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.quantiles import bounded_quantile
+from tidegrid.functions.sizing import checked_side
 from tidegrid.operators import anomaly as A
 from tidegrid.operators import histogram as H
 from tidegrid.operators import regression as R
@@ -280,7 +281,7 @@ def nearest_states(spark, sf):
     cols = [F.max(F.when(F.col("mode") == m, F.col("value"))).alias(n) for m, n in (("1-URGENT", "u"), ("2-HIGH", "v"))]
     states = e.groupBy((F.col("month_idx") * 100 + F.col("initialization")).alias("state")).agg(*cols).filter("u is not null and v is not null")
     points = states.unpivot(["state"], ["u", "v"], "axis", "value")
-    levels = sorted_quantiles(points, ["axis"], "value", [0.1, 0.5, 0.9])
+    levels = checked_side(sorted_quantiles(points, ["axis"], "value", [0.1, 0.5, 0.9]))
     probes = probe_path(levels)
     out = I.nearest_state(states, probes, [], ("u", "v"), "state")
     return out.select("probe", "state", *[rounded(c).alias(c) for c in ("x", "y", "distance")])

@@ -48,6 +48,23 @@ def decode(spark, sf):
     return out.select(*A.CELL, "month_idx", rounded("decoded", 4).alias("value"))
 
 
+@query(
+    "encode_partial_loadings",
+    "MOD1 MOD2",
+    f"""with {_BASE}, pl as (select * from l where not (mode = 2 and lon_i < 3) and not (mode = 4 and lat_i = 1)), ez as (select member, month_idx, mode, sum(w*value) as z from f join pl on f.lat_i = pl.lat_i and f.lon_i = pl.lon_i group by 1, 2, 3),
+gz as (select *, case when mode <> 3 or month_idx % 10 <> 0 then z end as zz from ez)
+select f.member, f.lat_i, f.lon_i, f.month_idx, case when count(*) = count(zz) then {rnd("sum(w*zz)", 4)} end as value from f join pl on f.lat_i = pl.lat_i and f.lon_i = pl.lon_i
+join gz on gz.member = f.member and gz.month_idx = f.month_idx and gz.mode = pl.mode group by 1, 2, 3, 4""",
+)
+def encode_partial_loadings(spark, sf):
+    """Some cells have no part in a mode, and a mode is not known in some months: the others keep their sums, those months have NULL."""
+    field = X.field(spark, sf)
+    loadings = X.loadings(field).filter("not (mode = 2 and lon_i < 3) and not (mode = 4 and lat_i = 1)")
+    series = M.encode(field, loadings, MODES, ["member"]).filter("mode <> 3 or month_idx % 10 <> 0")
+    out = M.decode(field, series, loadings, MODES, ["member"])
+    return out.select(*A.CELL, "month_idx", rounded("decoded", 4).alias("value"))
+
+
 @query(
     "keep_leading_modes",
     "MOD3",
@@ -218,7 +235,7 @@ def members_on_fitted_modes(spark, sf):
 
 # -- principal components ----------------------------------------------------------------------
 
-_TWO = f"""{X.ENCODINGS_SQL}, tw as (select initialization, month_idx, max(case when mode = '1-URGENT' then value end) as u, max(case when mode = '2-HIGH' then value end) as v from e group by 1, 2),
+_TWO = f"""{X.ENCODINGS_SQL}, tw as (select initialization, month_idx, avg(case when mode in ('1-URGENT', '3-MEDIUM', '5-LOW') then value end) as u, avg(case when mode not in ('1-URGENT', '3-MEDIUM', '5-LOW') then value end) as v from e group by 1, 2),
 cv as (select initialization, var_samp(u) as a, covar_samp(u, v) as b, var_samp(v) as c from tw where u is not null and v is not null group by 1),
 ev as (select *, (a + c)/2 + sqrt(pow((a - c)/2, 2) + b*b) as l1, (a + c)/2 - sqrt(pow((a - c)/2, 2) + b*b) as l2 from cv)"""
 
@@ -229,9 +246,10 @@ ev as (select *, (a + c)/2 + sqrt(pow((a - c)/2, 2) + b*b) as l1, (a + c)/2 - sq
     f"""with {_TWO} select initialization, 'pc1' as mode, {rnd("l1")} as variance, {rnd("l1/(a + c)")} as share from ev union all select initialization, 'pc2', {rnd("l2")}, {rnd("l2/(a + c)")} from ev""",
 )
 def components_of_two_series(spark, sf):
-    """Two series per initialization stand for two cells, where the eigenvalues have a closed form."""
-    e = X.encodings(spark, sf)
-    both = mode_vectors(e, ["initialization", "month_idx"], ["1-URGENT", "2-HIGH"])
+    """The means of the odd and the even modes stand for two cells, where the eigenvalues have a closed form."""
+    half = F.when(F.col("mode").isin("1-URGENT", "3-MEDIUM", "5-LOW"), "odd").otherwise("even")
+    e = X.encodings(spark, sf).groupBy("initialization", "month_idx", half.alias("mode")).agg(F.avg("value").alias("value"))
+    both = mode_vectors(e, ["initialization", "month_idx"], ["odd", "even"])
     cells = both.select("initialization", "month_idx", F.posexplode("vec").alias("cell", "value"))
     pcs = M.principal_components(cells, ["initialization"], ["cell"], 2)
     return pcs.variance.select("initialization", "mode", rounded("variance").alias("variance"), rounded("share").alias("share"))
@@ -277,12 +295,14 @@ def ensemble_of_fits(spark, sf):
 
 # -- components with a closed form: two event series stand for two cells -------------------------
 
-_PAIR_H = f"""{X.HOURLY_SQL}, h2 as (select * from h where mode in ('click', 'view'))"""
+_PAIR_H = f"""{X.HOURLY_SQL}, h2 as (select member, case when mode in ('click', 'error', 'purchase') then 'click' else 'view' end as mode, t, sum(value) as value from h group by 1, 2, 3)"""
 
 
 def _two_cells(spark, sf):
-    h = X.hourly(spark, sf).filter(F.col("mode").isin("click", "view"))
-    return h.select("member", F.col("mode").alias("cell"), F.col("t").alias("month_idx"), "value")
+    """All types of events, in two groups that are named after a type of each."""
+    group = F.when(F.col("mode").isin("click", "error", "purchase"), "click").otherwise("view")
+    h = X.hourly(spark, sf).groupBy("member", group.alias("cell"), F.col("t").alias("month_idx"))
+    return h.agg(F.sum("value").alias("value"))
 
 
 def _eigen_sql(tag: str) -> str:

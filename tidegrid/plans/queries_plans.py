@@ -12,7 +12,7 @@ from tidegrid.operators import select as S
 from tidegrid.operators import series as Q
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.basin import build_basin
-from tidegrid.plans.experiment import FIT, fold_anomalies, run_experiment, run_fits, write_experiment
+from tidegrid.plans.experiment import FIT, decodings_schema, fold_anomalies, run_experiment, run_fits, write_experiment
 from tidegrid.plans.queries_anomaly import _POLY2, HELD_OUT
 from tidegrid.plans.queries_composite import TRIO
 from tidegrid.plans.queries_grid import _WEIGHTS, LAT, LON, target_nodes
@@ -100,7 +100,7 @@ fi as (select cast(i as int) as initialization, cast(s as int) as split, cast(r
 mo as (select distinct month_idx from ob), kd as (select fi.*, case when mo.month_idx >= {HELD_OUT} then 'test' when split = fold then 'val' else 'train' end as kind, cast(null as int) as member, mo.month_idx, true as there
        from fi cross join mo left join ax on mo.month_idx = ax.month_idx),
 mm as (select member, month_idx, count(cc.lat_i) = (select count(*) from cc) as there from f left join cc on f.lat_i = cc.lat_i and f.lon_i = cc.lon_i group by 1, 2),
-al as (select * from kd union all select fi.*, 'member', member, month_idx, there from fi cross join mm)"""
+al as (select * from (select * from kd union all select fi.*, 'member', member, month_idx, there from fi cross join mm) q where exists (select 1 from cc))"""
 
 
 @query(
@@ -147,7 +147,7 @@ def experiment_outputs(spark, sf):
     run, fits = _run(spark, sf, members=False), _fits(spark)
     write_experiment(fits.filter("split = 0"), run, path, at_once=N_INIT)
     write_experiment(fits, run, path, at_once=N_INIT * 5)
-    rows = cut_lineage(commits.read_done(spark, f"{path}/decodings", FIT))
+    rows = cut_lineage(commits.read_done(spark, f"{path}/decodings", FIT, decodings_schema(X.field(spark, sf), GRID)))
     cell = [*FIT, "recursion", "kind", *GRID]
     parts = rows.groupBy(*cell, "month_idx").agg(F.max(F.when(F.col("without").isNull(), F.col("value"))).alias("all"), F.sum(F.when(F.col("without").isNotNull(), F.col("value"))).alias("others"))
     # with two modes: others = 2 * all - (all - mean), so others - all is the mean of the cell

@@ -55,13 +55,13 @@ def stream_routing(spark, sf):
     "encodings_roundtrip",
     "SRC2 SRC5 SNK1 ORD1",
     f"""with {X.ENCODINGS_SQL}
-select initialization, cast(month_idx % 5 as int) as split, mode, month_idx, {rnd("value")} as value from e where initialization % 2 = 0""",
+select initialization, cast(month_idx % 5 as int) as split, mode, month_idx, {rnd("value")} as value from e""",
 )
 def encodings_roundtrip(spark, sf):
     path = scratch(spark, "encodings")
     rows = X.encodings(spark, sf).withColumns({"split": (F.col("month_idx") % 5).cast("int"), "kind": F.lit("val")})
     W.write_table(rows, path, ["initialization", "split"])
-    back = R.read_encodings(spark, path, "val").filter(F.col("initialization") % 2 == 0)
+    back = R.read_encodings(spark, path, "val")
     return back.select("initialization", "split", "mode", "month_idx", rounded("value").alias("value")).orderBy("month_idx")
 
 
@@ -69,13 +69,13 @@ def encodings_roundtrip(spark, sf):
     "member_outputs",
     "SRC6 AGG1",
     f"""with {X.ENCODINGS_SQL}
-select initialization as member, mode, {rnd("avg(value)")} as mean, cast(count(*) as bigint) as n from e where mode <> '5-LOW' group by 1, 2""",
+select initialization as member, mode, {rnd("avg(value)")} as mean, cast(count(*) as bigint) as n from e group by 1, 2""",
 )
 def member_outputs(spark, sf):
     path = scratch(spark, "members")
     rows = X.encodings(spark, sf).withColumnRenamed("initialization", "member").withColumn("kind", F.lit("model"))
     W.write_table(rows, path, ["member"])
-    back = R.read_encodings(spark, path, "model").filter(F.col("mode") != "5-LOW")
+    back = R.read_encodings(spark, path, "model")
     return back.groupBy("member", "mode").agg(rounded(F.avg("value")).alias("mean"), F.count("*").alias("n"))
 
 
@@ -227,14 +227,14 @@ def longitude_conventions(spark, sf):
     "integer_dates",
     "PRJ7 PRJ8",
     """with d as (select o_orderkey, year(o_orderdate) as y, month(o_orderdate) as m, day(o_orderdate) as dd from orders)
-select make_date(y, m, dd) as parsed, make_date(1700 + y % 100, m, dd) as folded, cast(count(*) as bigint) as n from d where not (m = 2 and dd = 29) group by 1, 2""",
+select make_date(y, m, dd) as parsed, case when not (m = 2 and dd = 29) or ((1700 + y % 100) % 4 = 0 and y % 100 <> 0) then make_date(1700 + y % 100, m, least(dd, case when m = 2 and not ((1700 + y % 100) % 4 = 0 and y % 100 <> 0) then 28 else 31 end)) end as folded,
+cast(count(*) as bigint) as n from d group by 1, 2""",
 )
 def integer_dates(spark, sf):
     o = X.table(spark, sf, "orders").select(
         F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d")
     )
-    # the non-standard calendar has no leap days
-    o = o.filter(~((F.col("m") == 2) & (F.col("d") == 29)))
+    # a leap day that the folded year does not have is NULL there
     number = F.col("y") * 10000 + F.col("m") * 100 + F.col("d")
     return o.groupBy(
         C.parse_yyyymmdd(number).alias("parsed"), C.rebuild_date(F.col("y"), F.col("m"), F.col("d"), 1700).alias("folded")

@@ -92,10 +92,12 @@ def done_keys(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
     return text.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
 
 
-def read_done(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
-    """Rows of the committed keys only."""
+def read_done(spark: SparkSession, path: str, by: list[str], schema: T.StructType | None = None) -> DataFrame:
+    """Rows of the committed keys only; with a ``schema``, none is an empty table instead of an error."""
     folder = Folder(spark, path)
     keys = folder.keys(by, leaf=MARK)
+    if not keys and schema is not None:
+        return spark.createDataFrame([], schema)
     if not keys:
         raise ValueError(f"{path} has no committed key")
     return spark.read.option("basePath", folder.root).parquet(*[folder.at(k).toString() for k in keys])
