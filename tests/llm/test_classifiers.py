@@ -55,6 +55,14 @@ def test_sample_is_bounded_and_follows_the_split(tables):
     assert every.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(240))
 
 
+def test_sample_has_one_row_per_key(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {j}") for i in range(2) for j in range(500)] + [(0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), rows=2).collect()
+    assert sorted(r.y for r in got) == [0, 1]
+    assert sorted(got) == sorted(labelled_sample(docs.repartition(7), labels, "quality", F.lit(True), rows=2).collect())
+
+
 def test_toxicity_on_held_out_labels(tables):
     docs, labels = tables
     model = fit_toxicity(docs, labels, remainder("doc_id", 5) != 0)
