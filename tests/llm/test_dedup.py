@@ -119,6 +119,16 @@ def test_stages_keep_columns_and_one_row_of_each(docs):
     assert {r.doc_id for r in near.collect() if r.doc_id is not None} == {c for _, c in want.values()}
 
 
+def test_texts_that_share_a_key_stay_with_their_own_group(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa".split() for _ in range(2))
+    b = [w.upper()[::-1] for w in b]
+    rows = [(5, " ".join(a)), (7, " ".join(a).upper()), (5, " ".join(b)), (3, " ".join(b) + " "), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, one_of_each(docs).collect()), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_empty_tables(spark, docs):
     none = docs.filter("false")
     for op in (jaccard_components, exact_dedup, drop_copies, one_of_each):

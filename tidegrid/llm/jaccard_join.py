@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import fingerprints, shingle_sets
-from tidegrid.llm.store import byte_texts, list_column, mix, release, split_join, store
+from tidegrid.llm.store import byte_texts, list_column, mix, release, rows_per_batch, split_join, store
 
 ORDERS = 3  # global token orders of the prefix filter
 STARS = 3  # hash orders under which leaders are compared
@@ -40,6 +40,7 @@ ROUNDS = 2  # that look for the closest pairs of classes before the complete one
 CLOSEST = 1  # pairs of two classes that a cell names in such a round
 CELL_ROWS = 2_048  # a larger posting list is split into pairs of blocks
 SIGN_WORDS = 32  # 64-bit words of a parity bitmap
+BATCH_ROWS = 1_000  # rows that hold sets or bitmaps and are in a kernel at once
 
 
 def _prefix(n, num: int, den: int):
@@ -52,13 +53,13 @@ def _prefix_sql(num: int, den: int) -> str:
 
 
 def _sets_of(docs: DataFrame, key: str, text: str, width: int, share: float) -> DataFrame:
-    """(id, fp, n) of every row, or with ``share`` the tokens below that share of the hash range: (token, fp)."""
+    """(id, fp, n, h) of every row, h a hash of its text, or with ``share`` the tokens below that share of the hash range: (token, fp)."""
     top = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
 
     def per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, sizes = shingle_sets(byte_texts(b.column(1)), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(flat, sizes).view(np.int64)), pa.array(sizes)], ["id", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(flat, sizes).view(np.int64)), pa.array(sizes), b.column(2)], ["id", "fp", "n", "h"])
 
     def per_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,7 +69,7 @@ def _sets_of(docs: DataFrame, key: str, text: str, width: int, share: float) ->
 
     if share:
         return docs.select(text).mapInArrow(per_token, "token long, fp long")
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(per_doc, "id long, fp long, n long")
+    return docs.select(F.col(key).cast("long").alias("id"), text, F.xxhash64(text).alias("h")).mapInArrow(per_doc, "id long, fp long, n long, h long")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -303,6 +304,12 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     no set and link with nothing. A row without key gets the component of rows with an equal set, else null. Repeated rows are returned as often as they are there;
     further columns are not looked at.
     """
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        return _components_of_rows(docs, key, text, width, num, den).drop("h")
+
+
+def _components_of_rows(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """As :func:`jaccard_components`, and ``h``, the hash of the row's text. All that kernels do is stored when it returns."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
     own, _ = store(_sets_of(docs, "__id", "__text", width, 0), "sizes")
@@ -331,12 +338,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     held = groups.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = held.groupBy("root").agg(F.min("least").alias("component_id"))
     named = split_join(held, least, ["root"]).select("fp", "component_id")
-    out = own.filter("n > 0").join(named, "fp").select("id", "n", "component_id").union(own.filter("n = 0").select("id", "n", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = own.filter("n > 0").join(named, "fp").select("id", "n", "component_id", "h").union(own.filter("n = 0").select("id", "n", "id", "h"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", "h")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose key is the least of its component, with all their columns; rows without key stay."""
-    found = jaccard_components(docs, key, text, width, num, den)
-    gone, _ = store(found.filter(f"`{key}` <> component_id").select(F.col(key).alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs`` whose key is the least of its component, with all their columns; rows without key stay.
+
+    Of texts that share a key, each belongs to its own component: a row goes by its key and its text.
+    """
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        found = _components_of_rows(docs, key, text, width, num, den)
+        gone, _ = store(found.filter(f"`{key}` <> component_id").select(F.col(key).alias("__gone"), F.col("h").alias("__text_hash")).distinct(), "gone")
+    same = (docs[key].cast("long") == gone["__gone"]) & (F.xxhash64(docs[text]) == gone["__text_hash"])
+    return docs.join(gone, same, "left_anti")
