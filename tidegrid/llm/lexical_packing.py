@@ -19,11 +19,12 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.bpe import WordBpe, broadcast_vocabulary, loaded
-from tidegrid.llm.shingles import word_hashes
+from tidegrid.llm.batch_bpe import BatchBpe
+from tidegrid.llm.bpe import WordBpe, broadcast_vocabulary
 from tidegrid.llm.store import byte_texts, chunks, mix, store
 
 WINDOW = 4096
+CHUNK_BYTES = 1 << 21  # of text that is encoded at once; batching only
 SHARD_BYTES = 12_000_000  # of text, on average
 K1, B = 1.2, 0.75
 
@@ -38,7 +39,10 @@ class Corpus:
 
 
 class Bm25:
-    """Inverted index of one shard: postings of each term with their weights, by the counts of ``corpus`` or else of the shard."""
+    """Inverted index of one shard: postings of each term with their weights, by the counts of ``corpus`` or else of the shard.
+
+    Terms that an eighth of the documents have are also rows of a matrix, where adding them up reads memory in order.
+    """
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         terms, owners, counts = [], [], []
@@ -56,16 +60,54 @@ class Bm25:
         idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / corpus.mean))
         order = np.argsort(term, kind="stable")
+        self.ids = np.arange(self.n)  # documents that the postings are about, and owners are places in it
         self.owner, self.weight = owner[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(here)])
+        self._spread()
+
+    def _spread(self) -> None:
+        counts = np.diff(self.at)
+        common = np.flatnonzero(counts * 8 > len(self.ids))
+        self.row = np.full(len(counts), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), len(self.ids)))
+        for r, t in enumerate(common.tolist()):
+            p = slice(self.at[t], self.at[t + 1])
+            self.rows[r, self.owner[p]] = self.weight[p]
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Forget the postings of documents that are used up."""
+        live = unused[self.ids]
+        keep = live[self.owner]
+        self.at = np.append(0, np.cumsum(keep))[self.at]
+        self.owner, self.weight = (np.cumsum(live, dtype=np.int32) - 1)[self.owner[keep]], self.weight[keep]
+        self.ids = self.ids[live]
+        self._spread()
+
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed, best first; ties by position. Only as far as it is read is it put in order."""
+        terms = self.terms[seed]
+        row = self.row[terms]
+        parts = [slice(self.at[t], self.at[t + 1]) for t in terms[row < 0].tolist()]
+        score = self.rows[row[row >= 0]].sum(0)
+        if parts:
+            score += np.bincount(np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(self.ids))
+        ids = self.ids
+        score[~unused[ids]] = 0
+        rest, take = np.flatnonzero(score), 32
+        while len(rest):
+            best = score[rest]
+            if len(rest) > take:
+                bar = np.partition(best, -take)[-take]
+                top, rest = rest[best >= bar], rest[best < bar]
+            else:
+                top, rest = rest, rest[:0]
+            yield from ids[top[np.argsort(-score[top], kind="stable")]].tolist()
+            take *= 4
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """All unused documents that share a term with the seed, best first; ties by position."""
-        parts = [slice(self.at[t], self.at[t + 1]) for t in self.terms[seed]]
-        score = np.bincount(np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")].tolist()
+        """All of ``ranked``."""
+        return list(self.ranked(seed, unused))
 
 
 def fill_windows(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
@@ -74,7 +116,7 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus |
     unused = np.ones(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence = filled = 0
-    queue: list[int] = []
+    queue: Iterator[int] = iter(())
 
     def put(doc: int) -> bool:
         """Place a document, over as many windows as it takes; whether a window was closed."""
@@ -88,24 +130,23 @@ def fill_windows(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus |
                 sequence, filled, closed = sequence + 1, 0, True
         return closed
 
-    at = 0
-    while True:
-        while queue and not unused[queue[-1]]:
-            queue.pop()
-        if queue:
-            doc = queue.pop()
-        else:
-            while at < len(docs) and not unused[at]:
-                at += 1
-            if at == len(docs):
-                break
+    at, left = 0, len(docs)
+    while left:
+        # what has been used since the order was made is passed over; where no document shares a term with the seed any more, the next one is a seed
+        doc = next((d for d in queue if unused[d]), None)
+        seed = doc is None
+        if seed:
+            at += int(np.argmax(unused[at:]))
             doc = at
         unused[doc] = False
+        left -= 1
         closed = put(doc)
+        if 4 * left < 3 * len(index.ids):
+            index.drop(unused)
         if closed and not filled:
-            queue = []  # the window is full and nothing is left over: the next document is a seed
-        elif closed or not queue:  # what opens a window, or follows when no document shares a term with its seed any more, is a seed
-            queue = index.neighbours(doc, unused)[::-1]
+            queue = iter(())  # the window is full and nothing is left over: the next document is a seed
+        elif closed or seed:  # what opens a window is its seed
+            queue = index.ranked(doc, unused)
     return _powers_of_two(out, sequence, filled)
 
 
@@ -122,19 +163,31 @@ def _powers_of_two(pieces: list[tuple[int, int, int, int, int]], last: int, size
     return out
 
 
+_loaded: dict[int, BatchBpe] = {}
+
+
+def _batch_bpe(spec: Broadcast) -> BatchBpe:
+    """The encoder of this worker, built once per vocabulary."""
+    key = hash(spec.value)
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = BatchBpe(spec.value)
+    return _loaded[key]
+
+
 def _encoded(docs: DataFrame, spec: Broadcast, end_id: int, kind: type) -> DataFrame:
     """(id, lexical, ids) of every document: its least word hash, and its token ids with the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(spec)
+        bpe = _batch_bpe(spec)
         for b in batches:
             texts = byte_texts(b.column(1))
-            for lo, hi in chunks(texts):
-                h, counts = word_hashes(texts[lo:hi])
-                ends = np.cumsum(counts)
-                h = mix(h, 9)
-                keys = [int(h[e - c : e].min()) >> 1 if c else -1 for e, c in zip(ends.tolist(), counts.tolist())]
-                ids = [np.append(np.frombuffer(bpe.encode(t or ""), np.uint32), np.uint32(end_id)).astype(kind).tobytes() for t in b.column(1)[lo:hi].to_pylist()]
+            for lo, hi in chunks(texts, CHUNK_BYTES):
+                flat, counts, h, words = bpe.encode(texts[lo:hi])
+                ends, h = np.cumsum(words), mix(h, 9)
+                keys = [int(h[e - c : e].min()) >> 1 if c else -1 for e, c in zip(ends.tolist(), words.tolist())]
+                to = np.cumsum(counts)
+                ids = [np.append(flat[e - c : e], np.uint32(end_id)).astype(kind).tobytes() for e, c in zip(to.tolist(), counts.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["id", "lexical", "ids"])
 
     return docs.mapInArrow(run, "id long, lexical long, ids binary")
