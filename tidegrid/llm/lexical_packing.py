@@ -24,7 +24,7 @@ from tidegrid.llm.bpe import WordBpe, broadcast_vocabulary
 from tidegrid.llm.store import byte_texts, chunks, mix, store
 
 WINDOW = 4096
-CHUNK_BYTES = 1 << 21  # of text that is encoded at once; batching only
+CHUNK_BYTES = 1 << 20  # of text that is encoded at once; batching only
 SHARD_BYTES = 12_000_000  # of text, on average
 K1, B = 1.2, 0.75
 
@@ -38,6 +38,13 @@ class Corpus:
     df: np.ndarray
 
 
+def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ids, and how often each occurs."""
+    ids = np.sort(ids, kind="stable")  # linear for 16-bit ids
+    first = np.flatnonzero(np.append(np.ones(min(len(ids), 1), bool), ids[1:] != ids[:-1]))
+    return ids[first], np.diff(np.append(first, len(ids)))
+
+
 class Bm25:
     """Inverted index of one shard: postings of each term with their weights, by the counts of ``corpus`` or else of the shard.
 
@@ -45,21 +52,19 @@ class Bm25:
     """
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
-        terms, owners, counts = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owners.append(np.full(len(t), i, np.int32))
+        found = [distinct(ids) for ids in docs]
         self.n = len(docs)
-        length = np.array([len(d) for d in docs], np.float64)
-        self.terms = [t.astype(np.int64) for t in terms]
-        term, owner, tf = np.concatenate(terms).astype(np.int64), np.concatenate(owners), np.concatenate(counts).astype(np.float64)
+        self.terms = [t for t, _ in found]
+        term, tf = np.concatenate(self.terms), np.concatenate([c for _, c in found]).astype(np.float64)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t in self.terms])
+        del found
         here = np.bincount(term)
+        length = np.array([len(d) for d in docs], np.float64)
         corpus = corpus or Corpus(self.n, length.mean(), here)
         idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / corpus.mean))
+        weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / corpus.mean))[owner])
         order = np.argsort(term, kind="stable")
+        del term, tf
         self.ids = np.arange(self.n)  # documents that the postings are about, and owners are places in it
         self.owner, self.weight = owner[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(here)])
@@ -89,7 +94,9 @@ class Bm25:
         terms = self.terms[seed]
         row = self.row[terms]
         parts = [slice(self.at[t], self.at[t + 1]) for t in terms[row < 0].tolist()]
-        score = self.rows[row[row >= 0]].sum(0)
+        score = np.zeros(len(self.ids))
+        for r in row[row >= 0].tolist():  # one at a time, without a copy of the rows
+            score += self.rows[r]
         if parts:
             score += np.bincount(np.concatenate([self.owner[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), len(self.ids))
         ids = self.ids
@@ -200,7 +207,7 @@ def _count(encoded: DataFrame, kind: type) -> Corpus:
         df = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                terms = np.unique(np.frombuffer(x, kind))
+                terms, _ = distinct(np.frombuffer(x, kind))
                 if terms[-1] >= len(df):
                     df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
                 df[terms] += 1
