@@ -97,3 +97,20 @@ def test_empty_work_and_no_table(spark, tmp_path):
     assert M.done_keys(spark, path, KEY).count() == 0
     with pytest.raises(ValueError, match="no committed key"):
         M.read_done(spark, path, ["k"])
+
+
+def test_jobs_grow_with_success_and_shrink_after_a_break(spark, tmp_path):
+    path, sizes = str(tmp_path / "t"), []
+    rows = spark.range(600).select(F.col("id").alias("k"), F.col("id").alias("v"))
+
+    def make(keys, last=600):
+        sizes.append(keys.count())
+        return rows.join(keys, "k").withColumn("v", F.when(F.col("k") < last, F.col("v")).otherwise(F.raise_error(F.lit("stop")).cast("long")))
+
+    with pytest.raises(Exception, match="stop"):
+        M.run_missing(rows.select("k"), lambda keys: make(keys, 9), path, ["k"], at_once=2)
+    assert [k for k, _ in _read(spark, path)] == list(range(8))  # all before the two keys that break
+    assert sizes == [2, 4, 8, 2, 4, 2][: len(sizes)] and len(sizes) == 6
+    sizes.clear()
+    assert M.run_missing(rows.select("k"), make, path, ["k"], at_once=2) == 592
+    assert len(sizes) < 10 and _read(spark, path) == [(i, i) for i in range(600)]

@@ -15,7 +15,7 @@ from tidegrid.operators import select as S
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.registry import query, rnd, rounded
 from tidegrid.schema import cell_id, missing_to_null, normalize_columns
-from tidegrid.session import run_folder
+from tidegrid.session import cut_lineage, run_folder
 from tidegrid.sources import commits as M
 from tidegrid.sources import readers as R
 from tidegrid.sources import writers as W
@@ -149,12 +149,12 @@ def write_missing_only(spark, sf):
 select initialization, cast(count(*) as bigint) as n, {rnd("sum(case when initialization < 2 then value + 1 else value end)")} as total from e group by 1""",
 )
 def resume_after_failure(spark, sf):
-    """Two initializations a job; the second job breaks at its second one, and the next run completes what is not committed.
+    """Two initializations a job, more after each that succeeds; the second job breaks at its second one, and the next run completes what is not committed.
 
     The first run adds one to its values, so the sums show whose rows are there.
     """
     path = scratch(spark, "resume")
-    enc = X.encodings(spark, sf).select("initialization", "mode", "month_idx", "value")
+    enc = cut_lineage(X.encodings(spark, sf).select("initialization", "mode", "month_idx", "value"))
     work = enc.select("initialization").distinct()
 
     def breaking(keys):

@@ -2,15 +2,18 @@
 
 Rows of a job go to a staging folder first. When the job has ended, the folder of each key is moved to its place and marked with an
 empty file; only a marked key counts as done. A job that fails leaves nothing but staging, and one that dies between two
-moves leaves whole keys and at most one that lacks its mark, which the next job replaces. Names of staging and marks begin with
-an underscore, so readers pass over them.
+moves leaves whole keys and at most one for each mover that lacks its mark, which the next job replaces. Names of staging and marks
+begin with an underscore, so readers pass over them.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,12 @@ STAGING = "_staging"
 # how Spark names the folder of a missing key value (fixed value)
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
+#: Threads that move keys, and the keys that one moves in a row.
+MOVERS, IN_A_ROW = 16, 64
+
+#: Keys of a job at most.
+MOST_AT_ONCE = 4096
+
 
 class Folder:
     """A folder of a file system that Spark reaches."""
@@ -28,6 +37,7 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        self._paths = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths
         self.root = path.rstrip("/")
         self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -41,8 +51,8 @@ class Folder:
         """Folders ``k1=../k2=..`` below the root (or ``under``); with ``leaf`` only those that have such a file."""
         pattern = "/".join([p for p in (under, *[f"{k}=*" for k in by], leaf) if p])
         start = self.fs.makeQualified(self.at(under) if under else self.at()).toString()
-        found = self.fs.globStatus(self.at(pattern)) or []
-        names = [f.getPath().toString()[len(start) :].strip("/") for f in found]
+        found = self.fs.globStatus(self.at(pattern))
+        names = [f.toString()[len(start) :].strip("/") for f in self._paths(found)] if found else []
         return sorted(n.rsplit("/", 1)[0] if leaf else n for n in names)
 
     def values(self, key: str) -> list[str | None]:
@@ -53,12 +63,11 @@ class Folder:
     def mark(self, key: str) -> None:
         self.fs.create(self.at(key, MARK), True).close()
 
-    def place(self, staged: str, key: str) -> None:
-        """Move a staged key to its place; what was there without a mark, or is replaced, goes."""
-        if self.exists(key):
+    def place(self, staged: str, key: str, there: bool) -> None:
+        """Move a staged key to its place, below a folder that exists; what is there without a mark, or is replaced, goes."""
+        if there:
             self.fs.delete(self.at(key, MARK), False)  # from here on the key is not done
             self.fs.delete(self.at(key), True)
-        self.fs.mkdirs(self.at(key).getParent())
         if not self.fs.rename(self.at(staged, key), self.at(key)):
             raise OSError(f"{key} could not be moved into place")
         self.mark(key)
@@ -71,9 +80,19 @@ def write_keys(df: DataFrame, path: str, by: list[str]) -> None:
     """
     folder, staged = Folder(df.sparkSession, path), f"{STAGING}/{uuid.uuid4().hex}"
     try:
-        df.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by).parquet(folder.at(staged).toString())
-        for key in folder.keys(by, staged):
-            folder.place(staged, key)
+        # tasks move their own files into staging; a job that fails leaves some there, which go with it
+        rows = df.hint("rebalance", *[F.col(c) for c in by]).write.partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        rows.parquet(folder.at(staged).toString())
+        keys, there = folder.keys(by, staged), set(folder.keys(by))
+        for parent in {k.rpartition("/")[0] for k in keys}:
+            folder.fs.mkdirs(folder.at(parent) if parent else folder.at())
+
+        def move(some: list[str]) -> None:
+            for key in some:
+                folder.place(staged, key, key in there)
+
+        with ThreadPoolExecutor(MOVERS) as movers:
+            list(movers.map(move, [keys[i : i + IN_A_ROW] for i in range(0, len(keys), IN_A_ROW)]))
     finally:
         folder.fs.delete(folder.at(staged), True)
 
@@ -117,13 +136,23 @@ def missing_keys(work: DataFrame, path: str, by: list[str]) -> DataFrame:
 
 
 def run_missing(work: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, by: list[str], at_once: int = 1) -> int:
-    """Compute and commit the keys of ``work`` that are not done, ``at_once`` of them a job; returns how many.
+    """Compute and commit the keys of ``work`` that are not done, at first ``at_once`` of them a job; returns how many.
 
-    ``make`` gets the keys of a job and returns their rows. What earlier jobs have committed survives a failure of later ones and is not
-    computed again. The keys of a work list are a table of its own that is listed here; rows never are.
+    ``make`` gets the keys of a job and returns their rows. Each job that succeeds doubles the keys of the next, up to `MOST_AT_ONCE`, so jobs
+    don't grow in number with the keys; one that breaks is made again from ``at_once`` keys on. So what precedes the ``at_once`` keys that
+    break a run is committed, survives, and is not computed again. The keys of a work list are a table of its own that is listed here; rows never are.
     """
     todo = missing_keys(work.select(*by).distinct(), path, by).orderBy(*by).collect()
     spark, kind = work.sparkSession, T.StructType([work.schema[k] for k in by])
-    for i in range(0, len(todo), at_once):
-        write_keys(make(spark.createDataFrame(todo[i : i + at_once], kind)), path, by)
+    done, size = 0, at_once
+    while done < len(todo):
+        some = todo[done : done + size]
+        try:
+            write_keys(make(spark.createDataFrame(some, kind)), path, by)
+        except (PySparkException, Py4JJavaError):
+            if len(some) <= at_once:
+                raise
+            size = at_once
+        else:
+            done, size = done + len(some), max(at_once, min(2 * size, MOST_AT_ONCE))
     return len(todo)
