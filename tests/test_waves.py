@@ -1,11 +1,15 @@
 """Wave filters against the two-dimensional transform, on declared and found axes."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions.kernels import wave_box, wave_filter
 from tidegrid.operators import filters as B
+from tidegrid.operators.series_kernels import pack_series
+from tidegrid.plans import fixtures as X
 
 LON, TIMES = 12, 96
 
@@ -61,3 +65,25 @@ def test_gaps_empty_tables_and_times_off_the_axis(spark, slices):
     moved = df.withColumn("t", F.when((F.col("g") == 1) & (F.col("t") == 60), 61).otherwise(F.col("t")))
     out = B.wave_band(moved, ["g"], "kelvin", 4, times=B.Axis(0, 6, TIMES))
     assert np.isnan(_grid(out, 1)).all() and out.count() == 2 * LON * TIMES
+
+
+def test_zeros_of_the_fixture_are_dealt_by_series(spark, tmp_path, monkeypatch):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(u, "ab"[u % 2], start + datetime.timedelta(hours=7 * k * (u + 1) % 744)) for u in (0, 1, 151, 302) for k in range(9)] + [(None, "a", start), (5, None, None)]
+    spark.createDataFrame(rows * 2, "user_id long, event_type string, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    counts = collections.Counter((None if u is None else u // 150, e, None if u is None else u % 12, None if t is None else (t.day - 1) * 24 + t.hour) for u, e, t in rows * 2)
+    series = {k[:2] for k in counts}
+    every = {(*s, x, t): 0.0 for s in series for x in range(12) for t in range(720)} | counts
+    monkeypatch.setattr(X, "TASK_ROWS", 5_000)
+    out = X.zonal_hourly(spark, str(tmp_path))
+    got = out.collect()
+    assert len(got) == len(every) and {tuple(r)[:4]: r.value for r in got} == every
+    # series are dealt to more tasks than there are shuffle partitions, and none is exchanged again when it is packed
+    assert X.hourly_tasks(spark, str(tmp_path), 8640) == -(-len(series) * 8640 // 5_000) > 4
+    plan = pack_series(out, ["member", "mode", "lon_i"], "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    flat = collections.Counter((m, e, t) for (m, e, _, t), n in counts.items() for _ in range(n))
+    want = {(*s, t): 0.0 for s in series for t in range(720)} | flat
+    assert {tuple(r)[:3]: r.value for r in X.hourly(spark, str(tmp_path)).collect()} == want

@@ -7,6 +7,8 @@ series and the density of the grid stay the same, so work grows with the data.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,20 +133,39 @@ h as (select s.member, s.mode, cast(u.t as int) as t, cast(coalesce(h0.n, 0) as
       left join h0 on h0.member = s.member and h0.mode = s.mode and h0.t = u.t)"""
 
 
+#: Rows of a task of the hourly fixtures, zeros included, and hours of the longest month.
+TASK_ROWS, MONTH_HOURS = 1_000_000, 744
+SERIES = ["member", "mode"]
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).cast("int")
+    lon = (F.col("user_id") % N_LON).cast("int")
+    return table(spark, sf_dir, "events").select(_div("user_id", 150).alias("member"), F.col("event_type").alias("mode"), lon.alias("lon_i"), hour.alias("t"))
+
+
+def hourly_tasks(spark: SparkSession, sf_dir: str, size: int) -> int:
+    """Tasks for the hourly fixtures: as many as there are shuffle partitions, more if their rows (``size`` for a series) need them."""
+    series = _events(spark, sf_dir).select(*SERIES).distinct().count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-series * size // TASK_ROWS))
+
+
+def _zero_filled(counts: DataFrame, tasks: int, place: Column, places: Column, steps: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``counts``, unique per series and place, and a zero at each of ``places`` that a series lacks.
+
+    ``place`` numbers the steps of a series, and ``steps`` turns a number back into their columns. Few counts become many rows, so the series are dealt to
+    as many tasks as their rows need; what is absent is found within a series, so zeros are neither summed nor exchanged.
+    """
+    have = F.collect_list(F.struct(place.alias("p"), F.struct(*steps, F.col("n").cast("double").alias("value")).alias("r"))).alias("_have")
+    packed = counts.repartition(tasks, *SERIES).groupBy(*SERIES).agg(have)
+    zeros = F.transform(F.array_except(places, F.col("_have.p")), lambda p: F.struct(*[f(p).alias(c) for c, f in steps.items()], F.lit(0.0).alias("value")))
+    return packed.select(*SERIES, F.explode(F.concat(F.col("_have.r"), zeros)).alias("_r")).select(*SERIES, "_r.*")
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    counts = ev.groupBy(
-        _div("user_id", 150).alias("member"),
-        F.col("event_type").alias("mode"),
-        ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).cast("int").alias("t"),
-    ).agg(F.count("*").alias("n"))
-    # a zero for every hour of each series, added to the counts: no join is needed
-    zeros = (
-        counts.select("member", "mode")
-        .distinct()
-        .select("member", "mode", F.explode(F.sequence(F.lit(0), F.lit(SERIES_HOURS - 1))).alias("t"), F.lit(0).cast("long").alias("n"))
-    )
-    return counts.unionByName(zeros).groupBy("member", "mode", "t").agg(F.sum("n").cast("double").alias("value"))
+    counts = _events(spark, sf_dir).groupBy(*SERIES, "t").agg(F.count("*").alias("n"))
+    hours = F.sequence(F.lit(0), F.lit(SERIES_HOURS - 1))
+    return _zero_filled(counts, hourly_tasks(spark, sf_dir, SERIES_HOURS), F.col("t"), hours, {"t": lambda p: p})
 
 
 # -- Z: hourly counts on twelve longitudes, zero where nothing happened --------------------
@@ -158,21 +179,11 @@ zh as (select s.member, s.mode, x.lon_i, cast(u.t as int) as t, cast(coalesce(z0
 
 
 def zonal_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
-    keys = ["member", "mode", "lon_i", "t"]
-    counts = ev.groupBy(
-        _div("user_id", 150).alias("member"),
-        F.col("event_type").alias("mode"),
-        (F.col("user_id") % N_LON).cast("int").alias("lon_i"),
-        ((F.dayofmonth("ts") - 1) * 24 + F.hour("ts")).cast("int").alias("t"),
-    ).agg(F.count("*").alias("n"))
-    zeros = (
-        counts.select("member", "mode")
-        .distinct()
-        .select("member", "mode", F.explode(F.sequence(F.lit(0), F.lit(N_LON - 1))).alias("lon_i"))
-        .select("member", "mode", "lon_i", F.explode(F.sequence(F.lit(0), F.lit(SERIES_HOURS - 1))).alias("t"), F.lit(0).cast("long").alias("n"))
-    )
-    return counts.unionByName(zeros).groupBy(*keys).agg(F.sum("n").cast("double").alias("value"))
+    counts = _events(spark, sf_dir).groupBy(*SERIES, "lon_i", "t").agg(F.count("*").alias("n"))
+    # hours of a 31st, which lie beyond the axis, have numbers of their own
+    places = F.filter(F.sequence(F.lit(0), F.lit(N_LON * MONTH_HOURS - 1)), lambda p: p % MONTH_HOURS < SERIES_HOURS)
+    steps = {"lon_i": lambda p: F.floor(p / MONTH_HOURS).cast("int"), "t": lambda p: p % MONTH_HOURS}
+    return _zero_filled(counts, hourly_tasks(spark, sf_dir, N_LON * SERIES_HOURS), F.col("lon_i") * MONTH_HOURS + F.col("t"), places, steps)
 
 
 # -- M: basin mask; L: closed-form loadings; W: bilinear weights ---------------------------

@@ -13,7 +13,7 @@ from tidegrid.operators import spectrum as P
 from tidegrid.operators.gram import correlation_table
 from tidegrid.plans import fixtures as X
 from tidegrid.plans.registry import query, rnd, rounded
-from tidegrid.session import cut_lineage
+from tidegrid.sources.layout import store_by_cell
 
 EVENTS = ["click", "error", "purchase", "signup", "view"]
 SERIES = ["member", "mode"]
@@ -357,7 +357,7 @@ select wave, member, mode, {rnd("coalesce(variance, 0.0)")} as variance, cast(86
 )
 def wave_presets(spark, sf):
     """Variance that each wave keeps within its box and its dispersion curve."""
-    out, zonal = None, cut_lineage(X.zonal_hourly(spark, sf))
+    out, zonal = None, store_by_cell(X.zonal_hourly(spark, sf), SERIES, "t", X.hourly_tasks(spark, sf, X.N_LON * X.SERIES_HOURS))
     for name, (wave, box) in LANES.items():
         part = B.wave_band(zonal, SERIES, wave, obs_per_day=24, dispersion=True, box=box)
         part = part.groupBy(*SERIES).agg(rounded(F.var_pop("value")).alias("variance"), F.count("value").alias("n")).withColumn("wave", F.lit(name))
