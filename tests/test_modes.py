@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_fields import MONTHS, START, make_field
@@ -132,3 +133,31 @@ def test_wave_band_equals_the_two_dimensional_transform(spark):
         for i in (0, 1):
             grid = got[got.lat_i == i].pivot(index="lon_i", columns="t", values="value").to_numpy()
             assert grid == pytest.approx(wave_filter(x[i], 4, wave, smooth, curves), abs=1e-10)
+
+
+def test_sums_of_many_groups_in_one_batch_are_handed_on_early(spark, monkeypatch):
+    monkeypatch.setattr(G, "FLUSH_BYTES", 10_000)
+    x = np.random.default_rng(4).normal(size=(60, 20))
+    rows = [(i % 30, [float(v) for v in r]) for i, r in enumerate(x)]
+    make = {}
+
+    class Parts:
+        schema = spark.createDataFrame([], "g int, vec array<double>").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, fn, _):
+            make["partial"] = fn
+            raise StopIteration
+
+    with pytest.raises(StopIteration):
+        G.gram_matrix(Parts(), "vec", ["g"])
+    made = make["partial"](iter([pd.DataFrame(rows, columns=["g", "vec"])]))
+    first = next(made)
+    assert made.gi_frame.f_locals["held"] <= 4 * 21 * 21 * 8 and len(first) == 21  # a few groups, not all thirty
+    assert len(list(made)) == 29
+    df = spark.createDataFrame(rows, "g int, vec array<double>").coalesce(1)
+    for r in G.gram_matrix(df, "vec", ["g"]).collect():
+        v = np.hstack([x[r.g :: 30], np.ones((2, 1))])
+        assert np.array(r.gram).reshape(21, 21) == pytest.approx(v.T @ v)

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from tidegrid.operators.series_kernels import heavy
 
 
-FLUSH_BYTES = 256 * 1024 * 1024
+#: Sums that a task holds at most, unless those of one group are larger.
+FLUSH_BYTES = 64 * 1024 * 1024
 
 
 def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> DataFrame:
@@ -32,6 +33,7 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
 
     def partial(batches):
         total: dict[tuple, np.ndarray] = {}
+        held = 0
         for pdf in batches:
             groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
             for key, part in groups:
@@ -42,11 +44,14 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
                 block = block[np.isfinite(block).all(axis=1)]
                 key = key if isinstance(key, tuple) else (key,)
                 g = block.T @ block
-                total[key] = total[key] + g if key in total else g
-            if sum(g.nbytes for g in total.values()) > FLUSH_BYTES:
-                # many groups in one partition: hand the sums on early instead of holding them all
-                yield from (frame(key, np.arange(len(g)), list(g)) for key, g in total.items())
-                total = {}
+                if key in total:
+                    total[key] += g
+                else:
+                    total[key], held = g, held + g.nbytes
+                if held > FLUSH_BYTES:
+                    # many groups, often in one batch: hand the sums on early instead of holding them all
+                    yield from (frame(key, np.arange(len(g)), list(g)) for key, g in total.items())
+                    total, held = {}, 0
         yield from (frame(key, np.arange(len(g)), list(g)) for key, g in total.items())
 
     def frame(key: tuple, i, rows: list) -> pd.DataFrame:
@@ -67,7 +72,7 @@ def gram_matrix(df: DataFrame, vector: str, by: list[str] | None = None) -> Data
                 if last is not None:
                     done.append((last, total))
                 last, total = at, row
-            if sum(row.nbytes for _, row in done) > FLUSH_BYTES // 16:
+            if sum(row.nbytes for _, row in done) > FLUSH_BYTES // 4:
                 yield table(done)
                 done = []
         if last is not None:
