@@ -239,3 +239,24 @@ def test_plateau_and_best_step(spark):
     got = {r.fit: r for r in Q.plateau_test(m.filter("fit = 1 or epoch < 29"), ["fit"], 6).collect()}
     assert got[1].slope == pytest.approx(-1) and got[1].p_value < 1e-6
     assert {r.fit: r.epoch for r in Q.best_step(m, ["fit"]).collect()} == {1: 29, 2: 0}
+
+
+def test_bootstrap_by_join_against_rows_of_draws(spark):
+    from tidegrid.operators import composite as P
+
+    draw = np.random.default_rng(5)
+    rows = [(c, 100 + t, float(draw.normal()) if draw.random() > 0.2 else None) for c in range(3) for t in range(15) if (c, t) != (1, 4)] + [(2, 103, 9.0), (3, 101, None), (None, 105, 1.0)]
+    field = spark.createDataFrame(rows, "cell int, month_idx int, value double")
+    draws = P.draw_table(spark.createDataFrame([("a", 2), ("b", 5)], "panel string, n int"), 7, F.lit(15))
+    out = P.bootstrap_by_join(field, draws, ["cell"], 0.1)
+    want = {}
+    for p, d in {(r.panel, r.draw) for r in draws.collect()}:
+        mult = {r.pos: r.mult for r in draws.collect() if (r.panel, r.draw) == (p, d)}
+        for c in (0, 1, 2, 3, None):
+            hit = [(v, mult[t - 100]) for k, t, v in rows if k == c and v is not None and t - 100 in mult]
+            if hit:
+                want.setdefault((p, c), []).append(sum(v * m for v, m in hit) / sum(m for _, m in hit))
+    got = {(r.panel, r.cell): (r.lower, r.upper) for r in out.collect()}
+    assert got.keys() == want.keys()
+    for k, means in want.items():
+        assert got[k] == pytest.approx((np.quantile(means, 0.1), np.quantile(means, 0.9)))

@@ -24,6 +24,13 @@ def bounded_quantile(value: str | Column, p: float) -> Column:
     return F.percentile(value, F.lit(float(p)))
 
 
+def array_quantile(values: str, p: float) -> Column:
+    """The same of a sorted array without NULL that is not empty."""
+    at = (F.size(values) - 1) * F.lit(float(p))
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 def sorted_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """Rows ``(*keys, prob, quantile)`` for groups that may hold any share of the table.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegrid.functions.kernels import DRAW_PRIME, DRAW_STEP, ITEM_STEP, MIX_A, MIX_B, draw_counts
-from tidegrid.functions.quantiles import bounded_quantile
+from tidegrid.functions.quantiles import array_quantile, bounded_quantile
 from tidegrid.functions.sizing import calendar_side, constant_side
 from tidegrid.operators.series_kernels import BLOCK_VALUES, heavy, pack_series
 
@@ -206,16 +206,31 @@ def draw_table(sizes: DataFrame, n_draws: int, n_times: Column, seed: int = 0) -
 
 
 def bootstrap_by_join(field: DataFrame, draws: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """Draw means as a join; rows grow with draws, so this is for index-sized inputs."""
-    axis = field.select("month_idx").distinct()
-    pos = axis.select("month_idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month_idx")) - 1).alias("pos"))
-    hit = field.join(calendar_side(pos), "month_idx").join(draws, "pos")
-    means = hit.filter(F.col("value").isNotNull()).groupBy("panel", "draw", *keys).agg(
-        (F.sum(F.col("value") * F.col("mult")) / F.sum("mult")).alias("m")
-    )
-    return means.groupBy("panel", *keys).agg(bounded_quantile("m", alpha).alias("lower"), bounded_quantile("m", 1 - alpha).alias("upper"))
-
+    """Draw means as a join of cells and panels.
 
+    A cell is one row, with sums and counts by place on the time axis, and meets one row per panel with all its draws. So draws are
+    neither exchanged nor grouped, and rows don't grow with them.
+    """
+    axis = calendar_side(field.select("month_idx").distinct().select("month_idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month_idx")) - 1).alias("pos")))
+    known = field.filter(F.col("value").isNotNull()).join(axis, "month_idx").groupBy(*keys, "pos").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
+    cells = known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("s", "c")))).alias("_m"))
+    cells = cells.withColumn("_at", F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))), lambda p: F.element_at("_m", p)))
+    drawn = draws.groupBy("panel", "draw").agg(F.sort_array(F.collect_list(F.struct("pos", "mult"))).alias("d"))
+    panels = drawn.groupBy("panel").agg(F.collect_list("d").alias("draws")).agg(F.collect_list(F.struct("panel", "draws")).alias("p"))
+
+    def mean(draw: Column) -> Column:
+        def add(total: Column, x: Column) -> Column:
+            at = F.get("_at", x["pos"])
+            return F.struct(
+                (total["s"] + F.coalesce(at["s"] * x["mult"], F.lit(0.0))).alias("s"), (total["c"] + F.coalesce(at["c"] * x["mult"], F.lit(0).cast("long"))).alias("c")
+            )
+
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"))
+        return F.aggregate(draw, start, add, lambda t: F.when(t["c"] > 0, t["s"] / t["c"]))
+
+    rows = cells.withColumn("_p", panels.scalar()).select(*keys, "_at", F.explode("_p").alias("_p"))
+    rows = rows.select(F.col("_p.panel").alias("panel"), *keys, F.sort_array(F.filter(F.transform("_p.draws", mean), lambda m: m.isNotNull())).alias("_m"))
+    return rows.filter(F.size("_m") > 0).select("panel", *keys, array_quantile("_m", alpha).alias("lower"), array_quantile("_m", 1 - alpha).alias("upper"))
 def responses(comp: DataFrame, keys: list[str], phase: str = "phase", half: bool = False) -> DataFrame:
     """Linear (positive minus negative) and nonlinear (sum) response of paired composites."""
     def pick(side, column):
