@@ -135,3 +135,24 @@ def test_features_of_obfuscated_and_empty_words():
     x = toxicity.features_of([b"", b"you idiot"], words)
     assert x.shape == (2, toxicity.FEATURES) and x[1, 1] == 0.5 and math.isfinite(x.sum())
     assert ranking.features_of([b""]).shape == (1, 2 * ranking.RATES)
+
+
+def test_quality_learns_from_every_labelled_document(spark, monkeypatch):
+    docs, labels = _corpus(many=400)
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole, blocks = (fit_quality(docs, labels, F.lit(True), rows=n) for n in (1000, 70))
+    x = ranking.features_of([r.text.encode() for r in docs.collect()])
+    for model in (whole, blocks):  # statistics are those of all rows, whatever the size of a block
+        assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(np.maximum(x.std(0), 1e-6))
+        good = np.array([r.quality for r in labels.orderBy("doc_id").collect()], bool)
+        ranks = np.sort(model.raw(x))
+        assert model.cut == pytest.approx((ranks[(~good).sum() - 1] + ranks[(~good).sum()]) / 2)
+        assert np.mean((model.score(x) >= 0.7) == good) > 0.95
+
+
+def test_blocks_get_some_of_the_rarer_kind(spark):
+    docs, labels = _corpus(many=400)
+    labels = [(i, int(i not in (2, 6)), t) for i, _, t in labels]
+    model = fit_quality(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True), rows=50)
+    z = model.raw(ranking.features_of([t.encode() for _, t in docs]))
+    assert max(z[2], z[6]) < np.median(z) and model.constant is None
