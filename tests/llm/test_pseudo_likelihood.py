@@ -113,6 +113,49 @@ def test_words_that_share_a_type_have_their_own_probability(docs):
     assert a > b + 0.5
 
 
+def test_a_step_moves_every_row_that_the_places_around_a_token_use():
+    r = np.random.default_rng(3)
+    net, plain = P.new_window(np.ones(P.TYPES)), P.new_window(np.ones(P.TYPES))
+    ids = r.integers(0, 12, 90)  # rows are used many times in one step
+    at = np.arange(P.SIDE, 90 - P.SIDE)
+    P.Trainer(net).step(ids, at)
+    h = np.tanh(sum(plain.embed[p][ids[at + off]] for p, off in enumerate(P.OFFSETS)))
+    z = np.exp(h @ plain.out + plain.bias)
+    z /= z.sum(1, keepdims=True)
+    z[np.arange(len(at)), ids[at]] -= 1
+    g, back = np.zeros_like(plain.embed), z @ plain.out.T * (1 - h * h) / len(at)
+    for i in range(len(at)):
+        for p, off in enumerate(P.OFFSETS):
+            g[p, ids[at[i] + off]] += back[i]
+    assert net.embed == pytest.approx(plain.embed - P.STEP * g / np.sqrt(1e-4 + g * g), abs=1e-5)
+
+
+def test_only_rare_words_are_joined(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "KNOWN", 2)
+    monkeypatch.setattr(P, "OFTEN", 40)
+    vocabulary, frequency = P.count_words(docs)
+    n = Counter(x for r in docs.collect() for x in P.word_hashes([(r.text or "").encode()])[0].tolist())
+    often = dict(zip(vocabulary.often.tolist(), vocabulary.often_n.tolist()))
+    assert 0 < len(often) <= 40 and often == {w: n[w] for w in often}
+    assert min(often.values()) >= max(c for w, c in n.items() if w not in often)
+    net = P.new_window(frequency)
+    alone = P.Vocabulary(vocabulary.words, vocabulary.types, vocabulary.counts)
+
+    def scores(v):
+        return sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.log_likelihood, 4)) for r in P.token_likelihood(docs, net, v, frequency).collect())
+
+    for a, b in zip(scores(vocabulary), scores(alone), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3)
+    # with a table that has no words, the frequent ones keep their counts
+    spark.createDataFrame([], "word long, n long").write.parquet(f"{tmp_path}/none")
+    few = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    h = P.word_hashes([b"x"])[0]
+    kept = P.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), f"{tmp_path}/none", h, np.array([1000]))
+    lost = P.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), f"{tmp_path}/none")
+    a, b = (P.token_likelihood(few, net, v, frequency).first().log_likelihood for v in (kept, lost))
+    assert a - b == pytest.approx(math.log(1000))
+
+
 def test_no_documents(docs):
     none = docs.filter("false")
     vocabulary, frequency = P.count_words(none)

@@ -5,13 +5,13 @@ masked token has its own embedding table; their sum goes through tanh to a softm
 round every task improves the network on its part of a share of the documents, and Spark averages the parameters by the
 number of tokens. The shares of all rounds are the whole corpus. What reaches the driver is one network, whatever the size of the corpus. A document's score is the sum of
 the log probabilities of its tokens: of the type by the network and, where words share a type, of the word among those of its type by their counts, which
-stay in a table that grows with the corpus.
+stay in a table that grows with the corpus. The counts of frequent words, a bounded number, go to every task; only rarer words are joined with the table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,13 @@ PAD = TYPES  # beyond the ends of a document
 SIDE = 3  # tokens on each side
 WIDTH = 16
 OFFSETS = (*range(-SIDE, 0), *range(1, SIDE + 1))
+_AROUND = np.array(OFFSETS)
+_PLACES = np.arange(len(OFFSETS)) * (TYPES + 1)  # first row of each place in the embedding tables, one below the other
 ROUNDS = SHARE = 4  # a round trains on one of so many documents, and each document is in one round
 BATCH = 256
 STEP = 0.08
+BLOCK = 1024  # tokens that are scored at once, so that their scores of all types stay in a cache
+OFTEN = 1 << 16  # words, at most, whose counts every task has
 
 
 @dataclass
@@ -49,24 +53,29 @@ class Window:
         flat = flat.astype(np.float32)
         return cls(flat[:a].reshape(len(OFFSETS), TYPES + 1, WIDTH).copy(), flat[a : a + b].reshape(WIDTH, TYPES).copy(), flat[a + b :].copy())
 
-    def hidden(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = self.embed[0][ids[at + OFFSETS[0]]]
-        for table, off in zip(self.embed[1:], OFFSETS[1:]):
-            total = total + table[ids[at + off]]
-        return np.tanh(total)
+    def rows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows of the embedding tables, one below the other, for the places around each of ``at``."""
+        return ids.take(at[:, None] + _AROUND) + _PLACES
+
+    def hidden(self, rows: np.ndarray) -> np.ndarray:
+        tables = self.embed.reshape(-1, WIDTH)
+        total = tables.take(rows[:, 0], axis=0)
+        for place in range(1, rows.shape[1]):
+            total += tables.take(rows[:, place], axis=0)
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the tokens at the places ``at`` of the padded sequence ``ids``."""
         found = np.empty(len(at), np.float32)
-        for lo in range(0, len(at), 2048):
-            p = at[lo : lo + 2048]
-            z = self.hidden(ids, p) @ self.out
+        for lo in range(0, len(at), BLOCK):
+            p = at[lo : lo + BLOCK]
+            z = self.hidden(self.rows(ids, p)) @ self.out
             z += self.bias
             own = z[np.arange(len(p)), ids[p]]
             top = z.max(1)
             z -= top[:, None]
             np.exp(z, out=z)
-            found[lo : lo + 2048] = own - top - np.log(z.sum(1))
+            found[lo : lo + BLOCK] = own - top - np.log(z.sum(1))
         return found
 
 
@@ -86,20 +95,24 @@ class Trainer:
 
     def step(self, ids: np.ndarray, at: np.ndarray) -> None:
         net = self.net
-        h = net.hidden(ids, at)
-        z = h @ net.out + net.bias
+        rows = net.rows(ids, at)
+        h = net.hidden(rows)
+        z = h @ net.out
+        z += net.bias
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         z[np.arange(len(at)), ids[at]] -= 1
-        z /= len(at)
-        grads = [np.zeros_like(net.embed), h.T @ z, z.sum(0)]
-        back = (z @ net.out.T) * (1 - h * h)
-        for place, off in enumerate(OFFSETS):
-            np.add.at(grads[0][place], ids[at + off], back)
+        grads = [np.zeros_like(net.embed), h.T @ z / len(at), z.sum(0) / len(at)]
+        back = (z @ net.out.T) * (1 - h * h) / len(at)
+        # numpy adds up by single numbers several times faster than by rows, in the same order
+        cells = np.add.outer(rows * WIDTH, np.arange(WIDTH))
+        np.add.at(grads[0].reshape(-1), cells.ravel(), np.repeat(back[:, None], len(OFFSETS), axis=1).ravel())
         for x, g, s in zip((net.embed, net.out, net.bias), grads, self.seen):
             s += g * g
-            x -= STEP * g / np.sqrt(s)
+            g *= STEP
+            g /= np.sqrt(s)
+            x -= g
 
 
 @dataclass
@@ -107,6 +120,8 @@ class Vocabulary:
     words: np.ndarray  # sorted hashes of the known words
     types: np.ndarray  # their types
     counts: str = ""  # path of the table of all words and how often each occurs
+    often: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of frequent words
+    often_n: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # how often each of them occurs
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         hashed = (KNOWN + h % np.uint64(HASHED)).astype(np.int64)
@@ -118,10 +133,39 @@ class Vocabulary:
     def padded(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Types of all words, with padding around each text; the places of the words; the number of words of each text."""
         h, counts = word_hashes(texts)
-        at = np.arange(len(h)) + SIDE * (np.repeat(np.arange(len(counts)), counts) + 1)
-        ids = np.full(len(h) + SIDE * (len(counts) + 1), PAD)
-        ids[at] = self.ids(h)
-        return ids, at, counts
+        return *_padded(self.ids(h), counts), counts
+
+    def log_counts(self, h: np.ndarray) -> np.ndarray:
+        """Log of how often each word occurs, NaN for words that are not among the frequent ones."""
+        if not len(self.often):
+            return np.full(len(h), np.nan)
+        at = np.minimum(np.searchsorted(self.often, h), len(self.often) - 1)
+        return np.where(self.often[at] == h, np.log(self.often_n)[at], np.nan)
+
+
+def _padded(types: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Types of consecutive texts of ``counts`` words with padding around each text, and the places of the words."""
+    at = np.arange(len(types)) + SIDE * (np.repeat(np.arange(len(counts)), counts) + 1)
+    ids = np.full(len(types) + SIDE * (len(counts) + 1), PAD)
+    ids[at] = types
+    return ids, at
+
+
+def _frequent(sums: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most ``OFTEN`` words, none rarer than any other word, and how often each occurs.
+
+    Words are told apart by eighths of powers of two of their counts, so that neither a sort nor one task has to see them all.
+    """
+    level = F.floor(8 * F.log2("n")).cast("int")
+    sizes = sums.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    many = np.cumsum([r.words for r in sizes])
+    if not len(many) or many[0] > OFTEN:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    least = sizes[int(np.searchsorted(many, OFTEN, "right")) - 1].level
+    rows = sums.filter(level >= least).toArrow()
+    words, n = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order]
 
 
 def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
@@ -142,7 +186,7 @@ def count_words(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.nda
     for r in rest.groupBy(kind.alias("kind")).agg(F.sum("n").alias("n")).collect():
         frequency[r.kind] = r.n
     order = np.argsort(words)
-    return Vocabulary(words[order], order.astype(np.int64), path), frequency
+    return Vocabulary(words[order], order.astype(np.int64), path, *_frequent(sums)), frequency
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, frequency: np.ndarray, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> Window:
@@ -212,15 +256,18 @@ def token_likelihood(docs: DataFrame, net: Window, vocabulary: Vocabulary, frequ
             keys, texts = b.column(0), byte_texts(b.column(1))
             for lo, hi in chunks(texts):
                 h, counts = word_hashes(texts[lo:hi])
-                ids, at, _ = vocabulary.padded(texts[lo:hi])
+                types = vocabulary.ids(h)
+                ids, at = _padded(types, counts)
                 own, n = np.repeat(np.arange(hi - lo), counts), hi - lo
                 sums = np.bincount(own, net.log_probabilities(ids, at), n)
-                shared = ids[at] >= KNOWN
-                sums -= np.bincount(own[shared], np.log(frequency[ids[at][shared]] + 1), n)
+                shared = np.flatnonzero(types >= KNOWN)
+                logs = vocabulary.log_counts(h[shared])
+                sums += np.bincount(own[shared], np.where(np.isnan(logs), 0.0, logs) - np.log(frequency + 1)[types[shared]], n)
+                shared = shared[np.isnan(logs)]
                 rows = row + np.arange(n)
-                # one row for each shared word, and one for the document, whose word is in no table
+                # one row for each rare word, and one for the document, whose word is in no table
                 word = np.concatenate([mix(rows.astype(np.uint64), 3), h[shared]]).view(np.int64)
-                many = int(shared.sum())
+                many = len(shared)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([rows, rows[own[shared]]])),
