@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators import anomaly as A
 from tidegrid.operators.regression import ols, residuals
 from tidegrid.plans.queries_layout import chain
-from tidegrid.sources.layout import store_by_cell
+from tidegrid.sources.layout import buckets_for, store_by_cell
 
 MONTHS = 120
 
@@ -58,6 +58,22 @@ def test_a_chain_on_a_stored_field_exchanges_nothing(spark, cells):
     assert done.rdd.getNumPartitions() == 6
 
 
+def test_a_table_derived_from_a_stored_one_is_written_bucket_by_bucket(spark, cells):
+    field, _ = _frames(spark, cells)
+    first = store_by_cell(field, A.CELL, buckets=4)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        second = store_by_cell(first.withColumn("value", F.col("value") * 2), A.CELL, buckets=4)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert len(second.inputFiles()) <= 4
+    assert second.count() == field.count()
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
+    assert buckets_for(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert buckets_for(spark, 10**9 + 1) == 1001
+
+
 def test_layout_of_an_empty_table(spark, cells):
     field, p = _frames(spark, cells)
     layout = store_by_cell(field.filter("false"), A.CELL, buckets=3)

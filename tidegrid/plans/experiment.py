@@ -23,7 +23,7 @@ from tidegrid.operators.spectrum import order_by_period, power_spectrum, spectra
 from tidegrid.schema import mode_labels
 from tidegrid.session import cut_lineage
 from tidegrid.sources import commits
-from tidegrid.sources.layout import store_by_cell
+from tidegrid.sources.layout import buckets_for, store_by_cell
 
 
 def _split_trends(months: DataFrame, n_folds: int, deg: int) -> tuple[float, float, np.ndarray]:
@@ -172,12 +172,16 @@ def run_fits(
     kind = F.when(F.col("fold").isNull(), "test").when(F.col("split") == F.col("fold"), "val").otherwise("train")
     wanted = checked_side(fits.select(*FIT).distinct())
     by_split = split.select(*cell, "month_idx", "fold", F.posexplode("values").alias("split", "value"))
+    rows_of_a_fit = split.count()
     data = by_split.join(wanted, "split").select(*FIT, kind.alias("kind"), F.lit(-1).alias("_member"), *cell, "month_idx", "value")
     if members is not None:
-        others = cut_lineage(member_anomalies(members, cell)).withColumn("_fits", wanted.agg(F.collect_list(F.struct(*FIT)).alias("f")).scalar())
+        others = cut_lineage(member_anomalies(members, cell))
+        rows_of_a_fit += others.count()
+        others = others.withColumn("_fits", wanted.agg(F.collect_list(F.struct(*FIT)).alias("f")).scalar())
         others = others.select("*", F.explode("_fits").alias("_f")).select("_f.*", F.lit("member").alias("kind"), F.col("member").alias("_member"), *cell, "month_idx", "value")
         data = data.unionByName(others)
-    data = store_by_cell(data, [*FIT, *cell])
+    buckets = buckets_for(field.sparkSession, rows_of_a_fit * wanted.count())
+    data = store_by_cell(data, [*FIT, *cell], buckets=buckets)
     labels = mode_labels(k)
     in_box = checked_side(coordinate_box(nodes, **sign_box))
     encodings = decodings = None
@@ -188,7 +192,7 @@ def run_fits(
         learned = series.filter(F.col("kind").isin("train", "val")).select(*FIT, "mode", "month_idx", "value")
         peaks = spectral_summary(power_spectrum(learned, [*FIT, "mode"], smooth=smooth), [*FIT, "mode"])
         order = checked_side(order_by_period(peaks, FIT, labels).select(*FIT, "mode", "label"))
-        decoded = store_by_cell(pcs.reconstruct(data, series, keys, parts=True), [*FIT, *cell])
+        decoded = store_by_cell(pcs.reconstruct(data, series, keys, parts=True), [*FIT, *cell], buckets=buckets)
         inside = decoded.filter(F.col("kind").isin("train", "val")).join(in_box, [c for c in cell if c in nodes.columns])
         reference = box_mean(inside.withColumn("value", F.col("decoded")), [*FIT, "month_idx"])
         signed = apply_signs(series, sign_table(learned, reference, FIT), FIT)

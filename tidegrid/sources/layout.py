@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.session import run_folder
 
+#: Rows of a bucket on average, of tables whose size is known.
+BUCKET_ROWS = 1_000_000
+
 
 def store_by_cell(df: DataFrame, keys: list[str], t: str = "month_idx", buckets: int | None = None) -> DataFrame:
     """Write ``df`` bucketed by ``keys``, sorted by time within a cell, and read it back.
@@ -24,16 +27,30 @@ def store_by_cell(df: DataFrame, keys: list[str], t: str = "month_idx", buckets:
     One task writes one bucket, so ``buckets`` (by default the number of shuffle partitions) decides the size of a task in all that
     follows: choose it so that a bucket fits in a task, a few hundred megabytes each. Tables that are joined with each other by
     cell need the same number. The table lives in the run folder and ends with the application.
+
+    A table that is derived row by row from one stored alike is written without an exchange. Spark would then read the first by file size, though, and
+    each task would sort and write rows of all buckets; so the tasks are held to the buckets.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tidegrid_{uuid.uuid4().hex}"
     dealt = df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*dict.fromkeys([*keys, t]))
-    dealt.option("path", f"{run_folder(spark)}/{name}").saveAsTable(name)
+    held = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(held)
+    spark.conf.set(held, "false")
+    try:
+        dealt.option("path", f"{run_folder(spark)}/{name}").saveAsTable(name)
+    finally:
+        spark.conf.set(held, before)
     atexit.register(_drop, spark, name)
     return spark.table(name)
 
 
+def buckets_for(spark: SparkSession, rows: int) -> int:
+    """As many buckets as there are shuffle partitions, more if ``rows`` need them."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET_ROWS))
+
+
 def _drop(spark: SparkSession, name: str) -> None:
     with contextlib.suppress(Py4JError, OSError, PySparkException, AttributeError):  # the session may be gone, and the catalog with it
         spark.sql(f"drop table if exists {name}")
