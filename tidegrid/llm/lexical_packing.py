@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.batch_bpe import BatchBpe
 from tidegrid.llm.bpe import WordBpe, broadcast_vocabulary
-from tidegrid.llm.store import byte_texts, chunks, mix, store
+from tidegrid.llm.store import byte_texts, chunks, mix, rows_per_batch, store
 
 WINDOW = 4096
 CHUNK_BYTES = 1 << 20  # of text that is encoded at once; batching only
+BATCH_ROWS = 1000  # whole texts that a worker gets at once; batching only
 SHARD_BYTES = 12_000_000  # of text, on average
 K1, B = 1.2, 0.75
 
@@ -234,7 +235,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, key:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
 
-    encoded, _ = store(_encoded(docs, spec, end_id, kind), "encoded")
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        encoded, _ = store(_encoded(docs, spec, end_id, kind), "encoded")
     corpus = docs.sparkSession.sparkContext.broadcast(_count(encoded, kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
