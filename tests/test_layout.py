@@ -61,13 +61,17 @@ def test_a_chain_on_a_stored_field_exchanges_nothing(spark, cells):
 def test_a_table_derived_from_a_stored_one_is_written_bucket_by_bucket(spark, cells):
     field, _ = _frames(spark, cells)
     first = store_by_cell(field, A.CELL, buckets=4)
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    # small files would be read together by one task
+    openings = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
     try:
         second = store_by_cell(first.withColumn("value", F.col("value") * 2), A.CELL, buckets=4)
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-    assert len(second.inputFiles()) <= 4
+        spark.conf.set("spark.sql.files.openCostInBytes", openings[0])
+        spark.conf.unset("spark.sql.files.minPartitionNum") if openings[1] is None else spark.conf.set("spark.sql.files.minPartitionNum", openings[1])
+    tasks = [re.search(r"/part-(\d+)-", f)[1] for f in second.inputFiles()]
+    assert len(tasks) == len(set(tasks)) == 4
     assert second.count() == field.count()
     assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
     assert buckets_for(spark, 0) == int(spark.conf.get("spark.sql.shuffle.partitions"))

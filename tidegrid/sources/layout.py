@@ -29,7 +29,7 @@ def store_by_cell(df: DataFrame, keys: list[str], t: str = "month_idx", buckets:
     cell need the same number. The table lives in the run folder and ends with the application.
 
     A table that is derived row by row from one stored alike is written without an exchange. Spark would then read the first by file size, though, and
-    each task would sort and write rows of all buckets; so the tasks are held to the buckets.
+    a task would sort and write rows of several buckets; so the tasks are held to the buckets.
     """
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
