@@ -63,7 +63,7 @@ class BatchBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of runs, and their numbers
         self.pool = np.zeros(0, np.uint32)
         self.at, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
 
@@ -133,24 +133,26 @@ class BatchBpe:
         ids = ragged(flat, (np.cumsum(counts) - counts)[code], counts[code])
         return ids, np.diff(np.cumsum(counts[code])[code == 0], prepend=0)
 
-    def _remember(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Numbers of new entries."""
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Numbers of new entries; none of the keys is known."""
         first = len(self.at)
         self.at = np.append(self.at, len(self.pool) + np.cumsum(counts) - counts)
         self.size, self.met = np.append(self.size, counts), np.append(self.met, np.zeros(len(counts), np.int64))
         self.pool = np.append(self.pool, ids)
-        self.known.update(zip(keys, range(first, first + len(keys))))
+        order = np.argsort(keys)
+        place = np.searchsorted(self.known, keys[order])
+        self.known, self.number = np.insert(self.known, place, keys[order]), np.insert(self.number, place, first + order)
         return np.arange(first, first + len(counts))
 
     def _trim(self) -> None:
         if len(self.known) < MEMO:
             return
-        keys, numbers = np.array(list(self.known), np.uint64), np.array(list(self.known.values()), np.int64)
+        keys, numbers = self.known, self.number
         often = self.met[numbers] > 1
         at, size, pool = self.at[numbers[often]], self.size[numbers[often]], self.pool
         self._forget()
         if 2 * len(at) < MEMO:
-            self._remember(keys[often].tolist(), ragged(pool, at, size), size)
+            self._remember(keys[often], ragged(pool, at, size), size)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts and their number by text; the lower-case hash of every run, and the number of runs by text."""
@@ -166,9 +168,11 @@ class BatchBpe:
         number = np.zeros(len(starts), np.int64)
         kept = np.flatnonzero(~alone)
         keys, first, place, met = np.unique(hashes[kept], return_index=True, return_inverse=True, return_counts=True)
-        names = keys.tolist()
-        known = self.known
-        found = np.array([known.get(x, -1) for x in names], np.int64)
+        found = np.full(len(keys), -1)
+        if len(self.known):
+            near = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            there = self.known[near] == keys
+            found[there] = self.number[near[there]]
         new = np.flatnonzero(found < 0)
 
         def strings(which: np.ndarray) -> list[str]:
@@ -179,7 +183,7 @@ class BatchBpe:
             plain = np.array([s.isascii() for s in texts_])
             new = np.append(new[plain], new[~plain])
             parts = [s for s in texts_ if s.isascii()], [s for s in texts_ if not s.isascii()]
-            found[new] = self._remember([names[i] for i in new.tolist()], *self._encode_runs(*parts))
+            found[new] = self._remember(keys[new], *self._encode_runs(*parts))
         self.met[found] += met
         number[kept] = found[place]
         pool, at, size = self.pool, self.at, self.size

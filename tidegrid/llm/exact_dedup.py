@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidegrid.llm.store import byte_texts, free_name, release, split_join, store, with_text_column
+from tidegrid.llm.store import byte_texts, free_name, frugal, release, split_join, store, with_text_column
 
 BLOCK = 2048
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,6 +28,7 @@ def _sha(texts: list[bytes]) -> list[bytes]:
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
     """(id, sha, blocks, pos, content) of each block; an empty text has one empty block."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])

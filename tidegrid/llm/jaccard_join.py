@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.components import components
 from tidegrid.llm.shingles import fingerprints, shingle_sets
-from tidegrid.llm.store import byte_texts, list_column, mix, release, rows_per_batch, split_join, store
+from tidegrid.llm.store import byte_texts, frugal, list_column, mix, release, rows_per_batch, split_join, store
 
 ORDERS = 3  # global token orders of the prefix filter
 STARS = 3  # hash orders under which leaders are compared
@@ -56,11 +56,13 @@ def _sets_of(docs: DataFrame, key: str, text: str, width: int, share: float) ->
     """(id, fp, n, h) of every row, h a hash of its text, or with ``share`` the tokens below that share of the hash range: (token, fp)."""
     top = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
 
+    @frugal
     def per_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, sizes = shingle_sets(byte_texts(b.column(1)), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(flat, sizes).view(np.int64)), pa.array(sizes), b.column(2)], ["id", "fp", "n", "h"])
 
+    @frugal
     def per_token(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, sizes = shingle_sets(byte_texts(b.column(0)), width)
@@ -73,6 +75,7 @@ def _sets_of(docs: DataFrame, key: str, text: str, width: int, share: float) ->
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, sizes = shingle_sets(byte_texts(b.column(0)), width)
@@ -92,6 +95,7 @@ def _rows(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
 def _first_tokens(sets: DataFrame) -> DataFrame:
     """(fp, g): the first token of each set under every hash order."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, off = _rows(b, "tokens")
@@ -119,6 +123,7 @@ def _star_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     salted = split_join(keyed, runs, ["g"]).select("fp", F.xxhash64("g", F.expr(f"pmod(xxhash64(fp), (count + {RUN_ROWS - 1}) div {RUN_ROWS})")).alias("g"))
     rows = salted.join(sets, "fp").select("g", "fp", "n", "tokens")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []
         for b in batches:
@@ -148,6 +153,7 @@ def _postings(sets: DataFrame, num: int, den: int, orders: int) -> DataFrame:
     own = split_join(tok.select("fp", "token"), cross, ["token"]).groupBy("fp").agg(F.collect_list("token").alias("tokens"), F.collect_list(F.col("df").cast("long")).alias("dfs"))
     live = own.join(sets.select("fp", "n"), "fp").filter(f"size(tokens) > n - {_prefix_sql(num, den)}")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, off = _rows(b, "tokens")
@@ -170,6 +176,7 @@ def _signatures(sets: DataFrame) -> DataFrame:
     """(fp, comp, n, sign): bit i of ``sign`` is the parity of the tokens that fall on i."""
     bits = SIGN_WORDS * 64
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat, off = _rows(b, "tokens")
@@ -243,6 +250,7 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
             b += [y for _, _, y in best]
         return a, b
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, k = None, [], 0
         left: list = []
@@ -274,6 +282,7 @@ def _candidates(sets: DataFrame, num: int, den: int, complete: bool) -> tuple[Da
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, xo = _rows(b, "x")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.batch_bpe import BatchBpe
 from tidegrid.llm.bpe import WordBpe, broadcast_vocabulary
-from tidegrid.llm.store import byte_texts, chunks, mix, rows_per_batch, store
+from tidegrid.llm.store import byte_texts, chunks, frugal, mix, rows_per_batch, store
 
 WINDOW = 4096
 CHUNK_BYTES = 1 << 20  # of text that is encoded at once; batching only
@@ -63,9 +63,14 @@ class Bm25:
         length = np.array([len(d) for d in docs], np.float64)
         corpus = corpus or Corpus(self.n, length.mean(), here)
         idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / corpus.mean))[owner])
+        weight = idf[term]  # in place: with large shards each copy counts
+        weight *= tf
+        weight *= K1 + 1
+        tf += (K1 * (1 - B + B * length / corpus.mean))[owner]
+        weight /= tf
+        del tf
         order = np.argsort(term, kind="stable")
-        del term, tf
+        del term
         self.ids = np.arange(self.n)  # documents that the postings are about, and owners are places in it
         self.owner, self.weight = owner[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(here)])
@@ -83,6 +88,7 @@ class Bm25:
 
     def drop(self, unused: np.ndarray) -> None:
         """Forget the postings of documents that are used up."""
+        self.rows = np.zeros((0, 0))  # made anew below
         live = unused[self.ids]
         keep = live[self.owner]
         self.at = np.append(0, np.cumsum(keep))[self.at]
@@ -183,9 +189,15 @@ def _batch_bpe(spec: Broadcast) -> BatchBpe:
     return _loaded[key]
 
 
+def _forget_encoder() -> None:
+    """Drop this worker's encoder, with all runs of text that it remembers."""
+    _loaded.clear()
+
+
 def _encoded(docs: DataFrame, spec: Broadcast, end_id: int, kind: type) -> DataFrame:
     """(id, lexical, ids) of every document: its least word hash, and its token ids with the end."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _batch_bpe(spec)
         for b in batches:
@@ -204,7 +216,9 @@ def _encoded(docs: DataFrame, spec: Broadcast, end_id: int, kind: type) -> DataF
 def _count(encoded: DataFrame, kind: type) -> Corpus:
     """Counts over all documents; what reaches the driver is one number for each term of the vocabulary."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoder()
         df = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
@@ -239,7 +253,9 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, key:
         encoded, _ = store(_encoded(docs, spec, end_id, kind), "encoded")
     corpus = docs.sparkSession.sparkContext.broadcast(_count(encoded, kind))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoder()
         keys, docs_ = [], []
         for b in batches:
             keys += b.column(0).to_pylist()

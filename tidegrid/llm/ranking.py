@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidegrid.functions.quantiles import sorted_quantiles
-from tidegrid.llm.store import byte_texts, store, with_text_column
+from tidegrid.llm.store import byte_texts, frugal, store, with_text_column
 from tidegrid.llm.supervised import byte_profile, known_labels, share
 
 BLOCK_ROWS = 12_000  # labelled documents of a block of pairs
@@ -133,6 +133,7 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS) -> np.ndarr
 def _labelled_features(docs: DataFrame, labels: DataFrame, train: Column, key: str, text: str, label: str) -> DataFrame:
     """(id, x, y) of every labelled document, one row per key: of several texts the one of the least hash. Texts are not exchanged, only features are."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features_of(byte_texts(b.column(2)))

@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -46,7 +46,10 @@ def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     power, inverse = _tables(max(len(b) + 1, _PIECE))
     with np.errstate(over="ignore"):
         run = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=run[1:])
+        x = b.astype(np.uint64)
+        x += np.uint64(1)
+        x *= power[: len(b)]
+        np.cumsum(x, out=run[1:])
         h = (run[ends] - run[starts]) * inverse[starts]
         return starts, mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +43,27 @@ def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return memory that is free to the system. A worker lives through many stages, and would hold the most that any of them took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim:
+            trim(0)
+
+
+def frugal(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel`` that gives back what it has freed when its task ends. Results do not depend on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete stored tables that nothing reads any more."""
     for path in paths:
@@ -105,6 +128,7 @@ def with_text_column(docs: DataFrame, text: str, name: str, kind: T.DataType, ma
         raise ValueError(f"column {name} is there already")
     at = docs.columns.index(text)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for b in batches:
