@@ -163,3 +163,31 @@ def test_no_documents(docs):
     assert P.pseudo_likelihood(none, net, vocabulary).count() == 0
     got = P.pseudo_likelihood(docs.filter("text is null"), net, vocabulary).collect()
     assert got and all(r.n_tokens == 0 and r.log_likelihood == 0 and r.per_token is None for r in got)
+
+
+@pytest.mark.parametrize("size", [1, 300])
+def test_exponentials_without_a_maximum_where_none_is_needed(size):
+    r = np.random.default_rng(4)
+    net = P.new_window(np.ones(P.TYPES))
+    net.out[:] = r.normal(0, size, net.out.shape)
+    net.bias[:] = r.normal(0, size, P.TYPES)
+    embed, out, bias = net.embed.astype(float), net.out.astype(float), net.bias.astype(float)
+    ids = r.integers(0, P.TYPES, 90)
+    at = np.arange(P.SIDE, 90 - P.SIDE)
+    h = np.tanh(sum(embed[p][ids[at + off]] for p, off in enumerate(P.OFFSETS)))
+    z = h @ out + bias
+    got = net.scores(np.column_stack([h, np.ones(len(at))]).astype(np.float32))
+    # one matrix product brings the scores and the bias; only scores that are large are lowered by their maximum
+    assert got == pytest.approx(z if size == 1 else z - z.max(1, keepdims=True), rel=1e-3, abs=1e-2)
+    log_sum = z.max(1) + np.log(np.exp(z - z.max(1, keepdims=True)).sum(1))
+    assert net.log_probabilities(ids, at) == pytest.approx(z[np.arange(len(at)), ids[at]] - log_sum, rel=1e-3, abs=1e-2)
+    p = np.exp(z - log_sum[:, None])
+    p[np.arange(len(at)), ids[at]] -= 1
+    g = np.vstack([h.T @ p, p.sum(0)]) / len(at)
+    back, rows = p @ out.T * (1 - h * h) / len(at), np.zeros_like(embed)
+    for i in range(len(at)):
+        for place, off in enumerate(P.OFFSETS):
+            rows[place, ids[at[i] + off]] += back[i]
+    P.Trainer(net).step(ids, at)
+    assert net.head == pytest.approx(np.vstack([out, bias]) - P.STEP * g / np.sqrt(1e-4 + g * g), rel=1e-4, abs=1e-3)
+    assert net.embed == pytest.approx(embed - P.STEP * rows / np.sqrt(1e-4 + rows * rows), abs=1e-3)
