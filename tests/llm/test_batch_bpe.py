@@ -2,11 +2,12 @@
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidegrid.llm import batch_bpe
+from tidegrid.llm import batch_bpe, lexical_packing, shingles
 from tidegrid.llm.batch_bpe import BatchBpe, ragged
 from tidegrid.llm.lexical_packing import Bm25, fill_windows
 
@@ -105,3 +106,35 @@ def test_ranking_is_whole_and_ordered_after_dropping():
     before = index.neighbours(0, unused)
     index.drop(unused)
     assert index.neighbours(0, unused) == before and sorted(before) == np.flatnonzero(unused).tolist()
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_terms_of_many_documents_are_counted_in_blocks(kind, monkeypatch):
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, np.iinfo(kind).max, n, kind, endpoint=True)[r.integers(0, n, 2 * n)] for n in (1, 40, 300, 1, 7, 90)]
+    docs[3][:] = np.iinfo(kind).max
+    want = [np.unique(d, return_counts=True) for d in docs]
+    for tokens in (1, 100, 10**6):
+        monkeypatch.setattr(lexical_packing, "TOKENS", tokens)
+        blocks = list(lexical_packing.distinct(docs))
+        assert tokens > 1 or len(blocks) == len(docs)
+        assert tokens < 10**6 or len(blocks) == 1
+        terms, counts, sizes = (np.concatenate(x) for x in zip(*blocks))
+        assert terms.dtype == kind and sizes.tolist() == [len(t) for t, _ in want]
+        assert terms.tolist() == np.concatenate([t for t, _ in want]).tolist() and counts.tolist() == np.concatenate([c for _, c in want]).tolist()
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    raw = np.frombuffer(b" ab  c\n" + b"x" * 900 + b" d\te " * 50 + b"\n", np.uint8)
+    whole = shingles.buffer_hashes(raw)
+    assert [bytes(raw[a:b]) for a, b in zip(*whole[:2])] == bytes(raw).split()
+    for size in (1, 5, 64, 700):
+        monkeypatch.setattr(shingles, "_PIECE", size)
+        monkeypatch.setattr(shingles, "_powers", [])
+        assert all(np.array_equal(a, b) for a, b in zip(whole, shingles.buffer_hashes(raw)))
+
+
+def test_ranks_of_bytes_are_looked_up_in_a_table():
+    bpe = BatchBpe(SPEC)
+    for last, table in zip((bpe.inner, bpe.last), bpe.first):
+        assert np.array_equal(table.reshape(256, 256), bpe._rank(bpe.inner[:, None] + 0 * last, last[None] + 0 * bpe.inner[:, None]))

@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import cache
+from itertools import chain, compress
 
 import numpy as np
 
 from tidegrid.llm.bpe import _ASCII_WORDS, _LATER_CAPITALS, _LATER_LOWER, MEMO_CHARS, WordBpe, all_words
-from tidegrid.llm.shingles import _SPACE, _word_hashes
+from tidegrid.llm.shingles import buffer_hashes
 
 MEMO = 300_000  # runs that a worker remembers; of more, those met more than once survive
 _NONE = np.int32(1 << 30)
@@ -27,12 +28,15 @@ def ragged(flat: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return flat[np.repeat(at - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class _Numbers(dict):
-    """Numbers of words in the order in which they were met."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of one of each, the number of each key among them, and how often each occurs."""
+    order = np.argsort(keys)  # which one of equal keys comes first is open, and a stable sort takes twice the time
+    ordered = keys[order]
+    head = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), ordered[1:] != ordered[:-1]))
+    counts = np.diff(np.append(head, len(keys)))
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(head)), counts)
+    return ordered[head], order[head], number, counts
 
 
 @cache
@@ -60,6 +64,8 @@ class BatchBpe:
         self.made = np.zeros(int(self.ranks.max(initial=0)) + 1, np.int32)
         self.made[self.ranks] = np.array([made for _, made in merges.values()], np.int32)[order]
         self.inner, self.last = np.array(self.single.inner, np.int32), np.array(self.single.last, np.int32)
+        # ranks of the pairs of bytes that a word begins with, inside it and at its end
+        self.first = self._rank(np.repeat(self.inner, 256), np.tile(self.inner, 256)), self._rank(np.repeat(self.inner, 256), np.tile(self.last, 256))
         self._forget()
 
     def _forget(self) -> None:
@@ -77,9 +83,10 @@ class BatchBpe:
 
     def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and their number by word."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        sizes = np.array([len(x) for x in raw], np.int64)
-        flat, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes
+        flat = np.frombuffer("\n".join([*words, ""]).encode("utf-8", "surrogatepass"), np.uint8)  # no word has a line feed
+        ends = np.flatnonzero(flat == 10)
+        sizes = np.diff(ends, prepend=-1) - 1
+        starts = ends - sizes
         counts = np.zeros(len(words), np.int64)
         done: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -97,7 +104,10 @@ class BatchBpe:
                 symbols = self.inner[b]
                 symbols[:, -1] = self.last[b[:, -1]]
                 rows, ids = np.append(rows, new), np.concatenate([ids, symbols])
-                rank = np.concatenate([rank, self._rank(symbols[:, :-1], symbols[:, 1:])])
+                two = b[:, :-1].astype(np.intp) << 8 | b[:, 1:]
+                ranks = self.first[0].take(two)
+                ranks[:, -1:] = self.first[1].take(two[:, -1:])
+                rank = np.concatenate([rank, ranks])
             if width == 1:
                 break
             left = rank.argmin(1)
@@ -125,10 +135,11 @@ class BatchBpe:
 
     def _encode_runs(self, *parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ASCII runs and then of other runs, none with a line feed or a special token; and their number by run."""
-        numbers = _Numbers({"\n": 0})
-        codes = [np.array([numbers[w] for w in cutter.findall(_lower("\n".join([*runs, ""])))], np.int64) for runs, cutter in zip(parts, _cutters())]
-        code = np.concatenate(codes)
-        flat, counts = self.merge_all(list(numbers)[1:])
+        found = [cutter.findall(_lower("\n".join([*runs, ""]))) for runs, cutter in zip(parts, _cutters())]
+        words = list(dict.fromkeys(chain("\n", *found)))
+        numbers = dict(zip(words, range(len(words))))
+        code = np.fromiter(map(numbers.__getitem__, chain(*found)), np.int64, sum(map(len, found)))
+        flat, counts = self.merge_all(words[1:])
         counts = np.append(0, counts)
         ids = ragged(flat, (np.cumsum(counts) - counts)[code], counts[code])
         return ids, np.diff(np.cumsum(counts[code])[code == 0], prepend=0)
@@ -159,15 +170,13 @@ class BatchBpe:
         self._trim()
         joined = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(joined, np.uint8)
-        starts, hashes = _word_hashes(raw)
-        space = np.append(_SPACE[raw], True)
-        ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        starts, ends, hashes = buffer_hashes(raw)
         runs = np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
         alone = ends - starts > MEMO_CHARS
         alone[np.searchsorted(starts, np.flatnonzero(raw == ord("<")), "right") - 1] = True
         number = np.zeros(len(starts), np.int64)
         kept = np.flatnonzero(~alone)
-        keys, first, place, met = np.unique(hashes[kept], return_index=True, return_inverse=True, return_counts=True)
+        keys, first, place, met = _groups(hashes[kept])
         found = np.full(len(keys), -1)
         if len(self.known):
             near = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
@@ -180,9 +189,10 @@ class BatchBpe:
 
         if len(new):
             texts_ = strings(kept[first[new]])
-            plain = np.array([s.isascii() for s in texts_])
+            ascii_ = [s.isascii() for s in texts_]
+            plain = np.array(ascii_)
             new = np.append(new[plain], new[~plain])
-            parts = [s for s in texts_ if s.isascii()], [s for s in texts_ if not s.isascii()]
+            parts = list(compress(texts_, ascii_)), list(compress(texts_, (~plain).tolist()))
             found[new] = self._remember(keys[new], *self._encode_runs(*parts))
         self.met[found] += met
         number[kept] = found[place]

@@ -26,6 +26,7 @@ from tidegrid.llm.store import byte_texts, chunks, frugal, mix, rows_per_batch,
 WINDOW = 4096
 CHUNK_BYTES = 1 << 20  # of text that is encoded at once; batching only
 BATCH_ROWS = 1000  # whole texts that a worker gets at once; batching only
+TOKENS = 1 << 18  # of documents that are counted at once; batching only
 SHARD_BYTES = 12_000_000  # of text, on average
 K1, B = 1.2, 0.75
 
@@ -39,11 +40,23 @@ class Corpus:
     df: np.ndarray
 
 
-def distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct ids, and how often each occurs."""
-    ids = np.sort(ids, kind="stable")  # linear for 16-bit ids
-    first = np.flatnonzero(np.append(np.ones(min(len(ids), 1), bool), ids[1:] != ids[:-1]))
-    return ids[first], np.diff(np.append(first, len(ids)))
+def distinct(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some documents after others: the sorted distinct ids of each, one behind the other, how often each occurs, and their number by document."""
+    ends = np.cumsum([len(d) for d in docs])
+    lo = 0
+    while lo < len(docs):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + TOKENS, "right")))
+        some = np.concatenate(docs[lo:hi])
+        shift = 8 * some.itemsize
+        kind = np.uint32 if hi - lo <= 1 << 32 - shift else np.uint64
+        keys = np.repeat(np.arange(hi - lo, dtype=kind) << kind(shift), np.diff(ends[lo:hi], prepend=before))
+        keys |= some
+        keys.sort()
+        first = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
+        found = keys[first]
+        yield found.astype(some.dtype), np.diff(np.append(first, len(keys))), np.bincount((found >> kind(shift)).astype(np.intp), minlength=hi - lo)
+        lo = hi
 
 
 class Bm25:
@@ -53,12 +66,12 @@ class Bm25:
     """
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
-        found = [distinct(ids) for ids in docs]
+        found = list(zip(*distinct(docs)))
         self.n = len(docs)
-        self.terms = [t for t, _ in found]
-        term, tf = np.concatenate(self.terms), np.concatenate([c for _, c in found]).astype(np.float64)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t in self.terms])
+        term, tf, sizes = np.concatenate(found[0]), np.concatenate(found[1]).astype(np.float64), np.concatenate(found[2])
         del found
+        self.terms = np.split(term, np.cumsum(sizes)[:-1])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         here = np.bincount(term)
         length = np.array([len(d) for d in docs], np.float64)
         corpus = corpus or Corpus(self.n, length.mean(), here)
@@ -221,11 +234,11 @@ def _count(encoded: DataFrame, kind: type) -> Corpus:
         _forget_encoder()
         df = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                terms, _ = distinct(np.frombuffer(x, kind))
-                if terms[-1] >= len(df):
-                    df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64))
-                df[terms] += 1
+            for terms, _, _ in distinct([np.frombuffer(x, kind) for x in b.column(0).to_pylist()]):
+                here = np.bincount(terms)
+                if len(here) > len(df):
+                    df = np.append(df, np.zeros(len(here) - len(df), np.int64))
+                df[: len(here)] += here
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(df[found])], ["term", "n"])
 

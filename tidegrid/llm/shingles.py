@@ -16,7 +16,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
-_PIECE = 1 << 20
+_PIECE = 1 << 16  # bytes that are hashed at once, so that their powers stay in a cache
 _powers: list[np.ndarray] = []
 
 
@@ -35,14 +35,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
-def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every word of a buffer that ends with a space."""
+def _piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of a piece that ends with a space."""
     b = _LOWER[raw]
     space = _SPACE[b]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
+        return starts, ends, np.zeros(0, np.uint64)
     power, inverse = _tables(max(len(b) + 1, _PIECE))
     with np.errstate(over="ignore"):
         run = np.zeros(len(b) + 1, np.uint64)
@@ -51,23 +51,35 @@ def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x *= power[: len(b)]
         np.cumsum(x, out=run[1:])
         h = (run[ends] - run[starts]) * inverse[starts]
-        return starts, mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+        return starts, ends, mix(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and the number of words of each text."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined, np.uint8)
+def _behind_space(raw: np.ndarray, end: int) -> int:
+    """The first place from ``end`` on that is behind a space; the buffer ends with one."""
+    size = 64
+    while True:
+        space = _SPACE[raw[end - 1 : end - 1 + size]]
+        first = int(space.argmax())
+        if space[first]:
+            return end + first
+        size *= 8
+
+
+def buffer_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word of a buffer that ends with a space."""
     found, at = [], 0
     while at < len(raw):
-        end = min(len(raw), at + _PIECE)
-        if end < len(raw):  # cut behind a space, or where the word that is open ends
-            back = np.flatnonzero(_SPACE[raw[at:end]])
-            end = at + int(back[-1]) + 1 if len(back) else end + int(np.argmax(_SPACE[raw[end:]])) + 1
-        starts, h = _word_hashes(raw[at:end])
-        found.append((starts + at, h))
+        end = _behind_space(raw, min(len(raw), at + _PIECE))
+        starts, ends, h = _piece_hashes(raw[at:end])
+        found.append((starts + at, ends + at, h))
         at = end
-    starts, h = (np.concatenate(x) for x in zip(*found))
+    starts, ends, h = (np.concatenate(x) for x in zip(*found))
+    return starts, ends, h
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and the number of words of each text."""
+    starts, _, h = buffer_hashes(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return h, np.diff(np.searchsorted(starts, bounds), prepend=0)
 
