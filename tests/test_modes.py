@@ -161,3 +161,62 @@ def test_sums_of_many_groups_in_one_batch_are_handed_on_early(spark, monkeypatch
     for r in G.gram_matrix(df, "vec", ["g"]).collect():
         v = np.hstack([x[r.g :: 30], np.ones((2, 1))])
         assert np.array(r.gram).reshape(21, 21) == pytest.approx(v.T @ v)
+
+
+def _groups(spark, sizes, times=12, seed=8):
+    """Random cells per group and month, the first cell of a group twice in one month; also a cell without a month and one with a NULL."""
+    x = {g: np.random.default_rng(seed + g).normal(size=(n, times)) for g, n in sizes.items()}
+    rows = [(g, c, t, float(v)) for g, block in x.items() for c, row in enumerate(block) for t, v in enumerate(row)]
+    rows += [(g, 0, 3, float(block[0, 3])) for g, block in x.items()]
+    rows += [(g, 1000, t, 5.0 * t) for g in x for t in range(1, times)] + [(g, 1001, t, 7.0 * t if t else None) for g in x for t in range(times)]
+    return spark.createDataFrame(rows, "g int, c int, month_idx int, value double").repartition(5), x
+
+
+@pytest.mark.parametrize("sizes", [{1: 2, 2: 30, 3: 5}, {1: 2, 3: 5}, {2: 30}])
+def test_groups_of_few_cells_send_no_matrix_of_times(spark, monkeypatch, sizes):
+    """Many small groups with a long time axis filled the disks with a matrix of all pairs of times each."""
+    summed = []
+
+    def gram_matrix(df, vector, by):
+        summed.extend(r.g for r in df.select("g").distinct().collect())
+        return G.gram_matrix(df, vector, by)
+
+    monkeypatch.setattr(M, "gram_matrix", gram_matrix)
+    df, x = _groups(spark, sizes)
+    pcs = M.principal_components(df, ["g"], ["c"], 2)
+    assert summed == [g for g in sizes if g == 2]
+    variance, scores = pcs.variance.toPandas().set_index(["g", "mode"]), pcs.scores.toPandas()
+    loadings = pcs.loadings.toPandas()
+    assert len(variance) == 2 * len(sizes)
+    for g, block in x.items():
+        u, s, vt = np.linalg.svd(block - block.mean(axis=1, keepdims=True), full_matrices=False)
+        sign = np.sign(vt[[0, 1], np.abs(vt[:2]).argmax(axis=1)])
+        for i, mode in enumerate(("pc1", "pc2")):
+            assert variance.loc[(g, mode)].to_numpy() == pytest.approx([s[i] ** 2 / 11, s[i] ** 2 / (s**2).sum()])
+            got = scores[(scores.g == g) & (scores["mode"] == mode)].sort_values("month_idx").value.to_numpy()
+            assert got == pytest.approx(sign[i] * s[i] * vt[i], abs=1e-9)
+            mine = loadings[(loadings.g == g) & (loadings["mode"] == mode) & (loadings.c > 0)].sort_values("c")
+            assert list(mine.c) == list(range(1, len(block))) and mine.w.to_numpy() == pytest.approx(sign[i] * u[1:, i], abs=1e-9)
+
+
+def test_few_cells_of_the_whole_table_on_a_long_axis(spark):
+    """Three thousand times: the matrix of pairs would have nine million values."""
+    x = np.random.default_rng(6).normal(size=(3, 3000))
+    df = spark.createDataFrame(pd.DataFrame([(c, t, v) for c, row in enumerate(x) for t, v in enumerate(row)], columns=["c", "month_idx", "value"]))
+    got = M.principal_components(df, [], ["c"], 3).variance.orderBy("mode").toPandas()
+    s = np.linalg.svd(x - x.mean(axis=1, keepdims=True), compute_uv=False)
+    assert got.variance.to_numpy() == pytest.approx(s**2 / 2999) and got.share.sum() == pytest.approx(1)
+
+
+def test_fewer_cells_than_components_and_constant_or_incomplete_groups(spark):
+    rows = [(1, c, t, float((c + 1) * (t % 3))) for c in (0, 1) for t in range(6)] + [(2, 0, t, 4.0) for t in range(6)] + [(3, 0, t, 1.0 if t else None) for t in range(6)]
+    df = spark.createDataFrame(rows, "g int, c int, month_idx int, value double")
+    pcs = M.principal_components(df, ["g"], ["c"], 4)
+    got = pcs.variance.toPandas().pivot(index="g", columns="mode", values="variance")
+    assert list(got.index) == [1, 2]  # the only cell of the third lacks a value
+    want = np.var(np.arange(6) % 3, ddof=1)
+    assert got.loc[1].to_numpy() == pytest.approx([5 * want, 0, 0, 0], abs=1e-12) and (got.loc[2] == 0).all()
+    assert pcs.variance.filter("g = 2 and share is not null").count() == 0
+    assert pcs.scores.count() == 2 * 4 * 6 and pcs.scores.filter("g = 2 and value <> 0 or isnan(value)").count() == 0
+    assert M.principal_components(df.filter("false"), ["g"], ["c"], 2).variance.count() == 0
+    assert M.principal_components(df.filter("false"), [], ["g", "c"], 2).variance.count() == 0

@@ -173,10 +173,25 @@ def _principal(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
     lam, vec = np.linalg.eigh(g)
     top = np.argsort(lam)[::-1][:k]
     lam_k = np.maximum(lam[top], 0.0)
-    scores = (vec[:, top] * np.sqrt(lam_k)).T
-    # the largest score of a component is positive
+    return _upright((vec[:, top] * np.sqrt(lam_k)).T), lam_k / (n - 1), float(np.trace(g)) / (n - 1)
+
+
+def _principal_of_cells(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same from the centred series (cells, T): products of cells have the same eigenvalues, and the rest of the ``k`` are zero."""
+    n = x.shape[1]
+    g = x @ x.T
+    lam, vec = np.linalg.eigh(g)
+    top = np.argsort(lam)[::-1][:k]
+    lam_k, scores = np.zeros(min(k, n)), np.zeros((min(k, n), n))
+    lam_k[: len(top)] = np.maximum(lam[top], 0.0)[: len(lam_k)]
+    scores[: len(top)] = (vec[:, top].T @ x)[: len(lam_k)]
+    return _upright(np.where(lam_k[:, None] > 0, scores, 0.0)), lam_k / (n - 1), float(np.trace(g)) / (n - 1)
+
+
+def _upright(scores: np.ndarray) -> np.ndarray:
+    """The largest score of a component is positive."""
     peak = np.take_along_axis(scores, np.abs(scores).argmax(axis=1)[:, None], axis=1)
-    return scores * np.where(peak < 0, -1.0, 1.0), lam_k / (n - 1), float(np.trace(g)) / (n - 1)
+    return scores * np.where(peak < 0, -1.0, 1.0)
 
 
 @dataclass
@@ -245,19 +260,8 @@ def _on_axis(packed: DataFrame, times: DataFrame, by: list[str]) -> DataFrame:
     return whole.withColumn("vs", F.when(F.col("ts") == F.col("_axis"), F.col("vs"))).drop("_axis")
 
 
-def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k: int = 3, t: str = "month_idx") -> PrincipalComponents:
-    """Principal components over time of gap-free cells.
-
-    A cell that lacks a time of its group, or a value there, takes no part and gets no loading.
-
-    The Gram matrix of the time steps is summed over partitions; its size is the length of the
-    time axis squared and does not depend on the number of cells. The eigenproblem of a group is
-    solved in one task, loadings follow from one more pass with map-side sums.
-    """
-    modes = [f"pc{i + 1}" for i in range(k)]
-    times = checked_side(df.groupBy(*by).agg(F.sort_array(F.collect_set(t)).alias("_axis")))
-    packed = _on_axis(pack_series(df, [*by, *cell], t), times, by)
-    centred = packed.withColumn("vs", array_kernel(lambda x: x - x.mean(axis=1, keepdims=True))("vs"))
+def _eigen_of_times(centred: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Per group ``e``, the components by products of times, which are summed over partitions."""
 
     @heavy
     @F.pandas_udf(_EIGEN)
@@ -269,8 +273,43 @@ def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k
             rows.append(([list(s) for s in scores], list(var), total))
         return pd.DataFrame(rows, columns=["scores", "variance", "total"])
 
-    eig = gram_matrix(centred, "vs", by).select(*by, solve("gram").alias("e"))
-    times = times.withColumnRenamed("_axis", "ts")
+    return gram_matrix(centred, "vs", by).select(*by, solve("gram").alias("e"))
+
+
+def _eigen_of_cells(centred: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The same by products of cells, of which no group has more than times; series are exchanged, and a task holds those of one group."""
+    schema = T.StructType([centred.schema[c] for c in by] + list(_EIGEN))
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack([np.asarray(v, dtype=float) for v in pdf["vs"]])
+        scores, var, total = _principal_of_cells(x[np.isfinite(x).all(axis=1)], k)
+        return pd.DataFrame({c: [v] for c, v in zip(by, key)} | {"scores": [list(scores)], "variance": [var], "total": [total]})
+
+    out = centred.select(*by, "vs").filter(F.col("vs").isNotNull()).groupBy(*by).applyInPandas(solve, schema)
+    return out.select(*by, F.struct(*_EIGEN.names).alias("e"))
+
+
+def principal_components(df: DataFrame, by: list[str], cell: list[str] = GRID, k: int = 3, t: str = "month_idx") -> PrincipalComponents:
+    """Principal components over time of gap-free cells.
+
+    A cell that lacks a time of its group, or a value there, takes no part and gets no loading.
+
+    The Gram matrix of the time steps is summed over partitions; its size is the length of the
+    time axis squared and does not depend on the number of cells. A group that has no more rows than
+    its matrix has values is solved from its series instead, so many small groups send no matrix each. The eigenproblem
+    of a group is solved in one task, loadings follow from one more pass with map-side sums.
+    """
+    modes = [f"pc{i + 1}" for i in range(k)]
+    axis = F.sort_array(F.collect_set(t))
+    times = checked_side(df.groupBy(*by).agg(axis.alias("_axis"), (F.count(F.lit(1)) <= F.size(axis).cast("long") * F.size(axis)).alias("_few")))
+    eig = None
+    for few in [row["_few"] for row in times.select("_few").distinct().collect()] or [True]:
+        alike = times.filter(F.col("_few") == few).drop("_few")
+        packed = _on_axis(pack_series(df, [*by, *cell], t), alike, by)
+        centred = packed.withColumn("vs", array_kernel(lambda x: x - x.mean(axis=1, keepdims=True))("vs"))
+        part = (_eigen_of_cells if few else _eigen_of_times)(centred, by, k)
+        eig = part if eig is None else eig.unionByName(part)
+    times = times.select(*by, F.col("_axis").alias("ts"))
     eig = cut_lineage(eig.join(times, by) if by else eig.withColumn("ts", times.select("ts").scalar()))
     scores = (
         eig.select(*by, "ts", F.posexplode("e.scores").alias("c", "s"))
